@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm import bpe, common, secret_scan
+from tidebook.llm import bpe, common, html_extract, secret_scan
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -22,13 +22,18 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.select("doc_id", n("assign").alias("n_assign"), n("access").alias("n_access"), n("hex").alias("n_hex"), F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
 
 
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.extract(common.table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op8_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode_documents(common.table(spark, sf_dir, "documents"), VOCABULARY)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_secret_scan": op5_secret_scan, "op8_bpe_roundtrip": op8_bpe_roundtrip}
+    return {"op5_secret_scan": op5_secret_scan, "op6_html_extract": op6_html_extract, "op8_bpe_roundtrip": op8_bpe_roundtrip}
 
 
 def oracle_sql() -> dict[str, str]:
