@@ -41,3 +41,16 @@ def cut_lineage(df: DataFrame, compression: str = "zstd") -> DataFrame:
 
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, per_class: int, held_modulus: int = 3, held_remainder: int = 1) -> DataFrame:
+    """doc_id, text, y of a bounded training sample: ``per_class`` rows of each class at most.
+
+    Rows whose crc32(doc_id) falls on the held-out remainder never take part.  The sample is the
+    head of a hash order, so it is the same on every run; its ids (2 * per_class at most) are
+    what gets broadcast.
+    """
+    usable = labels.where(F.col(target).isin(0, 1) & (crc_mod("doc_id", held_modulus) != held_remainder)).select("doc_id", F.col(target).cast("int").alias("y")).groupBy("doc_id").agg(F.max("y").alias("y"))
+    head = lambda y: usable.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
+    ids = head(0).unionByName(head(1))
+    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")

@@ -8,11 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm import bpe, common, html_extract, secret_scan
+from tidebook.llm import bpe, common, html_extract, quality, secret_scan
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    model = quality.train(docs, common.table(spark, sf_dir, "labels"))
+    held = F.coalesce(common.crc_mod("doc_id", 3) == 1, F.lit(False))
+    return quality.score(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     spans = secret_scan.find_secrets(docs)
@@ -33,7 +40,7 @@ def op8_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_secret_scan": op5_secret_scan, "op6_html_extract": op6_html_extract, "op8_bpe_roundtrip": op8_bpe_roundtrip}
+    return {"op2_quality": op2_quality, "op5_secret_scan": op5_secret_scan, "op6_html_extract": op6_html_extract, "op8_bpe_roundtrip": op8_bpe_roundtrip}
 
 
 def oracle_sql() -> dict[str, str]:
