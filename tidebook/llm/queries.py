@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm import bpe, common, html_extract, quality, secret_scan, toxicity
+from tidebook.llm import bpe, common, html_extract, near_dedup, quality, secret_scan, toxicity
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -46,8 +46,13 @@ def op8_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup.near_duplicates(common.table(spark, sf_dir, "documents"))
+    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_quality": op2_quality, "op3_toxicity": op3_toxicity, "op5_secret_scan": op5_secret_scan, "op6_html_extract": op6_html_extract, "op8_bpe_roundtrip": op8_bpe_roundtrip}
+    return {"op2_quality": op2_quality, "op3_toxicity": op3_toxicity, "op5_secret_scan": op5_secret_scan, "op6_html_extract": op6_html_extract, "op8_bpe_roundtrip": op8_bpe_roundtrip, "op9_near_dedup": op9_near_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
