@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm import bpe, common, html_extract, near_dedup, quality, secret_scan, toxicity
+from tidebook.llm import bpe, common, decontaminate, html_extract, near_dedup, quality, secret_scan, toxicity
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -51,8 +51,13 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_leaks(common.table(spark, sf_dir, "documents").select("doc_id", "text"), common.table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", (F.size("leaks") > 0).alias("contaminated"), F.transform("leaks", lambda x: x["item"]).alias("item_ids"), F.array_min(F.transform("leaks", lambda x: x["edits"])).alias("least_edits"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_quality": op2_quality, "op3_toxicity": op3_toxicity, "op5_secret_scan": op5_secret_scan, "op6_html_extract": op6_html_extract, "op8_bpe_roundtrip": op8_bpe_roundtrip, "op9_near_dedup": op9_near_dedup}
+    return {"op2_quality": op2_quality, "op3_toxicity": op3_toxicity, "op5_secret_scan": op5_secret_scan, "op6_html_extract": op6_html_extract, "op8_bpe_roundtrip": op8_bpe_roundtrip, "op9_near_dedup": op9_near_dedup, "op10_decontaminate": op10_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:
