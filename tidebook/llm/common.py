@@ -54,3 +54,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, per_class:
     head = lambda y: usable.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
     ids = head(0).unionByName(head(1))
     return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+
+
+def small(batches, rows: int = 1_024):
+    """Arrow batches cut to ``rows`` rows, so that few texts at a time are Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

@@ -9,8 +9,8 @@ The work is arranged so that no group of copies, however large, meets in one tas
 1. Equal sets are one node (copies never become pairs).
 2. In each bucket of a band every node is checked against the bucket's smallest node only (a star).
 3. Connected components of the confirmed links; buckets left with one component need nothing more.
-4. In the other buckets all pairs of different components are compared by signature, in blocks of
-   bounded size and only where they first meet; likely ones are confirmed on full sets and join components.
+4. In the other buckets members of different components are compared by signature, in blocks of bounded
+   size and only where they first meet; likely ones are confirmed on full sets, until their components are one.
 
 After step 4 every pair that shares a band is confirmed, ruled out by its signature or connected already,
 so no link between components is lost to a cap.  With BANDS x ROWS = 30 x 4 a pair at the threshold misses
@@ -93,7 +93,7 @@ def describe(docs: DataFrame, text: str = "text", id_column: str = "doc_id") ->
     kind = docs.schema[id_column].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
+        for batch in common.small(batches):
             n, node, sig, bands = [], [], [], []
             for t in batch.column(1).to_pylist():
                 found = shingles(t)
@@ -116,6 +116,12 @@ def describe(docs: DataFrame, text: str = "text", id_column: str = "doc_id") ->
     return docs.select(docs[id_column].alias("doc_id"), docs[text]).mapInArrow(run, f"doc_id {kind}, n_shingles long, node binary, signature binary, bands array<long>")
 
 
+def similar(s: np.ndarray, t: np.ndarray) -> bool:
+    """The threshold on full sets, in whole numbers."""
+    both = len(np.intersect1d(s, t, assume_unique=True))
+    return DENOMINATOR * both >= NUMERATOR * (len(s) + len(t) - both)
+
+
 def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (a, b) of nodes whose full sets are similar enough."""
 
@@ -129,12 +135,11 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 memo[node] = shingles(text)
             return memo[node]
 
-        for batch in batches:
+        for batch in common.small(batches):
             keep = []
             for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 s, t = of(a, x), of(b, y)
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                keep.append(DENOMINATOR * both >= NUMERATOR * (len(s) + len(t) - both))
+                keep.append(similar(s, t))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("x"))
@@ -164,47 +169,66 @@ def components(links: DataFrame) -> DataFrame:
     return star.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(star.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def near_pairs(buckets: DataFrame) -> DataFrame:
-    """Likely pairs (a, b) of different components in the same bucket, each where it first meets.
+def cross_links(buckets: DataFrame, texts: DataFrame) -> DataFrame:
+    """Confirmed links (a, b) that join different components of a bucket, each pair tried where it first meets.
 
     ``buckets``: key, band, node, component, n_shingles, signature.  The members outside a bucket's most
-    common component are compared with all members, block against block.
+    common component are compared with all members, block against block; a block gives a link for each two
+    components it joins, so its output is shorter than its input.
     """
     size = buckets.groupBy("key", "component").agg(F.count("*").alias("n"))
     most = size.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("most"), F.sum("n").alias("total"), F.max("n").alias("top")).where("total > top")
-    rows = buckets.join(most, "key").withColumn("minor", F.col("component") != F.col("most"))
+    rows = buckets.join(most, "key").withColumn("minor", F.col("component") != F.col("most")).join(texts, "node")
     blocks = lambda n: F.greatest(F.ceil(n / F.lit(BLOCK)), F.lit(1)).cast("int")
     mine, theirs = blocks(F.col("total") - F.col("top")), blocks(F.col("total"))
     deal = lambda n: F.pmod(F.xxhash64("node"), n.cast("long")).cast("int")
-    asks = rows.where("minor").withColumn("i", deal(mine)).withColumn("j", F.explode(F.sequence(F.lit(0), theirs - 1))).withColumn("asks", F.lit(True))
-    answers = rows.withColumn("j", deal(theirs)).withColumn("i", F.explode(F.sequence(F.lit(0), mine - 1))).withColumn("asks", F.lit(False))
-    columns = ["key", "i", "j", "asks", "band", "node", "component", "minor", "n_shingles", "signature"]
+    span = lambda n: F.sequence(F.lit(0), n - 1)
+    cell = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
+    # a minor member asks along its row of cells, every member answers along its column
+    asks = F.when(F.col("minor"), F.transform(span(theirs), lambda j: cell(deal(mine), j))).otherwise(F.array().cast("array<struct<i:int,j:int>>"))
+    answers = F.transform(span(mine), lambda i: cell(i, deal(theirs)))
+    columns = ["key", "i", "j", "asks", "answers", "band", "node", "component", "minor", "n_shingles", "signature", "text"]
+    dealt = rows.withColumn("asked", asks).withColumn("answered", answers).withColumn("cell", F.explode(F.array_distinct(F.concat("asked", "answered"))))
+    dealt = dealt.select("*", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), F.array_contains("asked", F.col("cell")).alias("asks"), F.array_contains("answered", F.col("cell")).alias("answers")).select(columns)
 
     def run(table: pa.Table) -> pa.Table:
-        d = {c: table.column(c).to_pylist() for c in columns}
+        d = {c: table.column(c).to_pylist() for c in columns[3:-1]}
         asks = [r for r, x in enumerate(d["asks"]) if x]
-        answers = [r for r, x in enumerate(d["asks"]) if not x]
-        out_a, out_b = [], []
+        answers = [r for r, x in enumerate(d["answers"]) if x]
+        out: list[tuple[bytes, bytes]] = []
         if asks and answers:
+            texts = table.column("text")
+            sets: dict[int, np.ndarray] = {}
+            above: dict[bytes, bytes] = {}
+
+            def root(c: bytes) -> bytes:
+                while c in above:
+                    c = above[c]
+                return c
+
+            def full(r: int) -> np.ndarray:
+                if r not in sets:
+                    sets[r] = shingles(texts[r].as_py())
+                return sets[r]
+
             sig = np.frombuffer(b"".join([d["signature"][r] for r in answers]), np.uint16).reshape(len(answers), COORDINATES)
             n = np.array([d["n_shingles"][r] for r in answers], dtype=np.int64)
-            names = {c: k for k, c in enumerate(dict.fromkeys(d["component"]))}
-            part = np.array([names[d["component"][r]] for r in answers])
-            minor = np.array([d["minor"][r] for r in answers])
-            node = np.array([d["node"][r] for r in answers], dtype=object)
             for r in asks:
+                node, own = d["node"][r], d["n_shingles"][r]
                 same = sig == np.frombuffer(d["signature"][r], np.uint16)
-                own = d["n_shingles"][r]
-                likely = (same.mean(axis=1) >= NUMERATOR / DENOMINATOR - MARGIN) & (part != names[d["component"][r]])
-                likely &= DENOMINATOR * np.minimum(n, own) >= NUMERATOR * np.maximum(n, own)
-                likely &= ~same[:, : d["band"][r] * ROWS].reshape(len(n), -1, ROWS).all(axis=2).any(axis=1)
+                likely = (same.mean(axis=1) >= NUMERATOR / DENOMINATOR - MARGIN) & (DENOMINATOR * np.minimum(n, own) >= NUMERATOR * np.maximum(n, own))
+                likely &= ~same[:, : d["band"][r] * ROWS].reshape(len(n), -1, ROWS).all(axis=2).any(axis=1)  # else they met in an earlier band
                 for k in np.flatnonzero(likely):
-                    if not minor[k] or d["node"][r] < node[k]:  # a pair of two minor members is asked from both sides
-                        out_a.append(max(d["node"][r], node[k]))
-                        out_b.append(min(d["node"][r], node[k]))
-        return pa.table({"a": pa.array(out_a, pa.binary()), "b": pa.array(out_b, pa.binary())})
+                    q = answers[k]
+                    if d["minor"][q] and d["node"][q] < node:
+                        continue  # two minor members ask each other
+                    c, e = root(d["component"][r]), root(d["component"][q])
+                    if c != e and similar(full(r), full(q)):
+                        above[c] = e
+                        out.append((max(node, d["node"][q]), min(node, d["node"][q])))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.binary()), "b": pa.array([y for _, y in out], pa.binary())})
 
-    return asks.select(columns).unionByName(answers.select(columns)).groupBy("key", "i", "j").applyInArrow(run, "a binary, b binary").distinct()
+    return dealt.groupBy("key", "i", "j").applyInArrow(run, "a binary, b binary").distinct()
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
@@ -212,9 +236,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_i
     rows = common.cut_lineage(describe(docs, text, id_column))
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
     nodes = common.cut_lineage(nodes)
-    placed = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    hubs = placed.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-    met = common.cut_lineage(placed.join(hubs, "key"))
+    placed = nodes.select("node", "rep", F.posexplode("bands").alias("band", "key"))
+    hubs = placed.groupBy("key").agg(F.min(F.struct("rep", "node")).getField("node").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
+    met = common.cut_lineage(placed.drop("rep").join(hubs, "key"))
     pairs = met.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     # the texts of nodes that meet any other
     wanted = nodes.join(met.select("node").distinct(), "node", "left_semi").select("node", "rep")
@@ -226,7 +250,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_i
     buckets = met.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = buckets.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     mixed = buckets.join(mixed, "key", "left_semi").join(nodes.select("node", "n_shingles", "signature"), "node")
-    more = common.cut_lineage(confirm(near_pairs(mixed.select("key", "band", "node", "component", "n_shingles", "signature")), texts))
+    more = common.cut_lineage(cross_links(mixed.select("key", "band", "node", "component", "n_shingles", "signature"), texts))
     parts = components(links.unionByName(more))
     smallest = parts.join(nodes.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("component_id"))
     of_node = parts.join(smallest, "component").select("node", "component_id")
@@ -238,7 +262,7 @@ def _texts(source: DataFrame, wanted: DataFrame) -> DataFrame:
     """node, text for the wanted nodes: only texts whose id is wanted move."""
 
     def check(batches):
-        for batch in batches:
+        for batch in common.small(batches):
             same = [blake2b(shingles(t).tobytes(), digest_size=12).digest() == n for n, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             yield batch.filter(pa.array(same, pa.bool_()))
 
