@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm import ann, bpe, common, decontaminate, html_extract, near_dedup, quality, secret_scan, toxicity
+from tidebook.llm import ann, bpe, common, decontaminate, html_extract, language_model, near_dedup, quality, secret_scan, toxicity
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -45,6 +45,10 @@ def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(common.table(spark, sf_dir, "documents"), common.crc_mod("doc_id", 7) == 2)
+
+
 def op8_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode_documents(common.table(spark, sf_dir, "documents"), VOCABULARY)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -61,7 +65,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_quality": op2_quality, "op3_toxicity": op3_toxicity, "op4_neighbours": op4_neighbours, "op5_secret_scan": op5_secret_scan, "op6_html_extract": op6_html_extract, "op8_bpe_roundtrip": op8_bpe_roundtrip, "op9_near_dedup": op9_near_dedup, "op10_decontaminate": op10_decontaminate}
+    return {"op2_quality": op2_quality, "op3_toxicity": op3_toxicity, "op4_neighbours": op4_neighbours, "op5_secret_scan": op5_secret_scan, "op6_html_extract": op6_html_extract, "op7_language_model": op7_language_model, "op8_bpe_roundtrip": op8_bpe_roundtrip, "op9_near_dedup": op9_near_dedup, "op10_decontaminate": op10_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:
