@@ -8,11 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm import ann, bpe, common, decontaminate, html_extract, language_model, near_dedup, quality, secret_scan, toxicity
+from tidebook.llm import ann, bpe, common, decontaminate, html_extract, language_model, near_dedup, quality, secret_scan, suffix_dedup, toxicity
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.remove_repeats(common.table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     model = quality.train(docs, common.table(spark, sf_dir, "labels"))
@@ -65,7 +70,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_quality": op2_quality, "op3_toxicity": op3_toxicity, "op4_neighbours": op4_neighbours, "op5_secret_scan": op5_secret_scan, "op6_html_extract": op6_html_extract, "op7_language_model": op7_language_model, "op8_bpe_roundtrip": op8_bpe_roundtrip, "op9_near_dedup": op9_near_dedup, "op10_decontaminate": op10_decontaminate}
+    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_quality": op2_quality, "op3_toxicity": op3_toxicity, "op4_neighbours": op4_neighbours, "op5_secret_scan": op5_secret_scan, "op6_html_extract": op6_html_extract, "op7_language_model": op7_language_model, "op8_bpe_roundtrip": op8_bpe_roundtrip, "op9_near_dedup": op9_near_dedup, "op10_decontaminate": op10_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:
