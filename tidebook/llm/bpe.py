@@ -23,10 +23,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from tidebook.llm import common
+
 #: Words kept in a worker's memo before it is emptied.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 150_000
 #: Pair tests kept before they are emptied.
-MEMO_PAIRS = 1_000_000
+MEMO_PAIRS = 300_000
 #: Letters that end a word are moved to this block, so each unit stays one character.
 END_BLOCK = 0xF0000
 
@@ -208,7 +210,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text", id_co
 
     def run(batches):
         words = memo(vocabulary)
-        for batch in batches:
+        for batch in common.small(batches):
             rows = [words.text(t or "") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())],

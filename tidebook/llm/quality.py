@@ -14,12 +14,13 @@ is the labelled share of class 1 (one half without labels).
 
 from __future__ import annotations
 
-import hashlib
 import pickle
 import re
+import sys
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -30,12 +31,12 @@ TRAIN_ROWS = 4_000
 WORD_SLOTS = SHAPE_SLOTS = 1 << 16
 SLOTS = WORD_SLOTS + SHAPE_SLOTS
 COST, EPOCHS, MIX, SMOOTH = 0.05, 12, 0.5, 1.0
-MEMO_WORDS = 300_000
+MEMO_WORDS = 100_000
 UPPER, LOWER, DIGIT = re.compile(r"[^\W\d_a-zß-öø-ÿ]+"), re.compile(r"[^\W\d_]+"), re.compile(r"\d+")
 
 
 def slot(kind: str, gram: str, slots: int) -> int:
-    return int.from_bytes(hashlib.blake2b(f"{kind}\x00{gram}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") % slots
+    return xxhash.xxh64_intdigest(f"{kind}\x00{gram}".encode("utf-8", "surrogatepass")) % slots
 
 
 def shape(word: str) -> str:
@@ -54,7 +55,7 @@ class Grams(dict):
     def __missing__(self, word: str) -> tuple[int, str]:
         if len(self) >= MEMO_WORDS:
             self.clear()
-        self[word] = found = (slot("w", word.lower(), WORD_SLOTS), shape(word))
+        self[word] = found = (slot("w", word.lower(), WORD_SLOTS), sys.intern(shape(word)))
         return found
 
 
@@ -160,7 +161,7 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", per_class
     sample = common.labelled_sample(docs, labels, target, per_class)
 
     def slots_of(batches):
-        for batch in batches:
+        for batch in common.small(batches):
             rows = [features(t).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary()), batch.column(2)], ["doc_id", "slots", "y"])
 
@@ -182,7 +183,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def run(batches):
         m = shared.value
-        for batch in batches:
+        for batch in common.small(batches):
             found = m.score(np.array([m.margin(features(t)) for t in batch.column(place).to_pylist()]))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=[*batch.schema.names, "quality_score"])
 

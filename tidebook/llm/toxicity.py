@@ -36,7 +36,7 @@ TRAIN_ROWS = 5_000
 #: A stem needs so many toxic documents, and a log ratio of document shares that is surely (SIGMAS) at least this.
 LEAST_SUPPORT, LEAST_SURE, SIGMAS, MOST_STEMS = 5, 0.8, 2.8, 4_096
 SHORTEST_STEM, LONGEST_STEM = 3, 14
-MEMO_WORDS = 300_000
+MEMO_WORDS = 150_000
 #: Words that a target stays near, and that a negation reaches.
 NEAR, REACH = 4, 3
 
@@ -232,7 +232,7 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", per_class:
         return Model({}, [math.log(p / (1 - p)), 0.0, 0.0, 0.0])
 
     def count(batches):
-        for batch in batches:
+        for batch in common.small(batches):
             found: dict[str, list[int]] = {}
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for s in beginnings(text):
@@ -247,7 +247,7 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", per_class:
     model = Model(induce([(r["stem"], r["t"], r["c"]) for r in top], toxic, clean), None)
 
     def sums(batches):
-        for batch in batches:
+        for batch in common.small(batches):
             rows = [pickle.dumps(model.sums(t)) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), batch.column(1)], ["x", "y"])
 
@@ -265,7 +265,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def run(batches):
         m = shared.value
-        for batch in batches:
+        for batch in common.small(batches):
             texts = batch.column(place).to_pylist()
             found = [m.sums(t) for t in texts]
             z = np.clip(np.array(found).reshape(-1, 4) @ np.array(m.curve), -30, 30)
