@@ -200,22 +200,48 @@ def equal_windows(text: bytes, starts: np.ndarray, length: int = WINDOW) -> Iter
         yield from (leaf for leaf in trie.leaves() if len(leaf) > 1)
 
 
-def taken_windows(strings: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
-    """For each of the distinct strings, the smallest document of each of its windows."""
-    text = b"".join(strings)
-    length = np.fromiter(map(len, strings), np.int64, len(strings))
-    begin = np.cumsum(length) - length
+def least_documents(text: np.ndarray, begin: np.ndarray, length: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(smallest document of every window of distinct strings, string of each window); windows in order of strings."""
     windows = length - WINDOW + 1
     first = np.cumsum(windows) - windows
-    owner = np.repeat(np.arange(len(strings)), windows)
-    starts = np.arange(windows.sum()) - np.repeat(first, windows) + np.repeat(begin, windows)
+    owner = np.repeat(np.arange(len(begin)), windows)
+    starts = np.arange(len(owner)) + np.repeat(begin - first, windows)
     least = docs[owner]
-    for leaf in equal_windows(text, starts):
+    for leaf in equal_windows(text.tobytes(), starts):
         at = np.array(leaf)
         who = np.searchsorted(begin, at, side="right") - 1
-        rows = first[who] + at - begin[who]
-        least[rows] = docs[who].min()
-    return np.split(least, first[1:])
+        least[first[who] + at - begin[who]] = docs[who].min()
+    return least, owner
+
+
+# -- strings as arrays ---------------------------------------------------------------------
+
+BASE = 0x9E3779B97F4A7C15
+_POWERS: list[np.ndarray] = []
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of BASE and of its inverse, modulo 2^64."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        size = max(n, CHUNK)
+        _POWERS[:] = [np.multiply.accumulate(np.append(np.uint64(1), np.full(size - 1, x, np.uint64))) for x in (BASE, pow(BASE, -1, 1 << 64))]
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
+def string_hashes(text: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each string, from sums over prefixes."""
+    up, down = powers(len(text) + 1)
+    total = np.append(np.uint64(0), np.cumsum((text.astype(np.uint64) + np.uint64(1)) * up[:-1]))
+    h = (total[begin + length] - total[begin]) * down[begin] + length.astype(np.uint64)
+    h ^= h >> np.uint64(31)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
+def gather(text: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The strings one after another."""
+    shift = begin - (np.cumsum(length) - length)
+    return text[np.repeat(shift, length) + np.arange(int(length.sum()))]
 
 
 # -- the distributed passes ----------------------------------------------------------------
@@ -230,57 +256,51 @@ def open_up(data: bytes) -> bytes:
 
 
 class Home:
-    """A home's texts, documents and anchors."""
-
-    def __init__(self, table: pa.Table, buckets: int):
-        self.texts = [(t or "").encode("utf-8", "surrogatepass") for t in table.column("text").to_pylist()]
-        self.docs = np.array([LAST_ID if d is None else d for d in table.column("doc_id").to_pylist()], dtype=np.int64)
-        self.buckets = buckets
-        found = [(rows, h) for _, rows, _, _, _, h in runs(self.texts)]
-        doc = self.docs[np.concatenate([r for r, _ in found])] if found else np.empty(0, np.int64)
-        every = np.concatenate([h for _, h in found]) if found else np.empty(0, np.uint64)
-        self.hash, where = np.unique(every, return_inverse=True)
-        low = np.full(len(self.hash), LAST_ID)
+    """A home's texts by document, the runs of their windows, and its anchors."""
+
+    def __init__(self, table: pa.Table, buckets: int, strings: bool = True):
+        docs = np.array([LAST_ID if d is None else d for d in table.column("doc_id").to_pylist()], dtype=np.int64)
+        self.order = np.argsort(docs, kind="stable")
+        self.docs, self.buckets = docs[self.order], buckets
+        texts = table.column("text").to_pylist()
+        self.texts = [(texts[i] or "").encode("utf-8", "surrogatepass") for i in self.order.tolist()]
+        parts: list[tuple] = []
+        chunks, base = [], 0
+        for joined, rows, first, last, shift, h in runs(self.texts):
+            length = last - first + WINDOW
+            own = string_hashes(np.frombuffer(joined, np.uint8), first, length) if strings else h
+            parts.append((rows, first + base, length, first + shift, h, own))
+            if strings:
+                chunks.append(joined)
+            base += len(joined)
+        none = (np.empty(0, np.int64),) * 4 + (np.empty(0, np.uint64),) * 2
+        self.row, self.begin, self.length, self.offset, self.anchor, self.string = (np.concatenate(x) for x in zip(*(parts or [none]), strict=True))
+        self.whole = np.frombuffer(b"".join(chunks), np.uint8)
+        doc = self.docs[self.row]
+        self.hash, first, self.where = np.unique(self.anchor, return_index=True, return_inverse=True)
         high = np.full(len(self.hash), -LAST_ID - 1)
-        np.minimum.at(low, where, doc)
-        np.maximum.at(high, where, doc)
-        self.several = low != high
+        np.maximum.at(high, self.where, doc)
+        self.several = doc[first] != high  # rows are in order of documents, so the first is the smallest
         self.bucket = (self.hash % np.uint64(buckets)).astype(np.int64)
 
-    def by_bucket(self) -> Iterator[tuple[int, np.ndarray]]:
-        order = np.argsort(self.bucket, kind="stable")
-        edges = np.searchsorted(self.bucket[order], np.arange(self.buckets + 1))
+    def by_bucket(self, bucket: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
+        """Places of each bucket, of the anchors or of others whose bucket is given."""
+        bucket = self.bucket if bucket is None else bucket
+        order = np.argsort(bucket, kind="stable")
+        edges = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
         for b in range(self.buckets):
             yield b, order[edges[b] : edges[b + 1]]
 
-    def shared(self, masks: dict[int, bytes]) -> np.ndarray:
-        out = np.zeros(len(self.hash), bool)
+    def keep_shared(self, masks: dict[int, bytes]) -> None:
+        """Leaves out the runs whose anchor stands in one document only; equal strings become one record."""
+        shared = np.zeros(len(self.hash), bool)
         for b, rows in self.by_bucket():
-            if len(rows) and b in masks:
-                out[rows] = np.unpackbits(np.frombuffer(masks[b], np.uint8), count=len(rows)).astype(bool)
-        return out
-
-    def strings(self, shared: np.ndarray) -> Iterator[tuple[bytes, int, int, int, int]]:
-        """(string, anchor hash, text number, offset of its first window, windows) of the runs with shared anchors."""
-        for joined, rows, first, last, shift, h in runs(self.texts):
-            keep = shared[np.searchsorted(self.hash, h)]
-            first, last = first[keep], last[keep]
-            ends = (last + WINDOW).tolist()
-            for begin, end, anchor, row, offset in zip(first.tolist(), ends, h[keep].tolist(), rows[keep].tolist(), (first + shift[keep]).tolist(), strict=True):
-                yield joined[begin:end], anchor, row, offset, end - begin - WINDOW + 1
-
-    def records(self, shared: np.ndarray) -> dict[int, dict[bytes, list[int]]]:
-        """Bucket to distinct strings, each with its smallest document and part."""
-        out: dict[int, dict[bytes, list[int]]] = {}
-        for string, anchor, row, _, _ in self.strings(shared):
-            mine = out.setdefault(anchor % self.buckets, {})
-            doc = int(self.docs[row])
-            if string in mine:
-                if doc < mine[string][0]:
-                    mine[string][0] = doc
-            else:
-                mine[string] = [doc, (anchor >> 40) % PARTS]
-        return out
+            if len(rows):
+                shared[rows] = np.unpackbits(np.frombuffer(masks[b], np.uint8), count=len(rows)).astype(bool)
+        keep = np.flatnonzero(shared[self.where])
+        self.row, self.begin, self.length, self.offset, self.anchor, self.string = (x[keep] for x in (self.row, self.begin, self.length, self.offset, self.anchor, self.string))
+        _, self.first, self.record = np.unique(self.string, return_index=True, return_inverse=True)
+        self.record_bucket = (self.anchor[self.first] % np.uint64(self.buckets)).astype(np.int64)
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", id_column: str = "doc_id", home_bytes: int = HOME_BYTES) -> DataFrame:
@@ -293,7 +313,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_column: str = "doc_id
     homed = rows.withColumn("home", F.pmod(F.xxhash64("doc_id", F.substring("text", 1, 64)), F.lit(homes)).cast("int"))
 
     def fingerprints(key, table):
-        home = Home(table, buckets)
+        home = Home(table, buckets, strings=False)
         out = [{"home": key[0].as_py(), "bucket": b, "prints": (home.hash[rows] // np.uint64(buckets)).view(np.uint8).reshape(-1, 8)[:, :FINGERPRINT].tobytes(), "several": np.packbits(home.several[rows]).tobytes()} for b, rows in home.by_bucket()]
         return pa.Table.from_pylist(out, pa.schema([("home", pa.int32()), ("bucket", pa.int32()), ("prints", pa.binary()), ("several", pa.binary())]))
 
@@ -316,82 +336,84 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_column: str = "doc_id
     def send(key, left, right):
         home = Home(left, buckets)
         masks = dict(zip(right.column("bucket").to_pylist(), right.column("mask").to_pylist(), strict=True))
-        found = home.records(home.shared(masks))
+        home.keep_shared(masks)
         out = []
-        for b, mask in masks.items():
-            mine = found.get(b, {})
+        for b, records in home.by_bucket(home.record_bucket):
+            run = home.first[records]
             out.append({
                 "home": left.column("home")[0].as_py(),
                 "bucket": b,
-                "mask": mask,
-                "strings": squeeze(b"".join(mine)),
-                "lengths": np.fromiter(map(len, mine), np.uint8, len(mine)).tobytes(),
-                "docs": squeeze(np.array([d for d, _ in mine.values()], dtype=np.int64).tobytes()),
-                "parts": np.array([p for _, p in mine.values()], dtype=np.uint8).tobytes(),
+                "mask": masks[b],
+                "strings": squeeze(gather(home.whole, home.begin[run], home.length[run]).tobytes()),
+                "lengths": home.length[run].astype(np.uint8).tobytes(),
+                "docs": squeeze(home.docs[home.row[run]].tobytes()),
+                "parts": ((home.anchor[run] >> np.uint64(40)) % np.uint64(PARTS)).astype(np.uint8).tobytes(),
             })
         return pa.Table.from_pylist(out, pa.schema([("home", pa.int32()), ("bucket", pa.int32()), ("mask", pa.binary()), ("strings", pa.binary()), ("lengths", pa.binary()), ("docs", pa.binary()), ("parts", pa.binary())]))
 
     def sort(key, table):
         """First and last taken window of each string of each home, NONE and NONE where none is."""
         parts = [np.frombuffer(x.as_py(), np.uint8) for x in table.column("parts")]
+        lengths = [np.frombuffer(x.as_py(), np.uint8).astype(np.int64) for x in table.column("lengths")]
+        docs = [np.frombuffer(open_up(x.as_py()), np.int64) for x in table.column("docs")]
+        texts = [np.frombuffer(open_up(x.as_py()), np.uint8) for x in table.column("strings")]
         answers = [np.full((len(p), 2), NONE, np.uint8) for p in parts]
         for part in range(PARTS):
-            number: dict[bytes, int] = {}
-            low: list[int] = []
-            asked: list[tuple[int, int, int, int]] = []
-            for k, (blob, lengths, docs) in enumerate(zip(table.column("strings"), table.column("lengths"), table.column("docs"), strict=True)):
-                mine = np.flatnonzero(parts[k] == part)
-                if not len(mine):
-                    continue
-                ends = np.cumsum(np.frombuffer(lengths.as_py(), np.uint8).astype(np.int64))
-                blob, docs = open_up(blob.as_py()), np.frombuffer(open_up(docs.as_py()), np.int64)
-                begins = np.append(0, ends[:-1])
-                for r, begin, end, doc in zip(mine.tolist(), begins[mine].tolist(), ends[mine].tolist(), docs[mine].tolist(), strict=True):
-                    string = blob[begin:end]
-                    at = number.get(string)
-                    if at is None:
-                        at = number[string] = len(low)
-                        low.append(doc)
-                    elif doc < low[at]:
-                        low[at] = doc
-                    asked.append((k, r, at, doc))
-            if not number:
+            mine = [np.flatnonzero(p == part) for p in parts]
+            n = [len(m) for m in mine]
+            if not sum(n):
                 continue
-            least = taken_windows(list(number), np.array(low, dtype=np.int64))
-            for k, r, at, doc in asked:
-                taken = np.flatnonzero(least[at] < doc)
-                if len(taken):
-                    answers[k][r] = taken[0], taken[-1]
+            length = np.concatenate([x[m] for x, m in zip(lengths, mine, strict=True)])
+            doc = np.concatenate([x[m] for x, m in zip(docs, mine, strict=True)])
+            text = np.concatenate([gather(t, (np.cumsum(x) - x)[m], x[m]) for t, x, m in zip(texts, lengths, mine, strict=True)])
+            begin = np.cumsum(length) - length
+            _, first, string = np.unique(string_hashes(text, begin, length), return_index=True, return_inverse=True)
+            low = np.full(len(first), LAST_ID)
+            np.minimum.at(low, string, doc)
+            own = length[first]
+            least, owner = least_documents(gather(text, begin[first], own), np.cumsum(own) - own, own, low)
+            taken = least < low[owner]
+            at = np.arange(len(owner)) - np.repeat(np.cumsum(own - WINDOW + 1) - (own - WINDOW + 1), own - WINDOW + 1)
+            edges = np.cumsum(own - WINDOW + 1) - (own - WINDOW + 1)
+            head = np.minimum.reduceat(np.where(taken, at, NONE), edges)
+            tail = np.maximum.reduceat(np.where(taken, at, -1), edges)
+            # a larger document than the string's smallest loses every window
+            all_of = doc > low[string]
+            head, tail = np.where(all_of, 0, head[string]), np.where(all_of, length - WINDOW, np.where(tail < 0, NONE, tail)[string])
+            for k, (m, h, t) in enumerate(zip(mine, np.split(head, np.cumsum(n)[:-1]), np.split(tail, np.cumsum(n)[:-1]), strict=True)):
+                answers[k][m, 0], answers[k][m, 1] = h, t
         return pa.table({"home": table.column("home"), "bucket": table.column("bucket"), "mask": table.column("mask"), "taken": pa.array([squeeze(a.tobytes()) for a in answers], pa.binary())})
 
     def cut(left, right):
         home = Home(left, buckets)
-        shared = home.shared(dict(zip(right.column("bucket").to_pylist(), right.column("mask").to_pylist(), strict=True)))
-        taken = {b: np.frombuffer(open_up(t.as_py()), np.uint8).reshape(-1, 2).tolist() for b, t in zip(right.column("bucket").to_pylist(), right.column("taken"), strict=True)}
-        records = home.records(shared)
-        known = {b: dict(zip(mine, zip([d for d, _ in mine.values()], taken[b], strict=True), strict=True)) for b, mine in records.items()}
-        spans: list[list[tuple[int, int]]] = [[] for _ in home.texts]
-        for string, anchor, row, offset, windows in home.strings(shared):
-            doc, (first, last) = known[anchor % buckets][string]
-            if home.docs[row] != doc:
-                spans[row].append((offset, offset + windows - 1 + WINDOW))
-            elif first != NONE:
-                spans[row].append((offset + first, offset + last + WINDOW))
+        home.keep_shared(dict(zip(right.column("bucket").to_pylist(), right.column("mask").to_pylist(), strict=True)))
+        answers = dict(zip(right.column("bucket").to_pylist(), right.column("taken"), strict=True))
+        taken = np.full((len(home.first), 2), NONE, np.int64)
+        for b, records in home.by_bucket(home.record_bucket):
+            if len(records):
+                taken[records] = np.frombuffer(open_up(answers[b].as_py()), np.uint8).reshape(-1, 2)
+        # a run of a larger document than its record's loses every window
+        whole = home.docs[home.row] != home.docs[home.row[home.first]][home.record]
+        head, tail = np.where(whole, 0, taken[home.record, 0]), np.where(whole, home.length - WINDOW, taken[home.record, 1])
+        hit = np.flatnonzero(whole | (head != NONE))
+        far = max(map(len, home.texts), default=0) + 1
+        begin, end = (home.row * far + home.offset + head)[hit], (home.row * far + home.offset + tail + WINDOW)[hit]
+        order = np.argsort(begin, kind="stable")
+        begin, end = begin[order], np.maximum.accumulate(end[order])
+        fresh = np.append(True, begin[1:] > end[:-1]) if len(begin) else np.empty(0, bool)
+        starts, ends = begin[fresh], end[np.append(fresh[1:], True)] if len(begin) else end
+        spans: dict[int, list[tuple[int, int]]] = {}
+        for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
+            row = s // far
+            spans.setdefault(row, []).append((s - row * far, e - row * far))
         n_removed, n_spans, kept = [], [], []
-        for text, found in zip(home.texts, spans, strict=True):
-            rest, at, merged = [], 0, 0
-            end = -1
-            for s, e in sorted(found):
-                if s > end:
-                    merged += 1
-                    rest.append(text[at:s])
-                end = max(end, e)
-                at = end
-            rest = b"".join([*rest, text[at:]])
+        for row, text in enumerate(home.texts):
+            found = spans.get(row, [])
+            rest = b"".join([text[a:b] for a, b in zip([0, *(e for _, e in found)], [*(s for s, _ in found), len(text)], strict=True)])
             n_removed.append(len(text) - len(rest))
-            n_spans.append(merged)
+            n_spans.append(len(found))
             kept.append(rest)
-        return pa.table({"doc_id": left.column("doc_id"), "n_bytes": pa.array([len(t) for t in home.texts], pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "n_spans": pa.array(n_spans, pa.int64()), "kept": pa.array(kept, pa.binary())})
+        return pa.table({"doc_id": left.column("doc_id").take(pa.array(home.order)), "n_bytes": pa.array([len(t) for t in home.texts], pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "n_spans": pa.array(n_spans, pa.int64()), "kept": pa.array(kept, pa.binary())})
 
     masks = homed.groupBy("home").applyInArrow(fingerprints, "home int, bucket int, prints binary, several binary").groupBy("bucket").applyInArrow(mark, "home int, bucket int, mask binary")
     strings = homed.groupBy("home").cogroup(masks.groupBy("home")).applyInArrow(send, "home int, bucket int, mask binary, strings binary, lengths binary, docs binary, parts binary")
