@@ -1,7 +1,7 @@
 """Main text of web pages by wrapper induction.
 
-Pages of one host are aligned by simple tree matching.  A text slot that keeps one value while other
-slots vary belongs to the host's template; varying slots are content, unless they lie in a region that the
+Pages of one host are aligned by simple tree matching.  A text slot that keeps one value over
+pages belongs to the host's template; varying slots are content, unless they lie in a region that the
 markup declares to be something else (navigation, footer, advert, form, reader comments ...).
 
 Induction covers every page: each task folds its pages into one partial template for each host, partial
@@ -9,8 +9,8 @@ templates of a host are merged in two rounds (so a hot host is never gathered in
 the templates go back to the pages by a broadcast behind a check of their size, or else by a salted join.
 
 Pages: null or empty html gives an empty text.  Broken markup is repaired (implied ends, missing ends).
-Identical pages never make their own article a template: a constant slot counts only beside slots with
-``MIN_VARIANTS`` different values.  Nothing is cut off or capped.
+A slot is template only where ``MIN_PAGES`` different pages share its text, so copies of a page never make their own
+article one.  Nothing is cut off or capped.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ import hashlib
 import html
 import json
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -42,8 +43,8 @@ SIDE_NAMES = re.compile(
     re.IGNORECASE,
 )
 CONTENT_TAGS = {"article", "main"}
-#: Values of a varying slot that are told apart; a template needs one slot with so many.
-MIN_VARIANTS = 3
+#: A constant slot is template once so many different pages have it.
+MIN_PAGES = 8
 #: Partial templates kept in a task before they are passed on.
 TASK_HOSTS = 2_000
 BROADCAST_BYTES = 64 << 20
@@ -119,48 +120,80 @@ def is_side(label: str, inside: bool) -> bool:
 
 
 # -- templates -----------------------------------------------------------------------------
-# A template node is [label, value, children, variants]: value is the constant text or None once it varies,
-# variants the hashes of its first values (MIN_VARIANTS at most).  Neighbours with one label are one slot.
+# A template node is [label, value, children, pages]: value is the constant text or None once it varies, pages the
+# hashes of the first different pages that have it (MIN_PAGES at most).  List items beside each other are one slot.
 
 
 def mark(text: str) -> str:
     return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=6).hexdigest()
 
 
+#: Neighbours that are items of one list; of other kinds only longer runs than LONG are.
+ITEMS = {"#text", "p", "li", "tr", "td", "th", "dt", "dd", "option"}
+LONG = 8
+
+
 def slots(children: list) -> list[list]:
-    """Neighbouring children with the same label, together."""
-    out: list[list] = []
+    """Neighbouring children with the same label that are items of a list, together; others apart."""
+    runs: list[list] = []
     for c in children:
-        if out and out[-1][0][0] == c[0]:
-            out[-1].append(c)
+        if runs and runs[-1][0][0] == c[0]:
+            runs[-1].append(c)
         else:
-            out.append([c])
+            runs.append([c])
+    out: list[list] = []
+    for run in runs:
+        if len(run) > LONG or run[0][0].partition(" ")[0] in ITEMS:
+            out.append(run)
+        else:
+            out += [[c] for c in run]
     return out
 
 
-def lift(nodes: list) -> list:
-    """Neighbours of one slot as one template node."""
+def texts(node: list) -> Iterator[str]:
+    if node[1] is not None:
+        yield node[1]
+    for c in node[2]:
+        yield from texts(c)
+
+
+def lift(nodes: list, page: str = "") -> list:
+    """Neighbours of one slot as one template node; ``page`` is the hash of the page they are from."""
     label = nodes[0][0]
     if label == "#text":
-        text = " ".join(x[1] for x in nodes)
-        return [label, text, [], [mark(text)]]
-    kids = [lift(s) for s in slots(nodes[0][2])]
+        return [label, " ".join(x[1] for x in nodes), [], [page]]
+    kids = [lift(s, page) for s in slots(nodes[0][2])]
     for other in nodes[1:]:
-        kids = align(kids, [lift(s) for s in slots(other[2])])
+        kids = align(kids, [lift(s, page) for s in slots(other[2])])
     return [label, None, kids, []]
 
 
+def learn(page: str | None) -> list:
+    """A page as a template of its own."""
+    tree = parse(page or "")
+    return lift([tree], mark("\x00".join(texts(tree))))
+
+
 def weight(a: list, b: list) -> int:
     """Simple tree matching: the size of the largest mapping that keeps order and depth."""
     if a[0] != b[0]:
         return 0
-    return 1 + (match(a[2], b[2])[0] if a[2] and b[2] else 0)
+    if not a[2] or not b[2]:
+        return 1
+    if same_labels(a[2], b[2]):
+        return 1 + sum(map(weight, a[2], b[2]))
+    return 1 + match(a[2], b[2])[0]
+
+
+def same_labels(left: list, right: list) -> bool:
+    return len(left) == len(right) and all(a[0] == b[0] for a, b in zip(left, right, strict=True))
 
 
 def match(left: list, right: list) -> tuple[int, list[tuple[int, int]]]:
+    """(size, pairs) of the best mapping of two lists of siblings; lists with equal labels need no table."""
     n, m = len(left), len(right)
-    if n == m and all(a[0] == b[0] for a, b in zip(left, right, strict=True)):  # the usual case needs no table
-        return 2 * n, [(i, i) for i in range(n)]
+    if same_labels(left, right):
+        return 0, [(i, i) for i in range(n)]
     w = [[weight(a, b) for b in right] for a in left]
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
@@ -179,11 +212,7 @@ def match(left: list, right: list) -> tuple[int, list[tuple[int, int]]]:
 
 
 def join_nodes(a: list, b: list) -> list:
-    kinds = a[3]
-    for v in b[3]:
-        if len(kinds) < MIN_VARIANTS and v not in kinds:
-            kinds = [*kinds, v]
-    return [a[0], a[1] if a[1] == b[1] else None, align(a[2], b[2]), sorted(kinds)]
+    return [a[0], a[1] if a[1] == b[1] else None, align(a[2], b[2]), sorted({*a[3], *b[3]})[:MIN_PAGES]]
 
 
 def align(left: list, right: list) -> list:
@@ -195,17 +224,11 @@ def align(left: list, right: list) -> list:
     return out + left[i:] + right[j:]
 
 
-def varied(node: list) -> bool:
-    return len(node[3]) >= MIN_VARIANTS or any(varied(c) for c in node[2])
-
-
 # -- extraction ----------------------------------------------------------------------------
 
 
 def content(page: list, template: list | None) -> str:
     """Texts of the page that are neither template nor declared to be something else."""
-    use = template is not None and varied(template)
-
     def find(node: list, inside: bool) -> bool:
         return any((c[0].partition(" ")[0] in CONTENT_TAGS or find(c, inside)) for c in node[2] if c[0] != "#text" and not is_side(c[0], inside))
 
@@ -219,15 +242,15 @@ def content(page: list, template: list | None) -> str:
             slot = slots_of[other[i]] if i in other else None
             if group[0][0] == "#text":
                 text = " ".join(x[1] for x in group)
-                constant = slot is not None and slot[1] is not None and slot[1] == text
-                if (inside or not declared) and not (use and constant):
+                constant = slot is not None and slot[1] == text and len(slot[3]) >= MIN_PAGES
+                if (inside or not declared) and not constant:
                     out.append(text)
                 continue
             for node in group:
                 if not is_side(node[0], inside):
                     walk(node[2], slot[2] if slot else [], inside or node[0].partition(" ")[0] in CONTENT_TAGS)
 
-    walk(page[2], template[2] if use else [], False)
+    walk(page[2], template[2] if template else [], False)
     return " ".join(out)
 
 
@@ -254,7 +277,7 @@ def induce(pages: DataFrame, salts: int = 16) -> DataFrame:
 
         for batch in common.small(batches):
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                t = lift([parse(page or "")])
+                t = learn(page)
                 kept[host] = join_nodes(kept[host], t) if host in kept else t
                 if len(kept) >= TASK_HOSTS:
                     yield rows()

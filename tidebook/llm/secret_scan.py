@@ -80,8 +80,9 @@ def ordinary_p(token: str) -> float:
     # an ordinary token: noncentral chi-squared with ORDINARY_SKEW a letter; its lower tail by a normal approximation
     centre, spread = k - 1 + ORDINARY_SKEW * n, math.sqrt(2 * (k - 1 + 2 * ORDINARY_SKEW * n))
     p_chi = phi((chi2 - centre) / spread)
-    changes = sum(klass(a) != klass(b) for a, b in zip(body, body[1:], strict=False))
-    mean = ORDINARY_CHANGES * (n - 1)
+    joined = re.sub(r"[+/_-]", "", body)  # separators make no changes
+    changes = sum(klass(a) != klass(b) for a, b in zip(joined, joined[1:], strict=False))
+    mean = ORDINARY_CHANGES * max(len(joined) - 1, 1)
     p_runs = 1 - phi((changes - 0.5 - mean) / math.sqrt(mean * (1 - ORDINARY_CHANGES)))
     index = [letters.index(c) for c in body]
     centre = sum(index) / n
