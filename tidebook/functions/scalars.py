@@ -20,12 +20,12 @@ def mid(bid: Column, ask: Column) -> Column:
 
 
 def spread_bp(bid: Column, ask: Column) -> Column:
-    return (ask - bid) / mid(bid, ask) * 1e4
+    return F.try_divide(ask - bid, mid(bid, ask)) * 1e4
 
 
 def guarded_ratio(top: Column, bottom: Column, least: float = 1e-9) -> Column:
     """top / bottom, and 0 where the bottom is not over ``least``."""
-    return F.when(bottom > least, top / bottom).otherwise(F.lit(0.0))
+    return F.when(bottom > least, F.try_divide(top, bottom)).otherwise(F.lit(0.0))
 
 
 def imbalance(bid_qty: Column, ask_qty: Column) -> Column:
@@ -37,7 +37,7 @@ def micro_price(bid: Column, bid_qty: Column, ask: Column, ask_qty: Column) -> C
 
 
 def micro_bp(bid: Column, bid_qty: Column, ask: Column, ask_qty: Column) -> Column:
-    return (micro_price(bid, bid_qty, ask, ask_qty) - mid(bid, ask)) / mid(bid, ask) * 1e4
+    return F.try_divide(micro_price(bid, bid_qty, ask, ask_qty) - mid(bid, ask), mid(bid, ask)) * 1e4
 
 
 def array_sum(values: Column) -> Column:

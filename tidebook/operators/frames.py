@@ -36,7 +36,7 @@ def island_ids(rows: DataFrame, breaks: Column, keys: list[str], order: str, buc
 
 def jump_breaks(mid: Column, window: WindowSpec, jump_bp: float = 100.0) -> Column:
     """True where the log mid moves by more than ``jump_bp`` from the row before."""
-    return F.coalesce(F.abs(F.log(mid) - F.log(F.lag(mid).over(window))) * 1e4 > jump_bp, F.lit(False))
+    return F.coalesce(F.abs(S.log_floor(mid) - F.lag(S.log_floor(mid)).over(window)) * 1e4 > jump_bp, F.lit(False))
 
 
 def positions(frames: DataFrame) -> DataFrame:
@@ -89,13 +89,13 @@ def full_frame_mean(x: Column, first: int, last: int) -> Column:
 def forward_bp(mid: Column, k: int, latency: int = 0) -> Column:
     """Mean of the k mids after entry against the entry mid, in basis points."""
     entry = F.lead(mid, latency).over(within()) if latency else mid
-    return (full_frame_mean(mid, 1 + latency, k + latency) - entry) / entry * 1e4
+    return F.try_divide(full_frame_mean(mid, 1 + latency, k + latency) - entry, entry) * 1e4
 
 
 def smoothed_bp(mid: Column, k: int) -> Column:
     """Mean of the next k mids against the mean of the last k, this one included."""
     back = full_frame_mean(mid, -(k - 1), 0)
-    return (full_frame_mean(mid, 1, k) - back) / back * 1e4
+    return F.try_divide(full_frame_mean(mid, 1, k) - back, back) * 1e4
 
 
 FEATURES = ("ofi1_1s", "ofi1_5s", "ofi5_1s", "imb1", "imb5", "imb10", "spread_bp", "micro_bp", "ret_1s_bp", "ret_5s_bp", "ret_30s_bp", "rv_30s_bp", "slope_bid", "slope_ask")

@@ -1,7 +1,7 @@
 """Registry of named queries, and the analogue tables they read.
 
 The driver's ``events`` stand for the book's frames: event_type is the symbol, event_id the arrival order,
-value the mid, and an event whose property k is 0 breaks trust.
+value (a cent at least) the mid, and an event whose property k is 0 breaks trust.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """symbol, seq, mid, user_id, ts, event_ms, k of every event."""
     e = table(spark, sf_dir, "events")
     return e.select(
-        F.col("event_type").alias("symbol"), F.col("event_id").alias("seq"), F.col("value").alias("mid"), "user_id", "ts",
+        F.col("event_type").alias("symbol"), F.col("event_id").alias("seq"), F.greatest(F.col("value"), F.lit(0.01)).alias("mid"), "user_id", "ts",
         F.unix_millis(F.col("ts").cast("timestamp")).alias("event_ms"), F.get_json_object("props", "$.k").cast("long").alias("k"),
     )
 
@@ -47,7 +47,7 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The same tables for the oracle; queries go on with a comma or a SELECT.
-TICKS = """WITH ev AS (SELECT event_type AS symbol, event_id AS seq, value AS mid, user_id, ts, epoch_us(ts) // 1000 AS event_ms,
+TICKS = """WITH ev AS (SELECT event_type AS symbol, event_id AS seq, GREATEST(value, 0.01) AS mid, user_id, ts, epoch_us(ts) // 1000 AS event_ms,
  CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)"""
 FRAMES = TICKS + """,
 fr AS (SELECT *, CAST(SUM(CASE WHEN k = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY seq) AS BIGINT) AS segment_id FROM ev),

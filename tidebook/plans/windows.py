@@ -60,10 +60,11 @@ def order_flow(spark, d):
     return line_quotes(spark, d).select("symbol", "seq", R6(W.order_flow(F.col("bid"), F.col("bq"), F.col("ask"), F.col("aq"))).alias("ofi"))
 
 
-@query("w04_order_flow_sum", OFI_SQL + " SELECT symbol, seq, ROUND(SUM(e) OVER (PARTITION BY symbol ORDER BY seq ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS ofi3 FROM ofi")
+@query("w04_order_flow_sum", OFI_SQL + " SELECT symbol, seq, CASE WHEN ABS(s) < 1e-6 THEN 0.0 ELSE ROUND(s, 6) END AS ofi3 FROM (SELECT symbol, seq, SUM(e) OVER (PARTITION BY symbol ORDER BY seq ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS s FROM ofi)")
 def order_flow_sum(spark, d):
     rows = line_quotes(spark, d).withColumn("e", W.order_flow(F.col("bid"), F.col("bq"), F.col("ask"), F.col("aq")))
-    return rows.select("symbol", "seq", R6(W.rolling_sum(F.col("e"), 3)).alias("ofi3"))
+    rows = rows.withColumn("s", W.rolling_sum(F.col("e"), 3))
+    return rows.select("symbol", "seq", F.when(F.abs("s") < 1e-6, 0.0).otherwise(R6(F.col("s"))).alias("ofi3"))
 
 
 @query("w03_multi_level_flow", "WITH one AS (SELECT 1)" + LINE_BOOK + """, lg AS (SELECT *, LAG(bq) OVER w AS b1, LAG(aq) OVER w AS a1, LAG(bq, 2) OVER w AS b2, LAG(aq, 2) OVER w AS a2 FROM li WINDOW w AS (PARTITION BY symbol ORDER BY seq))
