@@ -150,3 +150,22 @@ def test_tick_check(spark):
     book.check_tick(prices, 0.5)
     with pytest.raises(ValueError, match="steps of 0.5"):
         book.check_tick(prices, 0.1)
+
+
+def test_repair_over_withheld_events(spark):
+    """Every loss is kept aside: each break is repaired, states equal the whole history, and segments are one more than losses."""
+    es, ss = simulator.stream(spark, 1, 300, seed=3)
+    truth = {r["update_id"]: r for r in book.replay(es, ss, simulator.TICK).collect()}
+    lost = [s for s in range(300) if s % 37 == 36]
+    marked = es.withColumn("withheld", F.col("seq").isin(lost))
+    out = book.replay(marked, ss, simulator.TICK).orderBy("seq").collect()
+    assert len(out) == 300 - len(lost) and {r["outcome"] for r in out} == {"applied", "repaired"}
+    assert all((r["bids"], r["asks"]) == (truth[r["update_id"]]["bids"], truth[r["update_id"]]["asks"]) for r in out)
+    assert len({r["segment_id"] for r in out}) == len(lost) + 1
+
+
+def test_a_hole_that_was_not_punched_is_not_repaired(spark):
+    es, ss = simulator.stream(spark, 1, 100, seed=3)
+    marked = es.where("seq not between 30 and 37").withColumn("withheld", F.col("seq") == 38)
+    out = book.replay(marked, ss, simulator.TICK).orderBy("seq").collect()
+    assert [r["outcome"] for r in out] == ["applied"] * 30 + ["desync"]

@@ -7,6 +7,10 @@ tried as an anchor.  Each stretch between breaks is a trusted segment.
 The plan has two passes.  ``label_events`` carries ids only and runs the two-state automaton per symbol in one
 streaming scan; ``replay`` then rebuilds segments, which are independent, so one symbol's history is spread over
 as many tasks as it has segments.  Both keep their state across Arrow batches and never hold a group.
+
+Events may be marked ``withheld``: the live book never saw them, but they were kept.  A break right after
+withheld events that close it exactly is repaired: they are applied unseen, and a new segment goes on with the same book, so
+such segments form one chain that is replayed together.
 """
 
 from __future__ import annotations
@@ -32,13 +36,19 @@ class Automaton:
         self.trust, self.pool = trust, []
         self.last: int | None = None
         self.fresh = False
-        self.segment = -1
+        self.segment = self.chain = -1
+        self.missed: list[tuple[int, int]] = []
 
     def add_snapshots(self, ids: list[int]) -> None:
         self.pool = sorted({*self.pool, *ids})
 
+    def withhold(self, final: int, prev: int) -> None:
+        """An event that was lost on the way and kept elsewhere."""
+        self.missed = [*self.missed, (final, prev)] if self.missed and self.missed[-1][0] == prev else [(final, prev)]
+
     def step(self, first: int, final: int, prev: int) -> tuple[str, int | None, int | None]:
         """(outcome, snapshot id that was loaded, expected id at a break) of one event."""
+        missed, self.missed = self.missed, []
         anchor = None
         if self.last is None:
             at = bisect.bisect_left(self.pool, first - 1)
@@ -48,17 +58,22 @@ class Automaton:
             del self.pool[: at + 1]
             self.last, self.fresh = anchor, True
             self.segment += 1
+            self.chain += 1
         if final <= self.last:
             return "skipped", anchor, None
         if self.trust and not self.fresh and prev != self.last:
             expected, self.last = self.last, None
+            if missed and missed[0][1] == expected and missed[-1][0] == prev:
+                self.last = final
+                self.segment += 1
+                return "repaired", anchor, expected
             return "desync", anchor, expected
         self.last, self.fresh = final, False
         return "applied", anchor, None
 
 
 def label_events(events: DataFrame, snapshots: DataFrame, trust: bool = True) -> DataFrame:
-    """``outcome`` (applied, skipped, unanchored, desync), ``segment_id``, ``anchor_id``, ``expected`` of each event by (symbol, seq).
+    """``outcome`` (applied, skipped, unanchored, desync, repaired, withheld), ``segment_id``, ``chain_id``, ``anchor_id``, ``expected`` by (symbol, seq).
 
     events: symbol, seq, first_id, final_id, prev_id; snapshots: symbol, update_id, and optionally ``seq``, the position
     from which a snapshot may be used.
@@ -66,25 +81,31 @@ def label_events(events: DataFrame, snapshots: DataFrame, trust: bool = True) ->
     known = snapshots.columns
     available = F.col("seq").cast("long") if "seq" in known else F.lit(-(1 << 62)).cast("long")
     marks = snapshots.select("symbol", available.alias("seq"), F.lit(0).alias("kind"), F.col("update_id").alias("first_id"), F.lit(0).cast("long").alias("final_id"), F.lit(0).cast("long").alias("prev_id"))
-    rows = events.select("symbol", "seq", F.lit(1).alias("kind"), "first_id", "final_id", "prev_id").unionByName(marks)
+    kind = F.when(F.col("withheld"), 2).otherwise(1) if "withheld" in events.columns else F.lit(1)
+    rows = events.select("symbol", "seq", kind.alias("kind"), "first_id", "final_id", "prev_id").unionByName(marks)
     ordered = rows.repartition("symbol").sortWithinPartitions("symbol", "seq", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         symbol, machine = None, Automaton(trust)
         for batch in batches:
-            out: dict[str, list] = {c: [] for c in ("symbol", "seq", "outcome", "segment_id", "anchor_id", "expected")}
+            out: dict[str, list] = {c: [] for c in ("symbol", "seq", "outcome", "segment_id", "chain_id", "anchor_id", "expected")}
             for sym, seq, kind, first, final, prev in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if sym != symbol:
                     symbol, machine = sym, Automaton(trust)
                 if kind == 0:
                     machine.add_snapshots([first])
                     continue
-                outcome, anchor, expected = machine.step(first, final, prev)
-                for name, value in zip(out, (sym, seq, outcome, machine.segment if outcome != "unanchored" else None, anchor, expected), strict=True):
+                outcome, anchor, expected = "withheld", None, None
+                if kind == 2:
+                    machine.withhold(final, prev)
+                else:
+                    outcome, anchor, expected = machine.step(first, final, prev)
+                live = outcome != "unanchored" and machine.segment >= 0
+                for name, value in zip(out, (sym, seq, outcome, machine.segment if live else None, machine.chain if live else None, anchor, expected), strict=True):
                     out[name].append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out["symbol"], pa.string()), pa.array(out["seq"], pa.int64()), pa.array(out["outcome"], pa.string()), *(pa.array(out[c], pa.int64()) for c in ("segment_id", "anchor_id", "expected"))], list(out))
+            yield pa.RecordBatch.from_arrays([pa.array(out["symbol"], pa.string()), pa.array(out["seq"], pa.int64()), pa.array(out["outcome"], pa.string()), *(pa.array(out[c], pa.int64()) for c in ("segment_id", "chain_id", "anchor_id", "expected"))], list(out))
 
-    return ordered.mapInArrow(run, "symbol string, seq long, outcome string, segment_id long, anchor_id long, expected long")
+    return ordered.mapInArrow(run, "symbol string, seq long, outcome string, segment_id long, chain_id long, anchor_id long, expected long")
 
 
 class Book:
@@ -121,36 +142,41 @@ class Book:
 
 
 def replay(events: DataFrame, snapshots: DataFrame, tick: float, trust: bool = True, shown: int = SHOWN, keep: int = KEEP) -> DataFrame:
-    """A row of ``schemas.STATE`` for each applied event and each break.
+    """A row of ``schemas.STATE`` for each applied or repaired event and each break.
 
     events: symbol, seq, event_ms, first_id, final_id, prev_id, bids, asks; snapshots: symbol, update_id, bids, asks.
     """
-    columns = ["symbol", "seq", "outcome", "segment_id", "event_ms", "final_id", "prev_id", "expected", "anchor_id", "bids", "asks", "book_bids", "book_asks"]
-    labels = label_events(events, snapshots, trust)
+    columns = ["symbol", "seq", "outcome", "segment_id", "chain_id", "event_ms", "final_id", "prev_id", "expected", "anchor_id", "bids", "asks", "book_bids", "book_asks"]
     books = snapshots.dropDuplicates(["symbol", "update_id"]).select("symbol", F.col("update_id").alias("anchor_id"), F.col("bids").alias("book_bids"), F.col("asks").alias("book_asks"))
-    # the event that met the snapshot may itself be stale; the segment's first applied event loads the book
-    loaded = F.max("anchor_id").over(Window.partitionBy("symbol", "segment_id"))
-    labels = labels.withColumn("anchor_id", loaded).where(F.col("outcome").isin("applied", "desync"))
-    rows = events.join(labels, ["symbol", "seq"])
-    first = F.min(F.when(F.col("outcome") == "applied", F.col("seq"))).over(Window.partitionBy("symbol", "segment_id"))
-    rows = rows.withColumn("anchor_id", F.when(F.col("seq") == first, F.col("anchor_id"))).join(books, ["symbol", "anchor_id"], "left").select(columns)
-    ordered = rows.repartition("symbol", "segment_id").sortWithinPartitions("symbol", "segment_id", "seq")
+    labels = label_events(events, snapshots, trust).where(F.col("outcome").isin("applied", "desync", "repaired", "withheld") & F.col("chain_id").isNotNull())
+    rows = events.drop("withheld").join(labels, ["symbol", "seq"]).join(books, ["symbol", "anchor_id"], "left").select(columns)
+    ordered = rows.repartition("symbol", "chain_id").sortWithinPartitions("symbol", "chain_id", "seq")
     level = pa.list_(pa.struct([("p", pa.float64()), ("q", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, book = None, Book(tick, keep)
+        at, book, missed = None, Book(tick, keep), []
         for batch in batches:
             out: list[list] = [[] for _ in range(10)]
-            for sym, seq, outcome, segment, ms, final, prev, expected, anchor, bids, asks, book_bids, book_asks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (sym, segment) != at:
-                    at, book = (sym, segment), Book(tick, keep)
+            for sym, seq, outcome, segment, chain, ms, final, prev, expected, anchor, bids, asks, book_bids, book_asks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (sym, chain) != at:
+                    at, book, missed = (sym, chain), Book(tick, keep), []
+                if outcome == "withheld":
+                    missed.append((final, prev, bids, asks))
+                    continue
                 if anchor is not None:
                     book.load(book_bids, book_asks)
+                if outcome == "repaired":
+                    wanted = expected
+                    for f, p, b, a in missed:
+                        if p == wanted:
+                            book.apply(b, a)
+                            wanted = f
+                missed = []
                 state = ([], [])
-                if outcome == "applied":
+                if outcome != "desync":
                     book.apply(bids, asks)
                     state = book.top(shown)
-                broken = outcome == "desync"
+                broken = outcome != "applied"
                 for column, value in zip(out, (sym, seq, outcome, segment, ms, final, expected if broken else None, prev if broken else None, *state), strict=True):
                     column.append(value)
             kinds = [pa.string(), pa.int64(), pa.string(), *[pa.int64()] * 5, level, level]
