@@ -20,6 +20,7 @@ def fit_predict(rows: DataFrame, columns: list[str], label: str = "y", keep: lis
     weighted by n / (3 * count); the fit runs to its optimum, so no early stopping can see the test block.
     """
     keep = keep or ["frame_id"]
+    rows = rows.persist()  # every fold reads its rows several times
     ready = folding.standardised(rows, columns)
     weights = rows.where("role = 'train'").groupBy("fold", label).agg(F.count("*").alias("_n"))
     total = weights.groupBy("fold").agg(F.sum("_n").alias("_total"))
