@@ -61,3 +61,13 @@ def small(batches, rows: int = 1_024):
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+#: Text of a home at least, where a table is small for the session's partitions.
+LEAST_HOME_BYTES = 1 << 20
+
+
+def homes_for(spark: SparkSession, size: int, home_bytes: int) -> int:
+    """How many homes documents are dealt over: ``home_bytes`` of text each, or less if partitions would stay empty."""
+    many = lambda each: max(1, -(-size // each))
+    return max(many(home_bytes), min(parts(spark), many(min(home_bytes, LEAST_HOME_BYTES))))

@@ -31,9 +31,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidebook.llm import common
+
 WINDOW, SEED = 50, 20
 #: Text of a home in bytes, and bytes that are looked at at once (a power of two).
-HOME_BYTES, CHUNK = 12 << 20, 1 << 20
+HOME_BYTES, CHUNK = 8 << 20, 1 << 20
 #: Parts of a bucket that are sorted one after another.
 PARTS = 8
 #: Depth in bytes at which the blind tries take over, a multiple of eight.
@@ -308,7 +310,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_column: str = "doc_id
     kind = docs.schema[id_column].dataType.simpleString()
     rows = docs.select(docs[id_column].alias("doc_id"), docs[text].alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    homes = max(1, -(-size // home_bytes))
+    homes = common.homes_for(docs.sparkSession, size, home_bytes)
     buckets = homes
     homed = rows.withColumn("home", F.pmod(F.xxhash64("doc_id", F.substring("text", 1, 64)), F.lit(homes)).cast("int"))
 
