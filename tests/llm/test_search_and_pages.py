@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pytest
 
-from tidebook.llm import html_extract, queries
+from tidebook.llm import ann, html_extract, queries
 
 
 def plain(rows, k=10):
@@ -109,3 +109,20 @@ def test_tree_matching():
 
 def test_empty_pages(spark, make):
     assert queries.op6_html_extract(spark, make(pages=[])).count() == 0
+
+
+def test_crowds_of_near_equal_vectors():
+    rng = np.random.default_rng(3)
+    for noise in (1e-6, 1e-3, 2e-2):
+        n = ann.BLOCK
+        x = rng.normal(size=(n, 64))
+        crowd = rng.permutation(n)[: n // 3]
+        x[crowd] = rng.normal(size=64) + rng.normal(size=(len(crowd), 64)) * noise
+        pivots, reach = ann.apart(x[: ann.SAMPLE])
+        asks = np.append(crowd[:20], np.setdiff1d(np.arange(n), crowd)[:20])
+        block = ann.Block(np.arange(n), x, pivots, reach)
+        hit = []
+        for a, order in zip(asks, ann.order_of(x[asks], pivots, ann.ORDER), strict=True):
+            want = np.argsort(((x - x[a]) ** 2).sum(axis=1), kind="stable")[:11]
+            hit.append(len(set(want) & set(block.nearest(x[a], order, 11)[0])) / 11)
+        assert min(hit[:20]) == 1 and np.mean(hit[20:]) >= 0.9

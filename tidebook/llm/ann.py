@@ -3,7 +3,10 @@
 Every vector is described by the order of its ``ORDER`` nearest pivots.  Pivot inverted files post the vector
 under each of them with the pivot's rank; a search reads the files of the query's own nearest pivots and sums the
 footrule distance of both orders (a pivot that one side lacks counts as one past the last rank).  The
-``SHARE`` of each block of entries that ranks best is measured exactly.
+``SHARE`` of each block of entries that ranks best is measured exactly, with all that tie with the last of them.
+
+Orders say little inside a crowd of near-equal vectors.  So an entry within half the usual distance of its nearest pivot
+is a crowd's, and is measured too unless the triangle inequality over that pivot rules it out: none of these is lost.
 
 The pivots are ``PIVOTS`` vectors that stand apart, from a bounded sample (``SAMPLE`` vectors, the head of a hash order), so
 that a crowd of near-equal vectors can't take up the orders; every vector is indexed.  The
@@ -43,8 +46,8 @@ def usable(vectors: DataFrame, id_column: str, vector: str) -> DataFrame:
     return rows.where(fine).withColumn("v", F.transform("v", lambda x: x + F.lit(0.0))).distinct()  # -0 becomes 0
 
 
-def apart(sample: np.ndarray) -> np.ndarray:
-    """The first PIVOTS of the sample that are no nearer to an earlier one than half the usual distance; then others."""
+def apart(sample: np.ndarray) -> tuple[np.ndarray, float]:
+    """The first PIVOTS of the sample that are no nearer to an earlier one than half the usual distance; then others.  And that half."""
     square = (sample * sample).sum(axis=1)
     head = sample[:512]
     usual = np.median(np.maximum(square[:512, None] + square[None, :512] - 2 * head @ head.T, 0))
@@ -55,7 +58,7 @@ def apart(sample: np.ndarray) -> np.ndarray:
             chosen.append(i)
             free &= square + square[i] - 2 * sample @ sample[i] > usual / 4
     rest = sorted(set(range(len(sample))) - set(chosen))
-    return sample[[*chosen, *rest[: PIVOTS - len(chosen)]]]
+    return sample[[*chosen, *rest[: PIVOTS - len(chosen)]]], float(np.sqrt(usual / 4))
 
 
 def order_of(x: np.ndarray, pivots: np.ndarray, length: int) -> np.ndarray:
@@ -85,7 +88,41 @@ class PivotFiles:
         return total
 
 
-def search(entries: DataFrame, pivots: np.ndarray, asks: list[tuple[int, list[float]]], k: int) -> DataFrame:
+class Block:
+    """A block of entries: its inverted files, and which of the entries are in crowds."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, pivots: np.ndarray, reach: float):
+        self.ids, self.x, self.pivots = ids, x, pivots
+        order = order_of(x, pivots, min(ORDER, len(pivots)))
+        self.files = PivotFiles(order, len(pivots))
+        self.home = order[:, 0]
+        self.far = np.sqrt(((x - pivots[self.home]) ** 2).sum(axis=1))
+        self.crowd = np.flatnonzero(self.far <= reach)
+
+    def nearest(self, point: np.ndarray, order: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and distances of the ``k`` nearest found."""
+        n = len(self.ids)
+        many = min(n, max(LEAST, k, int(SHARE * n)))
+        near = np.arange(n)
+        if many < n:
+            rank = self.files.footrule(order)
+            taken = rank <= np.partition(rank, many - 1)[many - 1]
+            near = np.flatnonzero(taken)
+        score = self.measure(near, point)
+        if len(near) < n and len(self.crowd):
+            last = np.partition(score, min(k, len(score)) - 1)[min(k, len(score)) - 1]
+            to_pivot = np.sqrt(((self.pivots - point) ** 2).sum(axis=1))[self.home[self.crowd]]
+            slack = 1e-9 * (to_pivot + self.far[self.crowd])  # for rounding
+            more = self.crowd[~taken[self.crowd] & (np.abs(to_pivot - self.far[self.crowd]) <= last + slack)]
+            near, score = np.append(near, more), np.append(score, self.measure(more, point))
+        best = np.lexsort((self.ids[near], score))[:k]
+        return self.ids[near[best]], score[best]
+
+    def measure(self, rows: np.ndarray, point: np.ndarray) -> np.ndarray:
+        return np.sqrt(((self.x[rows] - point) ** 2).sum(axis=1))
+
+
+def search(entries: DataFrame, pivots: np.ndarray, reach: float, asks: list[tuple[int, list[float]]], k: int) -> DataFrame:
     """query, entry, score: of each block of entries the ``k`` nearest found for each query."""
     context = entries.sparkSession.sparkContext
     names = np.array([a for a, _ in asks], dtype=np.int64)
@@ -95,16 +132,13 @@ def search(entries: DataFrame, pivots: np.ndarray, asks: list[tuple[int, list[fl
 
     def block(ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
         p, who, q, orders = shared.value
-        files = PivotFiles(order_of(x, p, length), len(p))
-        many = min(len(ids), max(LEAST, k, int(SHARE * len(ids))))
+        held = Block(ids, x, p, reach)
         out: tuple[list, list, list] = ([], [], [])
         for name, point, order in zip(who, q, orders, strict=True):
-            near = np.arange(len(ids)) if many == len(ids) else np.argpartition(files.footrule(order), many - 1)[:many]
-            score = np.sqrt(((x[near] - point) ** 2).sum(axis=1))
-            best = np.lexsort((ids[near], score))[:k]
-            out[0].append(np.full(len(best), name))
-            out[1].append(ids[near[best]])
-            out[2].append(score[best])
+            near, score = held.nearest(point, order, k)
+            out[0].append(np.full(len(near), name))
+            out[1].append(near)
+            out[2].append(score)
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out[0])), pa.array(np.concatenate(out[1])), pa.array(np.concatenate(out[2]))], ["query", "entry", "score"])
 
     def run(batches):
@@ -138,11 +172,11 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_column: str =
     number = asks.count()
     if not number:
         return empty
-    pivots = apart(np.array([r["v"] for r in entries.orderBy(F.xxhash64("entry"), "entry").limit(SAMPLE).collect()], dtype=np.float64))
+    pivots, reach = apart(np.array([r["v"] for r in entries.orderBy(F.xxhash64("entry"), "entry").limit(SAMPLE).collect()], dtype=np.float64))
     turns = -(-number // QUERIES)
     turn = F.pmod(F.xxhash64("entry"), F.lit(turns))
     # k + 1 entries, the query's own among them, hold at least k other ids
-    found = [search(entries, pivots, [(r["entry"], r["v"]) for r in asks.where(turn == t).collect()], k + 1) for t in range(turns)]
+    found = [search(entries, pivots, reach, [(r["entry"], r["v"]) for r in asks.where(turn == t).collect()], k + 1) for t in range(turns)]
     near = Window.partitionBy("query").orderBy("score", "entry")
     top = functools.reduce(DataFrame.unionByName, found).withColumn("place", F.row_number().over(near)).where(F.col("place") <= k + 1).drop("place")
     # of an entry's ids only the k + 1 smallest can be answers; every query id of an entry is answered
