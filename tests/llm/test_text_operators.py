@@ -126,3 +126,33 @@ def test_leaks_without_benchmark_or_documents(spark, make, docs):
     assert [r["contaminated"] for r in queries.op10_decontaminate(spark, d).collect()] == [False]
     df = spark.createDataFrame([], "doc_id long, text string, leaks int")
     assert decontaminate.find_leaks(df, spark.createDataFrame([(1, "x" * 60)], "item_id long, text string")).select(F.size("leaks")).count() == 0
+
+
+def test_short_partial_and_reworded_items_leak():
+    for m in range(decontaminate.SHORT, 3_000):  # the bound must be positive, or leaks would be lost
+        assert m + 1 - decontaminate.Q - int(m * decontaminate.BUDGET) * decontaminate.Q > 0
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(2_000)]
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    found = lambda item, body: decontaminate.search([say(40) + " " + body + " " + say(40)], decontaminate.Items([(7, item)]))[0]
+    reworded = 0
+    for _ in range(50):
+        short = say(8)[: rng.randint(20, 39)].strip()
+        assert found(short, short) == [(7, 0)]
+        item = say(40)
+        at = rng.randrange(len(item) - 75)
+        assert found(item, item[at : at + 75]) == [(7, 0)]
+        assert found(item, say(40)) == []
+        body = item.split()
+        for k in rng.sample(range(40), 4):
+            body[k] = rng.choice(words)
+        reworded += bool(found(item, " ".join(body)))
+    assert reworded >= 49
+
+
+def test_hits_in_small_turns(monkeypatch, leak_rows):
+    items, texts = leak_rows
+    index = decontaminate.Items([(i, decontaminate.normal(t)) for i, t in items])
+    first = decontaminate.search(texts, index)
+    monkeypatch.setattr(decontaminate, "HITS", 50)
+    assert decontaminate.search(texts, index) == first

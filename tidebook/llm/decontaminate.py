@@ -1,7 +1,12 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
 A document leaks an item when a region of it is within the item's edit budget (``BUDGET`` of its length, on
-texts in lower case with single spaces).  k edits leave at least m + 1 - q - k*q of an item's q-grams
+texts in lower case with single spaces), or within ``PASSAGE_EDITS`` of a passage of the item.  Passages of
+``PASSAGE`` characters begin every ``STEP`` characters and at the item's end, so a verbatim part of
+PASSAGE + STEP - 1 characters always holds one; passages that mostly repeat their own q-grams are no evidence.
+The edits of a leak are those of the whole item, or of the passage where no whole one is found.
+
+k edits leave at least m + 1 - q - k*q of an item's q-grams
 intact, all within 2k + 1 neighbouring diagonals.  So shared q-grams are counted in overlapping bands of
 diagonals, bands under that bound are dropped, and the rest are verified by banded alignment.
 
@@ -9,7 +14,7 @@ The benchmark is a stated query set: it goes to the tasks in blocks of bounded s
 one narrow pass; a benchmark of any size only means more blocks.
 
 Null or empty documents leak nothing; null or empty items are in nothing.  Items under ``SHORT`` characters
-would match by chance, so they leak only into documents that equal them.  Repeated items count once each.
+(where the bound isn't positive) would match by chance, so they leak only into documents that equal them.  Repeated items count once each.
 """
 
 from __future__ import annotations
@@ -22,11 +27,14 @@ from pyspark.sql import types as T
 
 from tidebook.llm import common
 
-Q, BUDGET, SHORT = 10, 0.07, 40
+Q, BUDGET, SHORT = 6, 0.12, 18
+PASSAGE_Q, PASSAGE, STEP, PASSAGE_EDITS = 10, 60, 15, 3
 #: Characters of the benchmark that go to the tasks at once, and of the documents that are looked up at once.
 BLOCK_CHARS, CHUNK_CHARS = 8 << 20, 1 << 19
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 FILTER_BITS = 24
+#: Shared q-grams that are held at once, where more than one document is looked up.
+HITS = 4 << 20
 
 
 def normal(text: str | None) -> str:
@@ -58,64 +66,114 @@ def grams(c: np.ndarray, q: int = Q) -> np.ndarray:
     return out * PRIME
 
 
-class Items:
-    """A block of items with an index from q-gram to (item, position)."""
+def packed(*columns: np.ndarray) -> np.ndarray:
+    """Rows of whole numbers from 0 on as one number each, in the same order."""
+    out = np.zeros(len(columns[0]), np.int64)
+    for c in columns:
+        out = out * (int(c.max(initial=0)) + 1) + c
+    return out
 
-    def __init__(self, items: list[tuple[int, str]]):
-        self.ids = [i for i, _ in items]
-        self.text = [codes(t) for _, t in items]
-        self.length = np.array([len(t) for t in self.text], dtype=np.int64)
-        self.edits = (self.length * BUDGET).astype(np.int64)
-        self.least = self.length + 1 - Q - self.edits * Q
-        self.stride = 2 * self.edits + 1
-        self.whole: dict[str, list[int]] = {}
-        parts = []
-        for k, (_, t) in enumerate(items):
-            if len(t) < SHORT:
-                if t:
-                    self.whole.setdefault(t, []).append(k)
-                continue
-            g = grams(self.text[k])
-            parts.append((g, np.full(len(g), k, np.int64), np.arange(len(g), dtype=np.int64)))
-        every, item, place = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))
+
+def passages(c: np.ndarray) -> list[np.ndarray]:
+    """The passages of a longer item."""
+    if len(c) <= PASSAGE:
+        return []
+    begins = [*range(0, len(c) - PASSAGE, STEP), len(c) - PASSAGE]
+    every = [c[b : b + PASSAGE] for b in begins]
+    return [w for w in every if 2 * len(np.unique(grams(w, PASSAGE_Q))) > PASSAGE + 1 - PASSAGE_Q]
+
+
+class Index:
+    """From q-gram to (text, position) for texts with their edits."""
+
+    def __init__(self, texts: list[np.ndarray], edits: np.ndarray, q: int):
+        self.text, self.edits, self.q = texts, edits, q
+        self.length = np.array([len(t) for t in texts], dtype=np.int64)
+        self.least = self.length + 1 - q - edits * q
+        self.stride = 2 * edits + 1
+        self.segment = max(256, int((self.length + edits).max(initial=0)))
+        hashes = [grams(t, q) for t in texts]
+        every = np.concatenate([np.empty(0, np.uint64), *hashes])
+        item = np.repeat(np.arange(len(texts)), [len(g) for g in hashes]).astype(np.int64)
+        place = np.concatenate([np.empty(0, np.int64), *(np.arange(len(g), dtype=np.int64) for g in hashes)])
         order = np.argsort(every, kind="stable")
         self.item, self.place = item[order], place[order]
         self.gram, self.first = np.unique(every[order], return_index=True)
         self.count = np.diff(np.append(self.first, len(every)))
-        self.filter = np.zeros(1 << FILTER_BITS, np.bool_)
-        self.filter[(self.gram >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
+        self.shift = np.uint64(64 - min(max(len(self.gram).bit_length() + 4, 16), FILTER_BITS))  # a small one stays in the cache
+        self.filter = np.zeros(1 << (64 - int(self.shift)), np.bool_)
+        self.filter[(self.gram >> self.shift).astype(np.int64)] = True
 
-    def hits(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(position, item, position in the item) of every shared q-gram."""
-        g = grams(c)
-        at = np.flatnonzero(self.filter[(g >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
+    def regions(self, c: np.ndarray, begin: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(document, text, lowest, highest diagonal) of bands that meet the bound; ``begin``: where each document begins."""
+        if not len(self.gram):
+            return []
+        g = grams(c, self.q)
+        at = np.flatnonzero(self.filter[(g >> self.shift).astype(np.int64)])
         g = g[at]
         k = np.minimum(np.searchsorted(self.gram, g), len(self.gram) - 1)
         same = self.gram[k] == g
         at, k = at[same], k[same]
-        n = self.count[k]
-        rows = np.repeat(self.first[k] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
-        return np.repeat(at, n), self.item[rows], self.place[rows]
+        doc = np.repeat(np.arange(len(begin)), np.diff(np.append(np.searchsorted(at, begin), len(at))))
+        upto = np.cumsum(self.count[k])
+        found: list[tuple[int, int, int, int]] = []
+        a = 0
+        while a < len(at):  # whole documents, of HITS together or one alone
+            b = int(np.searchsorted(upto, (upto[a - 1] if a else 0) + HITS, side="right"))
+            if b < len(at):
+                b = int(np.searchsorted(doc, doc[b]))
+                if b <= a:
+                    b = int(np.searchsorted(doc, doc[a], side="right"))
+            found += self.bands(at[a:b], k[a:b], doc[a:b])
+            a = b
+        return found
 
-    def regions(self, c: np.ndarray, begin: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(document, item, lowest, highest diagonal) of bands that meet the bound; ``begin``: where each document begins."""
-        if not len(self.gram):
-            return []
-        at, item, place = self.hits(c)
-        if not len(at):
-            return []
-        doc = np.searchsorted(begin, at, side="right") - 1
-        pair, where, total = np.unique(doc * len(self.ids) + item, return_inverse=True, return_counts=True)
-        enough = (total >= self.least[pair % len(self.ids)])[where]
-        at, item, place, doc = at[enough], item[enough], place[enough], doc[enough]
+    def bands(self, at: np.ndarray, k: np.ndarray, doc: np.ndarray) -> list[tuple[int, int, int, int]]:
+        n = self.count[k]
+        upto = np.cumsum(n)
+        rows = np.repeat(self.first[k] - upto + n, n) + np.arange(upto[-1])
+        # a region's hits stand in two neighbouring segments
+        segment = (at - at[0]) // self.segment
+        item = self.item[rows]
+        if (int(segment[-1]) + 1) * len(self.text) <= HITS:
+            cell = np.repeat(segment * len(self.text), n) + item
+            own = np.zeros((int(segment[-1]) + 3, len(self.text)), np.int64)
+            own[1:-1] = np.bincount(cell, minlength=(int(segment[-1]) + 1) * len(self.text)).reshape(-1, len(self.text))
+            near = own[1:-1] + np.maximum(own[:-2], own[2:]) >= self.least
+            enough = np.flatnonzero(near.ravel()[cell])
+        else:
+            _, where, total = np.unique(packed(np.repeat(doc, n), item), return_inverse=True, return_counts=True)
+            enough = np.flatnonzero(total[where] >= self.least[item])
+        source = np.searchsorted(upto, enough, side="right")
+        at, doc, item, place = at[source], doc[source], item[enough], self.place[rows[enough]]
         if not len(at):
             return []
-        diagonal = at - place
-        band = diagonal // self.stride[item]
-        table = np.stack([np.tile(doc, 2), np.tile(item, 2), np.concatenate([band, band - 1])])  # band b spans strides b and b + 1
-        keys, total = np.unique(table, axis=1, return_counts=True)
-        keys = keys[:, total >= self.least[keys[1]]]
-        return [(int(d), int(i), int(b * self.stride[i]), int((b + 2) * self.stride[i] - 1)) for d, i, b in keys.T]
+        band = (at - place) // self.stride[item]
+        doc, item, band = np.tile(doc, 2), np.tile(item, 2), np.concatenate([band, band - 1])  # band b spans strides b and b + 1
+        # each place of a text counts once in a band
+        _, once = np.unique(packed(doc, item, band - band.min(), np.tile(place, 2)), return_index=True)
+        doc, item, band = doc[once], item[once], band[once]
+        _, one, total = np.unique(packed(doc, item, band - band.min()), return_index=True, return_counts=True)
+        one = one[total >= self.least[item[one]]]
+        low, stride = band[one] * self.stride[item[one]], self.stride[item[one]]
+        return list(zip(doc[one].tolist(), item[one].tolist(), low.tolist(), (low + 2 * stride - 1).tolist(), strict=True))
+
+
+class Items:
+    """A block of items: those that count only as whole documents, an index of the others and one of their passages."""
+
+    def __init__(self, items: list[tuple[int, str]]):
+        self.ids = [i for i, _ in items]
+        self.equal: dict[str, list[int]] = {}
+        for k, (_, t) in enumerate(items):
+            if 0 < len(t) < SHORT:
+                self.equal.setdefault(t, []).append(k)
+        longer = [k for k, (_, t) in enumerate(items) if len(t) >= SHORT]
+        text = [codes(items[k][1]) for k in longer]
+        parts = [(k, w) for k, t in zip(longer, text, strict=True) for w in passages(t)]
+        self.whole = longer, Index(text, np.array([int(len(t) * BUDGET) for t in text], dtype=np.int64), Q)
+        self.parts = [k for k, _ in parts], Index([w for _, w in parts], np.full(len(parts), PASSAGE_EDITS, np.int64), PASSAGE_Q)
+        self.overlap = max((len(t) + int(len(t) * BUDGET) for t in text), default=0) + 1
 
 
 def align(item: np.ndarray, doc: np.ndarray, low: int, high: int, edits: int) -> int:
@@ -141,24 +199,27 @@ def align(item: np.ndarray, doc: np.ndarray, low: int, high: int, edits: int) ->
 def search(texts: list[str | None], items: Items) -> list[list[tuple[int, int]]]:
     """For each text, (item id, edits) of the items that it leaks."""
     ready = [normal(t) for t in texts]
-    found: list[dict[int, int]] = [{k: 0 for k in items.whole.get(t, ())} for t in ready]
+    whole: list[dict[int, int]] = [{k: 0 for k in items.equal.get(t, ())} for t in ready]
+    parts: list[dict[int, int]] = [{} for _ in ready]
 
     def look(part: list[tuple[int, str]]) -> None:
         c = codes("\x00".join(t for _, t in part))
         begin = np.cumsum([0] + [len(t) + 1 for _, t in part])[:-1]
-        for d, i, low, high in items.regions(c, begin):
-            own = c[begin[d] : begin[d] + len(part[d][1])]
-            edits = int(items.edits[i])
-            if (cost := align(items.text[i], own, low - int(begin[d]), high - int(begin[d]), edits)) <= edits:
-                row = part[d][0]
-                found[row][i] = min(cost, found[row].get(i, cost))
-
-    overlap = int((items.length + items.edits).max(initial=0)) + 1
+        for (owner, index), found in ((items.whole, whole), (items.parts, parts)):
+            for d, i, low, high in index.regions(c, begin):
+                row, k = part[d][0], owner[i]
+                if found is parts and (k in whole[row] or parts[row].get(k) == 0):
+                    continue
+                own = c[begin[d] : begin[d] + len(part[d][1])]
+                edits = int(index.edits[i])
+                if (cost := align(index.text[i], own, low - int(begin[d]), high - int(begin[d]), edits)) <= edits:
+                    found[row][k] = min(cost, found[row].get(k, cost))
+
     part: list[tuple[int, str]] = []
     size = 0
     for row, t in enumerate(ready):
-        for at in range(0, max(len(t) - overlap, 1), CHUNK_CHARS):  # windows of a very long text overlap by more than an item
-            piece = t[at : at + CHUNK_CHARS + overlap]
+        for at in range(0, max(len(t) - items.overlap, 1), CHUNK_CHARS):  # windows of a very long text overlap by more than an item
+            piece = t[at : at + CHUNK_CHARS + items.overlap]
             if part and size + len(piece) > CHUNK_CHARS:
                 look(part)
                 part, size = [], 0
@@ -166,7 +227,7 @@ def search(texts: list[str | None], items: Items) -> list[list[tuple[int, int]]]
             size += len(piece)
     if part:
         look(part)
-    return [sorted((items.ids[k], e) for k, e in f.items()) for f in found]
+    return [sorted((items.ids[k], e) for k, e in f.items()) for f in ({**p, **w} for p, w in zip(parts, whole, strict=True))]
 
 
 def blocks(benchmark: DataFrame, item_id: str, text: str) -> list[list[tuple[int, str]]]:
