@@ -101,12 +101,100 @@ def test_salted_join_gives_the_same(spark, make, monkeypatch):
     assert sorted(map(tuple, queries.op6_html_extract(spark, d).collect())) == first
 
 
+def slots_of(raw):
+    root = html_extract.parse(raw)
+    return html_extract.lift([root], False, root.size)
+
+
 def test_tree_matching():
-    a, b = html_extract.lift([html_extract.parse("<div><p>x</p><ul><li>y</ul></div>")]), html_extract.lift([html_extract.parse("<div><h1>t</h1><p>z</p></div>")])
+    a, b = slots_of("<div><p>x</p><ul><li>y</ul></div>"), slots_of("<div><h1>t</h1><p>z</p></div>")
     assert html_extract.weight(a, b) == 4  # root, div, p and its text
     assert html_extract.weight(a, a) == 7
 
 
+def every_mapping(a, b):
+    """The best of all mappings that keep order and depth, tried one by one."""
+    if a[0] != b[0]:
+        return 0
+
+    def best(x, y):
+        if not x or not y:
+            return 0
+        return max([best(x[1:], y)] + [every_mapping(x[0], k) + best(x[1:], y[i + 1 :]) for i, k in enumerate(y) if x[0][0] == k[0]])
+
+    return 1 + best(a[1], b[1])
+
+
+def test_tree_matching_against_all_mappings():
+    rng = random.Random(5)
+
+    def tree(depth):
+        kids = "".join(tree(depth - 1) for _ in range(rng.randint(0, 3))) if depth else "t"
+        tag = rng.choice(["div", "section", "ul"])
+        return f"<{tag}>{kids}</{tag}>"
+
+    for _ in range(200):
+        a, b = slots_of(tree(3)), slots_of(tree(3))
+        assert html_extract.weight(a, b) == every_mapping(a, b)
+
+
+def extracted(spark, make, rows):
+    return {r["page_id"]: r["text"] for r in queries.op6_html_extract(spark, make(pages=rows)).collect()}
+
+
+def test_text_comes_through_the_template(spark, make):
+    """No article, no telling names: only the alignment of a host's pages tells its slots apart."""
+    rng = random.Random(6)
+    word = lambda n: " ".join("".join(rng.choice("abcde") for _ in range(5)) for _ in range(n))
+    raw = "<html><body><div class=q1><p>Our shop</p><div>open daily</div></div>{extra}<div class=q2><h2>{t}</h2><p>{b}</p></div><div class=q3><p>Call us</p></div></body></html>"
+    made = [(word(3), word(20), rng.random() < 0.3) for _ in range(40)]
+    rows = [(i, "http://plain.example.com/", raw.format(t=t, b=b, extra="<div class=q4>Sale of the day</div>" if e else "")) for i, (t, b, e) in enumerate(made)]
+    rows += [(100, "http://plain.example.com/odd", "<div>odd one</div>")]  # one odd page changes nothing
+    d = make(pages=rows)
+    got = extracted(spark, make, rows)
+    assert all(got[i] == f"{t} {b}" for i, (t, b, _) in enumerate(made)) and got[100] == "odd one"
+    bare = {r["page_id"]: r["text"] for r in html_extract.extract(spark.read.parquet(f"{d}/pages.parquet"), use_templates=False).collect()}
+    assert all(bare[i] == f"Our shop open daily {'Sale of the day ' * e}{t} {b} Call us" for i, (t, b, e) in enumerate(made))
+
+
+def test_regions_by_class_and_id(spark, make):
+    side = "".join(f'<{tag} {mark}>gone</{tag}>' for tag in ("div", "section") for mark in ('class="comments"', "id='ad-top'", "class=side-bar-x", 'class="Sidebar left"', 'id="cookieNotice"', 'role="navigation"', "hidden", 'style="display: none"', 'class="site-header"'))
+    raw = f'<body class="page has-sidebar"><div class="no-sidebar"><article class="post comments-open"><h1>Title</h1>{side.replace("side-bar-x", "related")}<p>one <span class="ad">gone</span>two</p><div class="comments"><article class="comment">gone</article></div></article></div>{side}'
+    wrapped = '<body><div class="modal widget"><p>all of it</p></div>'
+    teaser = '<body><div class="sidebar"><article>teaser</article></div><article>story</article><div id="comments"><article>reader</article></div>'
+    only = '<body><div class="sidebar"><article>story</article></div><p>menu</p>'
+    broken = '<article><p title="open>shown</p><p class=\'x>also</p></article>'
+    rows = [(1, "http://a/", raw), (2, "http://b/", wrapped), (3, "http://c/", teaser), (4, "http://d/", only), (5, "http://e/", broken), (5, "http://e/", broken)]
+    got = extracted(spark, make, rows)
+    assert got == {1: "Title one two", 2: "all of it", 3: "story", 4: "story", 5: "shown also"}
+
+
+def test_deep_and_long_pages(spark, make):
+    deep = "<div>" * 50_000 + "a<nav>n</nav><p>b" + "</div>" * 50_000 + "c"
+    comments = "<p>k</p>" + "<div class=comments>" * 400 + "x<p>y" + "</div>" * 400 + "z"
+    long = "<article>" + "".join(f"<p>word{i}</p>" for i in range(30_000)) + "</article>"
+    got = extracted(spark, make, [(1, "http://a/", deep), (2, "http://a/", deep), (3, "http://b/", comments), (4, "http://c/", long)])
+    assert got == {1: "a b c", 2: "a b c", 3: "k z", 4: " ".join(f"word{i}" for i in range(30_000))}
+
+
+def test_templates_stay_small():
+    rng = random.Random(7)
+    kept = None
+    for i in range(600):
+        kinds = "".join(f"<{rng.choice(['div', 'section'])} class=c{'abcdefgh'[rng.randrange(8)]}{'abcdefgh'[rng.randrange(8)]}><p>{rng.random()}</p></x>" for _ in range(8))
+        kept = html_extract.add_page(kept, html_extract.learn(f"<div class=top>Name</div>{kinds}"))
+        if i == 299:
+            half = len(html_extract.dumps(kept))
+    assert len(html_extract.dumps(kept)) < 1.5 * half
+    assert "Name" == html_extract.content(html_extract.parse("<div class=top>Name</div>"), None)
+    assert "" == html_extract.content(html_extract.parse("<div class=top>Name</div>"), html_extract.decided(kept))
+
+
+def test_clashing_columns(spark):
+    rows = spark.createDataFrame([(1, "http://a/", "<p>x", "h", "t", 3)], "page_id long, url string, html string, host string, template string, salt int")
+    assert [tuple(r) for r in html_extract.extract(rows).collect()] == [(1, "http://a/", "x")]
+
+
 def test_empty_pages(spark, make):
     assert queries.op6_html_extract(spark, make(pages=[])).count() == 0
 
