@@ -79,7 +79,7 @@ def test_dual_descent_separates():
 
 
 def grammar(**stems):
-    return toxicity.Model(stems or {"grob": 3.0}, [0, 0, 0, 0])
+    return toxicity.Model({k: (toxicity.INSULT, w) for k, w in (stems or {"grob": 3.0}).items()} | {"blok": (toxicity.EPITHET, 2.0)}, toxicity.PRIOR.tolist(), [0, 0, 0])
 
 
 def weight(text):
@@ -97,6 +97,92 @@ def test_grammar_scores_clauses():
     assert grammar().clauses(None) == [] and grammar().clauses("") == []
 
 
+def test_epithets_and_menaces_need_a_person():
+    assert weight("a blok walks by") == 0 and weight("you blok") == weight("blok he is") == 3.0
+    assert weight("not you blok") < weight("you blok")
+    assert weight("killing them") == weight("he destroys you") == weight("ich zerstörte dich") == weight("il la frappait, vous") == weight("i will kill you")
+    assert weight("skill you") == weight("kills time") == 0
+    assert weight("never kill him") < weight("kill him")
+
+
+def test_machine_equals_a_scorer_of_paths():
+    """The composed machine against the rules read off word by word, looking back and ahead."""
+    t = toxicity
+    rng = random.Random(9)
+    kinds = [0, 0, 0, t.INSULT, t.EPITHET, t.MENACE, t.PERSON, t.DENIAL, t.REPORT]
+    model = grammar()
+    for _ in range(3_000):
+        read = [(k, float(rng.randint(1, 5)) if k & (t.INSULT | t.EPITHET) else 0.0) for k in rng.choices(kinds, k=rng.randint(1, 14))]
+        want = np.zeros(t.ARCS)
+
+        def near(i, kind, span):
+            return any(read[j][0] & kind for j in range(max(0, i - span), i))
+
+        def marks(i):
+            return near(i, t.DENIAL, t.REACH), near(i, t.REPORT, len(read))
+
+        def add(own, insult, aimed, threat, i):
+            denied, told = marks(i)
+            want[:] += own * np.array([insult, aimed, threat, denied, told])
+
+        for i, (k, own) in enumerate(read):
+            aimed = near(i, t.PERSON, t.NEAR)
+            if k & t.INSULT or (k & t.EPITHET and aimed):
+                add(own, 1, aimed, 0, i)
+            if not k & t.PERSON:
+                continue
+            # the latest insult before, not aimed and with no person between, and the same of a menace
+            last = next((j for j in range(i - 1, max(i - t.NEAR, 0) - 1, -1) if read[j][0] & (t.INSULT | t.EPITHET | t.PERSON)), None)
+            if last is not None and not read[last][0] & t.PERSON and not near(last, t.PERSON, t.NEAR):
+                if read[last][0] & t.INSULT:
+                    want[1] += read[last][1]
+                else:
+                    add(read[last][1], 1, 1, 0, last)
+            last = next((j for j in range(i - 1, max(i - t.NEAR, 0) - 1, -1) if read[j][0] & (t.MENACE | t.PERSON)), None)
+            if last is not None and read[last][0] & t.MENACE:
+                add(1.0, 0, 0, 1, last)
+        assert np.allclose(model.clause(read), want)
+
+
+def test_labels_that_only_the_grammar_tells_apart(spark, make, docs):
+    """The same words are in clean documents: there without a person, denied or reported."""
+    rng = random.Random(3)
+    fill = lambda n: [rng.choice(WORDS[:6]) + rng.choice(["", "x", "q"]) for _ in range(n)]
+    texts, labels = [], []
+    for i in range(600):
+        toxic = i % 2
+        word = rng.choice(["zorg", "quibnik"]) + rng.choice(["", "s"])
+        core = [["you", word], [word, "thou", "you"]] if toxic else [[word], ["you", "are", "not", word], ["alleged", "x", "you", word]]
+        texts.append(" ".join([*fill(rng.randint(6, 12)), *(["."] if rng.random() < 0.5 else []), *fill(5), *rng.choice(core), ".", *fill(6)]))
+        labels.append((i, 1, toxic))
+    d = make(documents=docs(texts), labels=labels)
+    got = {r["doc_id"]: r["predicted"] for r in queries.op3_toxicity(spark, d).collect()}
+    out = [got[i] == y for i, _, y in labels if held(i, 3, 1)]
+    assert sum(out) / len(out) > 0.97
+    model = toxicity.train(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet"))
+    kinds = {s: k for s, (k, _) in model.stems.items()}
+    assert all(k == toxicity.EPITHET for s, k in kinds.items() if s[:2] in ("zo", "qu"))
+    blind = toxicity.Model({s: (toxicity.INSULT, w) for s, (_, w) in model.stems.items()}, [1.0, 0.0, 0.0, 0.0, 0.0], model.curve)
+    out = [(blind.score(texts[i]) >= 0.7) == y for i, _, y in labels if held(i, 3, 1)]
+    assert sum(out) / len(out) < 0.7
+
+
+def test_odd_rows_and_columns(spark):
+    rows = [("a", "you grob " * 3, 1.0, 2.0)] * 3 + [("b", None, 1.0, 2.0), ("c", "grob. " + "fine words " * 100_000, 1.0, 2.0)]
+    table = spark.createDataFrame(rows, "doc_id string, text string, toxic_score double, quality_score double")
+    model = grammar()
+    model.curve = [-2.0, 1.0, 1.0]
+    got = toxicity.score(table, model)
+    assert got.columns == ["doc_id", "text", "quality_score", "toxic_score", "toxic_clauses"]
+    score = {r["doc_id"]: r["toxic_score"] for r in got.collect()}
+    assert score["a"] > score["c"] > score["b"] and got.count() == 5
+    labels = spark.createDataFrame([("a", 0), ("a", 1), ("b", 0)], "doc_id string, quality int")
+    learnt = quality.train(table, labels)
+    got = quality.score(table, learnt)
+    assert got.columns == ["doc_id", "text", "toxic_score", "quality_score"] and got.count() == 5
+    assert len({r["quality_score"] for r in got.where("doc_id = 'a'").collect()}) == 1
+
+
 def test_whole_word_stems():
     model = grammar(**{"ass ": 2.0})
     assert model.clauses("an ass") and not model.clauses("an assembly")

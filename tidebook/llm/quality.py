@@ -8,14 +8,15 @@ direction, and its margin is turned into a probability by a logistic curve.
 Learning uses a bounded sample of labelled rows (``TRAIN_ROWS`` of each class, see
 ``common.labelled_sample``); scoring covers every row and every whole text in one narrow pass.
 
-Null or empty texts are scored by the bias alone.  Without labels of both classes every score
-is the labelled share of class 1 (one half without labels).
+Null or empty texts are scored by the bias alone; texts of any length are read whole.  Without labels of both classes every score
+is the labelled share of class 1 (one half without labels).  A document that is labelled both ways counts as class 1, a repeated
+row as often as it occurs.  Repeated rows and texts that tie get equal scores; other columns pass through, ``quality_score`` is replaced; an
+empty table gives an empty one.
 """
 
 from __future__ import annotations
 
 import pickle
-import re
 import sys
 
 import numpy as np
@@ -32,7 +33,6 @@ WORD_SLOTS = SHAPE_SLOTS = 1 << 16
 SLOTS = WORD_SLOTS + SHAPE_SLOTS
 COST, EPOCHS, MIX, SMOOTH = 0.05, 12, 0.5, 1.0
 MEMO_WORDS = 100_000
-UPPER, LOWER, DIGIT = re.compile(r"[^\W\d_a-zß-öø-ÿ]+"), re.compile(r"[^\W\d_]+"), re.compile(r"\d+")
 
 
 def slot(kind: str, gram: str, slots: int) -> int:
@@ -170,7 +170,8 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", per_class
         model = fit([np.frombuffer(r[1], np.int32) for r in rows], np.array([r[2] for r in rows], dtype=int))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
-    grams = sample.mapInArrow(slots_of, "doc_id long, slots binary, y int")
+    kind = sample.schema["doc_id"].dataType.simpleString()
+    grams = sample.mapInArrow(slots_of, f"doc_id {kind}, slots binary, y int")
     return pickle.loads(grams.repartition(1).mapInArrow(learn, "model binary").first()[0])
 
 
