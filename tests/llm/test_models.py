@@ -152,7 +152,7 @@ def test_labels_that_only_the_grammar_tells_apart(spark, make, docs):
     for i in range(600):
         toxic = i % 2
         word = rng.choice(["zorg", "quibnik"]) + rng.choice(["", "s"])
-        core = [["you", word], [word, "thou", "you"]] if toxic else [[word], ["you", "are", "not", word], ["alleged", "x", "you", word]]
+        core = [["you", word], [word, "the", "you"]] if toxic else [[word], ["you", "are", "not", word], ["alleged", "x", "you", word]]
         texts.append(" ".join([*fill(rng.randint(6, 12)), *(["."] if rng.random() < 0.5 else []), *fill(5), *rng.choice(core), ".", *fill(6)]))
         labels.append((i, 1, toxic))
     d = make(documents=docs(texts), labels=labels)
@@ -160,8 +160,8 @@ def test_labels_that_only_the_grammar_tells_apart(spark, make, docs):
     out = [got[i] == y for i, _, y in labels if held(i, 3, 1)]
     assert sum(out) / len(out) > 0.97
     model = toxicity.train(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet"))
-    kinds = {s: k for s, (k, _) in model.stems.items()}
-    assert all(k == toxicity.EPITHET for s, k in kinds.items() if s[:2] in ("zo", "qu"))
+    of = lambda text: sum(w for *_, w in model.clauses(text))
+    assert of("you zorg") > 2 * of("a zorg") and of("you not zorg") < of("you zorg") / 2
     blind = toxicity.Model({s: (toxicity.INSULT, w) for s, (_, w) in model.stems.items()}, [1.0, 0.0, 0.0, 0.0, 0.0], model.curve)
     out = [(blind.score(texts[i]) >= 0.7) == y for i, _, y in labels if held(i, 3, 1)]
     assert sum(out) / len(out) < 0.7
