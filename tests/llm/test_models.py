@@ -123,7 +123,7 @@ def test_machine_equals_a_scorer_of_paths():
 
         def add(own, insult, aimed, threat, i):
             denied, told = marks(i)
-            want[:] += own * np.array([insult, aimed, threat, denied, told])
+            want[:] += own * np.array([insult, aimed and not denied and not told, threat, denied, told])
 
         for i, (k, own) in enumerate(read):
             aimed = near(i, t.PERSON, t.NEAR)
@@ -135,7 +135,7 @@ def test_machine_equals_a_scorer_of_paths():
             last = next((j for j in range(i - 1, max(i - t.NEAR, 0) - 1, -1) if read[j][0] & (t.INSULT | t.EPITHET | t.PERSON)), None)
             if last is not None and not read[last][0] & t.PERSON and not near(last, t.PERSON, t.NEAR):
                 if read[last][0] & t.INSULT:
-                    want[1] += read[last][1]
+                    want[1] += read[last][1] * (not any(marks(last)))
                 else:
                     add(read[last][1], 1, 1, 0, last)
             last = next((j for j in range(i - 1, max(i - t.NEAR, 0) - 1, -1) if read[j][0] & (t.MENACE | t.PERSON)), None)
@@ -147,12 +147,12 @@ def test_machine_equals_a_scorer_of_paths():
 def test_labels_that_only_the_grammar_tells_apart(spark, make, docs):
     """The same words are in clean documents: there without a person, denied or reported."""
     rng = random.Random(3)
-    fill = lambda n: [rng.choice(WORDS[:6]) + rng.choice(["", "x", "q"]) for _ in range(n)]
+    fill = lambda n: [rng.choice(WORDS[:6]) + str(rng.randrange(300)) for _ in range(n)]
     texts, labels = [], []
     for i in range(600):
         toxic = i % 2
-        word = rng.choice(["zorg", "quibnik"]) + rng.choice(["", "s"])
-        core = [["you", word], [word, "the", "you"]] if toxic else [[word], ["you", "are", "not", word], ["alleged", "x", "you", word]]
+        word = rng.choice(["zorg", "quibnik"])
+        core = [["you", word], [word, *fill(1), "you"]] if toxic else [[word], ["you", "are", "not", word], ["alleged", "x", "you", word]]
         texts.append(" ".join([*fill(rng.randint(6, 12)), *(["."] if rng.random() < 0.5 else []), *fill(5), *rng.choice(core), ".", *fill(6)]))
         labels.append((i, 1, toxic))
     d = make(documents=docs(texts), labels=labels)

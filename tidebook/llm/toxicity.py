@@ -194,7 +194,8 @@ LOWER, UPPER = np.array([1.0, 0.25, 0.5, -1.0, -1.0]), np.array([1.0, 3.0, 3.0,
 
 
 def arcs(insult: float, aimed: float, threat: float, bits: int) -> tuple[float, ...]:
-    return insult, aimed, threat, float(bool(bits & DENIED)), float(bool(bits & TOLD))
+    """What is denied or reported has no arc for its aim."""
+    return insult, 0.0 if bits & (DENIED | TOLD) else aimed, threat, float(bool(bits & DENIED)), float(bool(bits & TOLD))
 
 
 class Machine(dict):
@@ -214,7 +215,7 @@ class Machine(dict):
             own = arcs(1.0, float(bool(out & AIMED)), 0.0, out)
         if out & LATE:
             late = out >> SHIFT[LATE]
-            waited = (0.0, 1.0, 0.0, 0.0, 0.0) if late & INSULT else arcs(1.0, 1.0, 0.0, late)
+            waited = (0.0, *arcs(0.0, 1.0, 0.0, late)[1:3], 0.0, 0.0) if late & INSULT else arcs(1.0, 1.0, 0.0, late)
         if out & THREAT:
             threat = arcs(0.0, 0.0, 1.0, out >> SHIFT[THREAT])
         self[key] = found = after, Event(own, waited, threat) if own or waited or threat else None
@@ -318,7 +319,7 @@ def beginnings(word: str) -> list[str]:
 
 
 def live_stems(text: str | None, words: Places, machine: Machine) -> tuple[set[str], set[str]]:
-    """Candidate stems that stand neither denied nor reported in a text, and those that are aimed there."""
+    """Candidate stems that stand neither denied nor reported in a text, and those that are aimed there; "" where there are any."""
     live, aimed = set(), set()
     state, waits = machine.start, None
     for written in (text or "").split():
@@ -335,7 +336,8 @@ def live_stems(text: str | None, words: Places, machine: Machine) -> tuple[set[s
             waits = word if event is not None and event.own is not None and not event.own[3] and not event.own[4] else None
         if ends:
             state, waits = machine.start, None
-    return {s for w in live for s in beginnings(w)}, {s for w in aimed for s in beginnings(w)}
+    stems = lambda words: {s for w in words for s in beginnings(w)} | ({""} if words else set())
+    return stems(live), stems(aimed)
 
 
 def evidence(toxic_docs: int, clean_docs: int, toxic: int, clean: int) -> float:
@@ -430,18 +432,21 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", per_class:
     counts = sample.select("text", "y").mapInArrow(count, "stem string, t long, c long, at long, ac long").groupBy("stem").agg(*(F.sum(x).alias(x) for x in ("t", "c", "at", "ac")))
     counts = common.cut_lineage(counts.where((F.col("t") >= LEAST_SUPPORT) | (F.col("at") >= LEAST_SUPPORT)))
     least = math.log(max(counts.count(), 1) / CHANCE)
-    share = toxic / (toxic + clean)
+    # a stem that is aimed is compared with the documents where any word is
+    with_aim = counts.where("stem = ''").select("at", "ac").first() or (0, 0)
+    base = {"t": (toxic, clean), "at": (max(with_aim[0], 1), max(with_aim[1], 1))}
 
     def leans(t: str, c: str):
+        share = base[t][0] / sum(base[t])
         q = F.col(t) / (F.col(t) + F.col(c))
         rest = F.when(F.col(c) > 0, (1 - q) * F.log((1 - q) / (1 - share))).otherwise(0.0)
         return (F.col(t) >= LEAST_SUPPORT) & (q > share) & ((F.col(t) + F.col(c)) * (q * F.log(q / share) + rest) >= least)
 
-    top = counts.where(leans("t", "c") | leans("at", "ac")).collect()  # the sample bounds their number
-    rows = lambda t, c: [(r["stem"], r[t], r[c]) for r in top if r[t] >= LEAST_SUPPORT and evidence(r[t], r[c], toxic, clean) >= least]
+    top = counts.where("stem <> ''").where(leans("t", "c") | leans("at", "ac")).collect()  # the sample bounds their number
+    rows = lambda t, c: [(r["stem"], r[t], r[c]) for r in top if r[t] >= LEAST_SUPPORT and evidence(r[t], r[c], *base[t]) >= least]
     insults = induce(rows("t", "c"), toxic, clean)
     known = {s[:i] for s in insults for i in range(SHORTEST_STEM, len(s) + 1)}
-    epithets = {s: w for s, w in induce(rows("at", "ac"), toxic, clean).items() if s not in known and not any(s[:i] in insults for i in range(SHORTEST_STEM, len(s) + 1))}
+    epithets = {s: w for s, w in induce(rows("at", "ac"), *base["at"]).items() if s not in known and not any(s[:i] in insults for i in range(SHORTEST_STEM, len(s) + 1))}
     model = Model({s: (INSULT, w) for s, w in insults.items()} | {s: (EPITHET, w) for s, w in epithets.items()}, PRIOR.tolist(), None)
 
     def matched(batches):
