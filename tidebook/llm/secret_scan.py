@@ -1,18 +1,21 @@
 """Secret scan: fixed patterns plus a battery of randomness tests.
 
-Fixed patterns find assignments, access keys and hex runs.  Beyond them every long token is put
+Fixed patterns find assignments, access keys and hex runs.  Beyond them every token of ``MIN_TOKEN`` letters and more is put
 to tests for the encoding its letters fit (hex, base32, base36, base62, base64):
 
 * chi-squared uniformity of its letters over that alphabet,
-* runs: changes between lower case, upper case and digits against a random order of the alphabet,
-* serial correlation of neighbouring letters, which vetoes counters and alphabets in order.
+* runs of lower case, upper case and digits, which are short in a random token, and runs of vowels and consonants, which are long,
+* serial correlation of neighbouring letters, which is high in counters and alphabets in order.
 
-The null hypothesis is an ordinary word, identifier or number.  Fisher's method joins the first two
-p-values; a false-discovery control over the tokens of a document, with weights in proportion to
-token length, decides which tokens are reported as ``random`` spans.
+The null hypothesis is that a token is an ordinary word, identifier or number, or a sequence in order.  Fisher's method joins the p-values
+of the tests against the first (those that apply to the encoding); against the second stands the serial test.  A token is
+random only if both are rejected, so its p-value is the larger one.  A false-discovery control over the tokens of a document, with weights in
+proportion to token length, decides which tokens are reported as ``random`` spans.  A token with separators (``/ - _ +``) is tested
+whole and in its parts, and the smaller p-value decides which it stands for.
 
 Texts: null or empty texts have no spans.  Whole texts of any length are scanned; positions are
-code points, the end is exclusive.  Rows are independent, so repeated rows get equal results.
+code points, the end is exclusive.  Rows are independent, so repeated rows get equal results; ties of p-values are kept or left together
+by position; an empty table gives an empty one.  Columns besides the id and the text are left out of the spans and kept by the redaction.
 """
 
 from __future__ import annotations
@@ -29,14 +32,19 @@ KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
-#: Tokens put to the tests: at least MIN_TOKEN letters of the widest alphabet.
-MIN_TOKEN = 20
+#: Tokens put to the tests have so many letters of the widest alphabet.
+MIN_TOKEN = 16
 TOKEN = re.compile(rf"[A-Za-z0-9+/_-]{{{MIN_TOKEN},}}={{0,2}}")
+PART = re.compile(rf"[A-Za-z0-9]{{{MIN_TOKEN},}}")
 #: False discoveries accepted among reported tokens of a document.
 FALSE_DISCOVERY = 0.01
-#: Departure from uniform letters (chi-squared a letter) that an ordinary token has at least, and its share of changes of class.
-ORDINARY_SKEW, ORDINARY_CHANGES = 0.9, 0.18
-VETO = 1e-4
+#: Departure from uniform letters (chi-squared a letter) that an ordinary token has at least, by encoding.
+ORDINARY_SKEW = {"hex": 0.9, "HEX": 0.9, "base32": 1.1, "base36": 1.2, "BASE36": 1.2, "base62": 1.5, "base64": 1.5, "base64url": 1.5}
+#: Shares of neighbours of an ordinary token that change between letters and digits (at most), or lower case, upper case and digits
+#: where it has both cases, and between vowel and consonant (at least).
+ORDINARY_CHANGES, MIXED_CHANGES, ORDINARY_VOWELS = 0.12, 0.24, 0.6
+#: Serial correlation that a sequence in order has at least.
+ORDERED = 0.75
 
 ALPHABETS = {  # from narrow to wide
     "hex": "0123456789abcdef",
@@ -64,34 +72,72 @@ def klass(c: str) -> int:
     return 0 if c.isdigit() else 1 if c.islower() else 2 if c.isupper() else 3
 
 
-def ordinary_p(token: str) -> float:
-    """The chance that an ordinary token looks as random as this one; 1 where the veto holds."""
-    name = encoding_of(token)
-    body = token.rstrip("=")
-    digits = sum(c.isdigit() for c in body)
-    if name is None or not digits or digits == len(body):
-        return 1.0
-    letters = ALPHABETS[name]
-    k, n = len(letters), len(body)
+def fewer(seen: int, n: int, share: float) -> float:
+    """The chance of so few of n, each with ``share``, by a normal approximation."""
+    return phi((seen + 0.5 - share * n) / math.sqrt(n * share * (1 - share)))
+
+
+def fisher(ps: list[float]) -> float:
+    """Upper tail of chi-squared with two degrees a test."""
+    x = -sum(math.log(max(p, 1e-300)) for p in ps)
+    term = total = 1.0
+    for k in range(1, len(ps)):
+        term *= x / k
+        total += term
+    return math.exp(-x) * total
+
+
+def uniformity_p(body: str, name: str) -> float:
+    """The chance that an ordinary token's letters are so even: noncentral chi-squared, lower tail, by a normal approximation."""
+    k, n = len(ALPHABETS[name]), len(body)
     counts: dict[str, int] = {}
     for c in body:
         counts[c] = counts.get(c, 0) + 1
     chi2 = k / n * sum(v * v for v in counts.values()) - n
-    # an ordinary token: noncentral chi-squared with ORDINARY_SKEW a letter; its lower tail by a normal approximation
-    centre, spread = k - 1 + ORDINARY_SKEW * n, math.sqrt(2 * (k - 1 + 2 * ORDINARY_SKEW * n))
-    p_chi = phi((chi2 - centre) / spread)
+    away = ORDINARY_SKEW[name] * n
+    return phi((chi2 - (k - 1 + away)) / math.sqrt(2 * (k - 1 + 2 * away)))
+
+
+def runs_ps(body: str) -> list[float]:
+    """p-values of the tests of runs that apply: classes, where there is more than one; vowels, where there are enough letters."""
     joined = re.sub(r"[+/_-]", "", body)  # separators make no changes
-    changes = sum(klass(a) != klass(b) for a, b in zip(joined, joined[1:], strict=False))
-    mean = ORDINARY_CHANGES * max(len(joined) - 1, 1)
-    p_runs = 1 - phi((changes - 0.5 - mean) / math.sqrt(mean * (1 - ORDINARY_CHANGES)))
+    kinds = [klass(c) for c in joined]
+    out = []
+    if len(set(kinds)) > 1:
+        n = len(kinds) - 1
+        out.append(1 - fewer(sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) - 1, n, MIXED_CHANGES if {1, 2} <= set(kinds) else ORDINARY_CHANGES))
+    vowels = [c in "aeiouyAEIOUY" for c in joined]
+    pairs = [v != w for v, w, a, b in zip(vowels, vowels[1:], kinds, kinds[1:], strict=False) if a and b]
+    if len(pairs) >= MIN_TOKEN // 2:
+        out.append(fewer(sum(pairs), len(pairs), ORDINARY_VOWELS))
+    return out
+
+
+def serial_p(body: str, name: str) -> float:
+    """The chance that a sequence in order has so little serial correlation."""
+    letters = ALPHABETS[name]
     index = [letters.index(c) for c in body]
+    n = len(index)
     centre = sum(index) / n
     total = sum((x - centre) ** 2 for x in index)
     serial = sum((a - centre) * (b - centre) for a, b in zip(index, index[1:], strict=False)) / total if total else 1.0
-    if 2 * (1 - phi(abs(serial + 1 / n) * math.sqrt(n))) < VETO:
+    return phi((abs(serial + 1 / n) - ORDERED) * math.sqrt(n / (1 - ORDERED**2)))
+
+
+def ordinary_p(token: str) -> float:
+    """The chance that an ordinary token, or a sequence in order, looks as random as this one."""
+    name = encoding_of(token)
+    body = token.rstrip("=")
+    if name is None or body.isdecimal():
         return 1.0
-    fisher = -2 * (math.log(max(p_chi, 1e-300)) + math.log(max(p_runs, 1e-300)))
-    return math.exp(-fisher / 2) * (1 + fisher / 2)  # upper tail of chi-squared with 4 degrees
+    return max(fisher([uniformity_p(body, name), *runs_ps(body)]), serial_p(body, name))
+
+
+def tested(token: str, at: int) -> list[tuple[int, int, float]]:
+    """(start, end, p) of the token, or of its parts between separators if one of them looks more random."""
+    whole = [(at, at + len(token), ordinary_p(token))]
+    parts = [(at + m.start(), at + m.end(), ordinary_p(m.group())) for m in PART.finditer(token)]
+    return parts if parts and min(p for *_, p in parts) < whole[0][2] else whole
 
 
 def discoveries(tokens: list[tuple[int, int, float]]) -> list[tuple[int, int]]:
@@ -114,8 +160,7 @@ def scan(text: str | None) -> list[tuple[str, int, int]]:
     if "AKIA" in text:
         out += [("access", m.start(), m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
     out += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
-    tested = [(m.start(), m.end(), ordinary_p(m.group())) for m in TOKEN.finditer(text) if not m.group().isalpha()]
-    out += [("random", s, e) for s, e in discoveries(tested)]
+    out += [("random", s, e) for s, e in discoveries([x for m in TOKEN.finditer(text) for x in tested(m.group(), m.start())])]
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
