@@ -10,7 +10,8 @@ with a piece of the left edge of the second while both pieces exist.
 
 Texts: null and empty texts give no ids and an empty decoded text.  Strings of special tokens
 inside a text give their ids, as the public tokenizers library does.  Whole texts are encoded; a
-word of any length takes time in proportion to its length.
+word of any length takes time in proportion to its length.  Rows are independent: repeated rows and equal texts get equal
+results, an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from tokenizers import Tokenizer
 
 from tidebook.llm import common
 
@@ -31,6 +33,8 @@ MEMO_WORDS = 150_000
 MEMO_PAIRS = 300_000
 #: Letters that end a word are moved to this block, so each unit stays one character.
 END_BLOCK = 0xF0000
+#: Letters outside of these have other classes or lower cases in some versions of Unicode: there the library's own tables decide.
+ODD = regex.compile("[^\x00-\u024f\u0391-\u03a1\u03a3-\u03c9\u0400-\u045f\u2010-\u2027\u20ac\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]")
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -44,6 +48,7 @@ class PrefixBPE:
     """Encoder and decoder for a word-level BPE vocabulary file."""
 
     def __init__(self, path: str):
+        self.path, self._library = path, None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -53,7 +58,8 @@ class PrefixBPE:
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(split["pattern"]["Regex"])
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, self.specials)) + ")") if self.specials else None
-        self.bytes_to_text = {b: c for b, c in byte_alphabet().items()}
+        self.bytes_to_text = byte_alphabet()
+        self.text_to_byte = {c: b for b, c in self.bytes_to_text.items()}
         self._learn(model["vocab"], model["merges"])
         self._pairs: dict[tuple[int, int], bool] = {}
 
@@ -144,12 +150,22 @@ class PrefixBPE:
     # -- texts -----------------------------------------------------------------------------
     def pretokens(self, text: str) -> list[str]:
         if not text.isascii():
+            if ODD.search(text):
+                return self.tabled(text)
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # letters are lowered one by one
         return self.words.findall(text.lower())
 
+    def tabled(self, text: str) -> list[str]:
+        """Pre-tokens by the library's normalizer and splitter."""
+        if self._library is None:
+            self._library = Tokenizer.from_file(self.path)
+        split = self._library.pre_tokenizer.pre_tokenize_str(self._library.normalizer.normalize_str(text))
+        back = self.text_to_byte
+        return [bytes([back[c] for c in piece]).decode("utf-8") for piece, _ in split]
+
     def pieces(self, text: str) -> Iterator[tuple[bool, str]]:
         """(is a special token, text) in order."""
-        if self.special_split is None or "<|" not in text:
+        if self.special_split is None or not any(s in text for s in self.specials):
             yield from ((False, p) for p in self.pretokens(text))
             return
         for part in self.special_split.split(text):
@@ -184,7 +200,7 @@ class WordMemo(dict):
         return entry
 
     def text(self, text: str) -> tuple[str, str, int]:
-        if "<|" in text:
+        if any(s in text for s in self.bpe.specials):
             entries = [(str(self.bpe.specials[p]), p, 1) if special else self[p] for special, p in self.bpe.pieces(text)]
         else:
             entries = [self[p] for p in self.bpe.pretokens(text)]
@@ -216,5 +232,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text", id_co
                 [batch.column(0), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())],
                 ["id", "ids", "decoded", "n_tokens"],
             )
+        words.clear()  # the vocabulary stays, the words of this task don't
+        words.bpe._pairs.clear()
 
     return docs.select(docs[id_column].alias("id"), docs[text]).mapInArrow(run, f"id {kind}, ids string, decoded string, n_tokens long").withColumnRenamed("id", id_column)
