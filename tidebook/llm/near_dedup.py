@@ -14,10 +14,12 @@ The work is arranged so that no group of copies, however large, meets in one tas
 
 After step 4 every pair that shares a band is confirmed, ruled out by its signature or connected already,
 so no link between components is lost to a cap.  With BANDS x ROWS = 30 x 4 a pair at the threshold misses
-every band with a chance of 1e-5.
+every band with a chance of 1e-5; its signature rules it out with one under 1e-6.
 
 Null or empty texts, and texts without words, have an empty set and link with nothing; a text of fewer words
-than a shingle has one, its whole sequence.  Rows that repeat id and text get the same result.
+than a shingle has one, its whole sequence.  Texts of any length count whole.  Rows that repeat id and text get the same result; of texts
+that tie the smallest id names the component.  Rows without an id link with nothing and have no component.  Other columns are left out; an
+empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -35,8 +37,8 @@ from tidebook.llm import common
 WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
 BANDS, ROWS = 30, 4
 COORDINATES = BANDS * ROWS
-#: A pair whose share of equal coordinates is this far under the threshold is ruled out: 3.8 standard deviations.
-MARGIN = 0.15
+#: A pair whose share of equal coordinates is this far under the threshold is ruled out: 5 standard deviations.
+MARGIN = 0.2
 #: Members of a block in step 4.
 BLOCK = 1_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -153,7 +155,7 @@ def components(links: DataFrame) -> DataFrame:
     Each round is two joins on the node; nothing but two numbers a round comes to the driver.
     """
     star = common.cut_lineage(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    before = None
+    before, last = None, star
     while True:
         both = star.unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -163,9 +165,10 @@ def components(links: DataFrame) -> DataFrame:
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         star = common.cut_lineage(small)
         now = star.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        common.remove(last)
         if now == before:
             break
-        before = now
+        before, last = now, star
     return star.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(star.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
@@ -234,7 +237,7 @@ def cross_links(buckets: DataFrame, texts: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id that links reach) for every row of ``docs``."""
     rows = common.cut_lineage(describe(docs, text, id_column))
-    nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
+    nodes = rows.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
     nodes = common.cut_lineage(nodes)
     placed = nodes.select("node", "rep", F.posexplode("bands").alias("band", "key"))
     hubs = placed.groupBy("key").agg(F.min(F.struct("rep", "node")).getField("node").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
@@ -255,7 +258,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_column: str = "doc_i
     smallest = parts.join(nodes.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("component_id"))
     of_node = parts.join(smallest, "component").select("node", "component_id")
     whole = nodes.select("node", "rep").join(of_node, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"))
-    return rows.select("doc_id", "n_shingles", "node").join(whole, "node", "left").select(F.col("doc_id").alias(id_column), "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")).join(whole, "node", "left").select(F.col("doc_id").alias(id_column), "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def _texts(source: DataFrame, wanted: DataFrame) -> DataFrame:
