@@ -6,18 +6,22 @@ windows have equal anchors, so windows meet in the bucket of their anchor and ne
 travel as one string of 50 to 80 bytes.
 
 1. Documents are dealt over homes (about HOME_BYTES of text each).  A home sends each bucket the fingerprints
-   of its anchors; those that stand in one document only are left out of all that follows.
-2. A home sends its strings with other anchors, each distinct string once with its smallest document.
-3. A bucket sorts the suffixes of its distinct strings (those of 50 bytes and more): multikey quicksort over
+   of its anchors; those that stand in one document only are left out of all that follows (a collision only keeps more).
+2. A home sends its strings with other anchors, each distinct string once with its smallest document.  Windows of a hot
+   anchor, one with over HOT_RUNS runs, are strings of their own, dealt by their bytes instead of the anchor.
+3. A bucket sorts the suffixes of its distinct strings (those of 50 bytes and more): three-way multikey quicksort over
    eight-byte characters down to a shallow depth, then a blind trie for each group that is still tied.  Suffixes that
    end in one leaf are one 50-byte string, whose smallest document is known then.
 4. Homes get back which windows of each string are taken, and cut the bytes.
 
-So a passage of any number of copies is one string a home, no task holds more than a home's texts or a
-bucket's strings, and homes and buckets grow in number with the input.
+Strings are grouped by hash before the sort, and every group is compared byte by byte, so no result rests on a hash.
+A passage of any number of copies is one string a home, no task holds more than a home's texts or a
+bucket's strings, and homes and buckets grow in number with the input.  A home sends a record only to buckets that it has strings for, so
+records are no more than strings.
 
 Null and empty texts, and texts under 50 bytes, keep all bytes.  Rows with one id never take bytes from each other;
-rows without an id count as the largest.  Copies keep the bytes of the smallest id.
+rows without an id count as the largest.  Copies, and ties of any kind, keep the bytes of the smallest id.  Texts of any length are looked
+at whole, in pieces that overlap by a window.  Other columns are left out; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +45,8 @@ HOME_BYTES, CHUNK = 8 << 20, 1 << 20
 PARTS = 8
 #: Depth in bytes at which the blind tries take over, a multiple of eight.
 SHALLOW = 32
+#: Suffixes that are split three ways no further, and runs of an anchor past which its windows go by their own bytes.
+TOGETHER, HOT_RUNS = 1 << 14, 1 << 20
 LAST_ID = (1 << 63) - 1
 FINGERPRINT = 5
 NONE = 255
@@ -124,13 +131,37 @@ def runs(texts: list[bytes]) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np
 # -- the sort ------------------------------------------------------------------------------
 
 
-def shallow_sort(text: np.ndarray, starts: np.ndarray, depth: int = SHALLOW) -> Iterator[np.ndarray]:
-    """Multikey quicksort by eight-byte characters: groups of starts that agree in ``depth`` bytes, in order; suffixes that stand alone are left out."""
+def shallow_sort(text: np.ndarray, starts: np.ndarray, depth: int = SHALLOW, together: int | None = None) -> Iterator[np.ndarray]:
+    """Multikey quicksort by eight-byte characters: groups of starts that agree in ``depth`` bytes, in order; suffixes that stand alone are left out.
+
+    A group is split into those before a pivot, those that have it as their character, which go on with the next
+    one, and those after it.  Groups of ``together`` suffixes and fewer are finished character by character.
+    """
     words = eights(np.append(text, np.zeros(8, np.uint8)), big=True)
-    tied, group = starts, np.zeros(len(starts), np.int64)
-    for at in range(0, depth, 8):
+    together = TOGETHER if together is None else together
+    todo = [(starts, 0)]
+    while todo:
+        group, at = todo.pop()
+        if at >= depth:
+            if len(group) > 1:
+                yield group
+        elif len(group) <= together:
+            yield from finish(words, group, at, depth)
+        else:
+            key = words[group + at]
+            some = np.sort(key[:: max(len(key) // 9, 1)])
+            pivot = some[len(some) // 2]
+            todo += [(group[key > pivot], at), (group[key == pivot], at + 8), (group[key < pivot], at)]
+
+
+def finish(words: np.ndarray, starts: np.ndarray, at: int, depth: int) -> Iterator[np.ndarray]:
+    """A small group in order of its characters from ``at`` on."""
+    if len(starts) < 2:
+        return
+    tied, group, first = starts, np.zeros(len(starts), np.int64), at
+    for at in range(first, depth, 8):
         key = words[tied + at]
-        order = np.argsort(key, kind="quicksort") if at == 0 else np.lexsort((key, group))
+        order = np.argsort(key, kind="quicksort") if at == first else np.lexsort((key, group))
         tied, group, key = tied[order], group[order], key[order]
         fresh = np.append(True, (key[1:] != key[:-1]) | (group[1:] != group[:-1]))
         alone = fresh & np.append(fresh[1:], True)
@@ -240,6 +271,37 @@ def string_hashes(text: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np
     return h ^ (h >> np.uint64(32))
 
 
+def same_strings(text: np.ndarray, begin: np.ndarray, length: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first string of each class, class of each string) of equal strings: met by hash, then compared byte by byte."""
+    _, first, where = np.unique(hashes, return_index=True, return_inverse=True)
+    rest = np.flatnonzero(first[where] != np.arange(len(where)))
+    lead = first[where[rest]]
+    differ = length[rest] != length[lead]
+    alike = np.flatnonzero(~differ)
+    rest_same, lead_same = rest[alike], lead[alike]
+    for at in range(0, len(rest_same), COMPARED):
+        mine, its = rest_same[at : at + COMPARED], lead_same[at : at + COMPARED]
+        n = length[mine]
+        unequal = gather(text, begin[mine], n) != gather(text, begin[its], n)
+        if unequal.any():
+            differ[alike[at : at + COMPARED]] = np.add.reduceat(unequal, np.cumsum(n) - n) > 0
+    if differ.any():  # strings that only their hash takes for another
+        extra: dict[bytes, int] = {}
+        added = []
+        for i in rest[differ].tolist():
+            own = text[begin[i] : begin[i] + length[i]].tobytes()
+            if own not in extra:
+                extra[own] = len(first) + len(added)
+                added.append(i)
+            where[i] = extra[own]
+        first = np.append(first, np.array(added, dtype=first.dtype))
+    return first, where
+
+
+#: Strings that are compared at once.
+COMPARED = 1 << 16
+
+
 def gather(text: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
     """The strings one after another."""
     shift = begin - (np.cumsum(length) - length)
@@ -250,11 +312,12 @@ def gather(text: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarra
 
 
 def squeeze(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(data)
+    """Short data as they are, behind a zero byte."""
+    return b"\0" + data if len(data) < 200 else zstandard.ZstdCompressor(level=3).compress(data)
 
 
 def open_up(data: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(data) if data else b""
+    return data[1:] if data[:1] == b"\0" else zstandard.ZstdDecompressor().decompress(data)
 
 
 class Home:
@@ -284,24 +347,32 @@ class Home:
         np.maximum.at(high, self.where, doc)
         self.several = doc[first] != high  # rows are in order of documents, so the first is the smallest
         self.bucket = (self.hash % np.uint64(buckets)).astype(np.int64)
+        self.load = np.minimum(np.ceil(np.log2(np.maximum(np.bincount(self.where, minlength=len(self.hash)), 1))), 63).astype(np.uint8)
 
     def by_bucket(self, bucket: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
-        """Places of each bucket, of the anchors or of others whose bucket is given."""
+        """Places of each bucket that has any, of the anchors or of others whose bucket is given."""
         bucket = self.bucket if bucket is None else bucket
         order = np.argsort(bucket, kind="stable")
-        edges = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
-        for b in range(self.buckets):
-            yield b, order[edges[b] : edges[b + 1]]
+        found, edges = np.unique(bucket[order], return_index=True)
+        for b, rows in zip(found.tolist(), np.split(order, edges[1:]), strict=False):
+            yield b, rows
 
     def keep_shared(self, masks: dict[int, bytes]) -> None:
-        """Leaves out the runs whose anchor stands in one document only; equal strings become one record."""
-        shared = np.zeros(len(self.hash), bool)
+        """Leaves out the runs whose anchor stands in one document only; runs of hot anchors become windows, equal strings one record."""
+        shared, hot = np.zeros(len(self.hash), bool), np.zeros(len(self.hash), bool)
         for b, rows in self.by_bucket():
-            if len(rows):
-                shared[rows] = np.unpackbits(np.frombuffer(masks[b], np.uint8), count=len(rows)).astype(bool)
-        keep = np.flatnonzero(shared[self.where])
-        self.row, self.begin, self.length, self.offset, self.anchor, self.string = (x[keep] for x in (self.row, self.begin, self.length, self.offset, self.anchor, self.string))
-        _, self.first, self.record = np.unique(self.string, return_index=True, return_inverse=True)
+            both = np.unpackbits(np.frombuffer(masks[b], np.uint8), count=2 * len(rows)).astype(bool)
+            shared[rows], hot[rows] = both[: len(rows)], both[len(rows) :]
+        keep, split = np.flatnonzero((shared & ~hot)[self.where]), np.flatnonzero((shared & hot)[self.where])
+        n = self.length[split] - WINDOW + 1
+        at, run = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n), np.repeat(split, n)
+        begin, window = self.begin[run] + at, np.full(len(run), WINDOW)
+        own = string_hashes(self.whole, begin, window) if len(run) else np.empty(0, np.uint64)
+        row, offset = self.row[run], self.offset[run] + at
+        order = np.argsort(np.append(self.row[keep], row), kind="stable")
+        join = lambda x, more: np.append(x[keep], more)[order]
+        self.row, self.begin, self.length, self.offset, self.anchor, self.string = join(self.row, row), join(self.begin, begin), join(self.length, window), join(self.offset, offset), join(self.anchor, own), join(self.string, own)
+        self.first, self.record = same_strings(self.whole, self.begin, self.length, self.string)
         self.record_bucket = (self.anchor[self.first] % np.uint64(self.buckets)).astype(np.int64)
 
 
@@ -311,16 +382,16 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_column: str = "doc_id
     rows = docs.select(docs[id_column].alias("doc_id"), docs[text].alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     homes = common.homes_for(docs.sparkSession, size, home_bytes)
-    buckets = homes
+    buckets, hot_runs = homes, HOT_RUNS
     homed = rows.withColumn("home", F.pmod(F.xxhash64("doc_id", F.substring("text", 1, 64)), F.lit(homes)).cast("int"))
 
     def fingerprints(key, table):
         home = Home(table, buckets, strings=False)
-        out = [{"home": key[0].as_py(), "bucket": b, "prints": (home.hash[rows] // np.uint64(buckets)).view(np.uint8).reshape(-1, 8)[:, :FINGERPRINT].tobytes(), "several": np.packbits(home.several[rows]).tobytes()} for b, rows in home.by_bucket()]
-        return pa.Table.from_pylist(out, pa.schema([("home", pa.int32()), ("bucket", pa.int32()), ("prints", pa.binary()), ("several", pa.binary())]))
+        out = [{"home": key[0].as_py(), "bucket": b, "prints": (home.hash[rows] // np.uint64(buckets)).view(np.uint8).reshape(-1, 8)[:, :FINGERPRINT].tobytes(), "several": np.packbits(home.several[rows]).tobytes(), "loads": squeeze(home.load[rows].tobytes())} for b, rows in home.by_bucket()]
+        return pa.Table.from_pylist(out, pa.schema([("home", pa.int32()), ("bucket", pa.int32()), ("prints", pa.binary()), ("several", pa.binary()), ("loads", pa.binary())]))
 
     def mark(key, table):
-        """A bit for each fingerprint of each home: it stands in several documents."""
+        """Two bits for each fingerprint of each home: it stands in several documents, and it is hot."""
         lists, several = [], []
         for prints, bits in zip(table.column("prints"), table.column("several"), strict=True):
             p = np.frombuffer(prints.as_py(), np.uint8).reshape(-1, FINGERPRINT)
@@ -332,7 +403,10 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_column: str = "doc_id
         values, where, n = np.unique(every, return_inverse=True, return_counts=True)
         shared = n > 1
         shared[where[np.concatenate(several)]] = True
-        bits = np.split(shared[where], np.cumsum([len(x) for x in lists])[:-1])
+        loads = np.concatenate([np.frombuffer(open_up(x.as_py()), np.uint8) for x in table.column("loads")])
+        hot = np.bincount(where, weights=2.0**loads, minlength=len(values)) > hot_runs
+        edges = np.cumsum([len(x) for x in lists])[:-1]
+        bits = [np.append(s, h) for s, h in zip(np.split(shared[where], edges), np.split(hot[where], edges), strict=True)]
         return pa.table({"home": table.column("home"), "bucket": table.column("bucket"), "mask": pa.array([np.packbits(b).tobytes() for b in bits], pa.binary())})
 
     def send(key, left, right):
@@ -345,13 +419,12 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_column: str = "doc_id
             out.append({
                 "home": left.column("home")[0].as_py(),
                 "bucket": b,
-                "mask": masks[b],
                 "strings": squeeze(gather(home.whole, home.begin[run], home.length[run]).tobytes()),
                 "lengths": home.length[run].astype(np.uint8).tobytes(),
                 "docs": squeeze(home.docs[home.row[run]].tobytes()),
                 "parts": ((home.anchor[run] >> np.uint64(40)) % np.uint64(PARTS)).astype(np.uint8).tobytes(),
             })
-        return pa.Table.from_pylist(out, pa.schema([("home", pa.int32()), ("bucket", pa.int32()), ("mask", pa.binary()), ("strings", pa.binary()), ("lengths", pa.binary()), ("docs", pa.binary()), ("parts", pa.binary())]))
+        return pa.Table.from_pylist(out, pa.schema([("home", pa.int32()), ("bucket", pa.int32()), ("strings", pa.binary()), ("lengths", pa.binary()), ("docs", pa.binary()), ("parts", pa.binary())]))
 
     def sort(key, table):
         """First and last taken window of each string of each home, NONE and NONE where none is."""
@@ -369,7 +442,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_column: str = "doc_id
             doc = np.concatenate([x[m] for x, m in zip(docs, mine, strict=True)])
             text = np.concatenate([gather(t, (np.cumsum(x) - x)[m], x[m]) for t, x, m in zip(texts, lengths, mine, strict=True)])
             begin = np.cumsum(length) - length
-            _, first, string = np.unique(string_hashes(text, begin, length), return_index=True, return_inverse=True)
+            first, string = same_strings(text, begin, length, string_hashes(text, begin, length))
             low = np.full(len(first), LAST_ID)
             np.minimum.at(low, string, doc)
             own = length[first]
@@ -384,16 +457,16 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_column: str = "doc_id
             head, tail = np.where(all_of, 0, head[string]), np.where(all_of, length - WINDOW, np.where(tail < 0, NONE, tail)[string])
             for k, (m, h, t) in enumerate(zip(mine, np.split(head, np.cumsum(n)[:-1]), np.split(tail, np.cumsum(n)[:-1]), strict=True)):
                 answers[k][m, 0], answers[k][m, 1] = h, t
-        return pa.table({"home": table.column("home"), "bucket": table.column("bucket"), "mask": table.column("mask"), "taken": pa.array([squeeze(a.tobytes()) for a in answers], pa.binary())})
+        return pa.table({"home": table.column("home"), "bucket": table.column("bucket"), "taken": pa.array([squeeze(a.tobytes()) for a in answers], pa.binary())})
 
     def cut(left, right):
         home = Home(left, buckets)
-        home.keep_shared(dict(zip(right.column("bucket").to_pylist(), right.column("mask").to_pylist(), strict=True)))
-        answers = dict(zip(right.column("bucket").to_pylist(), right.column("taken"), strict=True))
+        masked, answered = right.filter(pc.is_valid(right.column("mask"))), right.filter(pc.is_valid(right.column("taken")))
+        home.keep_shared(dict(zip(masked.column("bucket").to_pylist(), masked.column("mask").to_pylist(), strict=True)))
+        answers = dict(zip(answered.column("bucket").to_pylist(), answered.column("taken"), strict=True))
         taken = np.full((len(home.first), 2), NONE, np.int64)
         for b, records in home.by_bucket(home.record_bucket):
-            if len(records):
-                taken[records] = np.frombuffer(open_up(answers[b].as_py()), np.uint8).reshape(-1, 2)
+            taken[records] = np.frombuffer(open_up(answers[b].as_py()), np.uint8).reshape(-1, 2)
         # a run of a larger document than its record's loses every window
         whole = home.docs[home.row] != home.docs[home.row[home.first]][home.record]
         head, tail = np.where(whole, 0, taken[home.record, 0]), np.where(whole, home.length - WINDOW, taken[home.record, 1])
@@ -417,7 +490,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_column: str = "doc_id
             kept.append(rest)
         return pa.table({"doc_id": left.column("doc_id").take(pa.array(home.order)), "n_bytes": pa.array([len(t) for t in home.texts], pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "n_spans": pa.array(n_spans, pa.int64()), "kept": pa.array(kept, pa.binary())})
 
-    masks = homed.groupBy("home").applyInArrow(fingerprints, "home int, bucket int, prints binary, several binary").groupBy("bucket").applyInArrow(mark, "home int, bucket int, mask binary")
-    strings = homed.groupBy("home").cogroup(masks.groupBy("home")).applyInArrow(send, "home int, bucket int, mask binary, strings binary, lengths binary, docs binary, parts binary")
-    replies = strings.groupBy("bucket").applyInArrow(sort, "home int, bucket int, mask binary, taken binary")
+    masks = common.cut_lineage(homed.groupBy("home").applyInArrow(fingerprints, "home int, bucket int, prints binary, several binary, loads binary").groupBy("bucket").applyInArrow(mark, "home int, bucket int, mask binary"))
+    strings = homed.groupBy("home").cogroup(masks.groupBy("home")).applyInArrow(send, "home int, bucket int, strings binary, lengths binary, docs binary, parts binary")
+    taken = strings.groupBy("bucket").applyInArrow(sort, "home int, bucket int, taken binary")
+    replies = masks.withColumn("taken", F.lit(None).cast("binary")).unionByName(taken.withColumn("mask", F.lit(None).cast("binary")))
     return homed.groupBy("home").cogroup(replies.groupBy("home")).applyInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary").withColumnRenamed("doc_id", id_column)
