@@ -90,3 +90,10 @@ def test_components_of_a_long_path(spark):
     links = spark.createDataFrame(list(zip(nodes[1:], nodes)), "a binary, b binary")
     got = {bytes(r["node"]): bytes(r["component"]) for r in near_dedup.components(links).collect()}
     assert got == {n: nodes[0] for n in nodes}
+
+
+def test_rows_without_an_id_link_with_nothing(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    df = spark.createDataFrame([(None, text, "n"), (5, text, "n"), (None, text + " x", "n"), (3, text + " y", "n")], "doc_id long, text string, node string")
+    got = sorted((r["doc_id"] or 0, r["component_id"] or 0, r["n_shingles"]) for r in near_dedup.near_duplicates(df).collect())
+    assert got == [(0, 0, 36), (0, 0, 37), (3, 3, 37), (5, 3, 36)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,11 +22,24 @@ def crc_mod(column: str, modulus: int):
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests in one
-    process) is a folder under /tmp used.
+    A cluster names it in ``spark.checkpoint.dir``; only a session in one process (a local master, as in tests)
+    may leave it unset, since its driver and executors have one disk.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return named or "/tmp/checkpoints"
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{tempfile.gettempdir()}/checkpoints"
+
+
+def remove(df: DataFrame) -> None:
+    """Deletes a table that ``cut_lineage`` wrote, once nothing reads it any more."""
+    jvm = df.sparkSession._jvm
+    for place in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/tidebook-" in place:
+            path = jvm.org.apache.hadoop.fs.Path(place)
+            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def cut_lineage(df: DataFrame, compression: str = "zstd") -> DataFrame:

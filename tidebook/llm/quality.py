@@ -72,6 +72,12 @@ class Pairs(dict):
 _GRAMS, _PAIRS = Grams(), Pairs()
 
 
+def forget() -> None:
+    """At the end of a task: a worker that goes on with other stages keeps nothing."""
+    _GRAMS.clear()
+    _PAIRS.clear()
+
+
 def features(text: str | None) -> np.ndarray:
     """Sorted slots of the n-grams that a text has."""
     found = [_GRAMS[w] for w in (text or "").split()]
@@ -164,6 +170,7 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", per_class
         for batch in common.small(batches):
             rows = [features(t).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary()), batch.column(2)], ["doc_id", "slots", "y"])
+        forget()
 
     def learn(batches):
         rows = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
@@ -187,5 +194,6 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for batch in common.small(batches):
             found = m.score(np.array([m.margin(features(t)) for t in batch.column(place).to_pylist()]))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=[*batch.schema.names, "quality_score"])
+        forget()
 
     return docs.mapInArrow(run, schema)
