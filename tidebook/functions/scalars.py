@@ -124,8 +124,37 @@ def gcd_of(values: Column, steps: int = 96) -> Column:
 
 
 def human_bytes(n: Column) -> Column:
-    """1.5 KB, 2.0 MB ...; powers of 1024."""
+    """1.5 KB, 2.0 MB ...; powers of 1024, halves to even."""
     out = F.format_string("%.0f B", n.cast("double"))
     for power, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
-        out = F.when(n >= 1024**power, F.format_string(f"%.1f {unit}", n / F.lit(float(1024**power)))).otherwise(out)
+        out = F.when(n >= 1024**power, F.format_string(f"%.1f {unit}", F.bround(n / F.lit(float(1024**power)), 1))).otherwise(out)
     return out
+
+
+def clock(seconds: Column) -> Column:
+    """hh:mm:ss of whole seconds; hours go past 24."""
+    return F.format_string("%02d:%02d:%02d", F.floor(seconds / 3_600), F.pmod(F.floor(seconds / 60), F.lit(60)), F.pmod(seconds.cast("long"), F.lit(60)))
+
+
+def archive_path(stream: Column, ts: Column) -> Column:
+    """stream/date=YYYY-MM-DD/hour=HH/stream-YYYYMMDDTHHMMSSZ.jsonl.gz of a timestamp in UTC."""
+    return F.concat(stream, F.lit("/date="), F.date_format(ts, "yyyy-MM-dd"), F.lit("/hour="), F.date_format(ts, "HH"), F.lit("/"), stream, F.lit("-"), F.date_format(ts, "yyyyMMdd'T'HHmmss'Z'"), F.lit(".jsonl.gz"))
+
+
+BARS = "▁▂▃▄▅▆▇█"
+
+
+def sparkline(values: Column) -> Column:
+    """One bar a value, from the least to the largest; equal values are lowest bars."""
+    lo, hi = F.array_min(values), F.array_max(values)
+    step = F.when(hi > lo, 1).otherwise(0) * F.lit(len(BARS) - 1)
+    bar = lambda v: F.substring(F.lit(BARS), F.floor((v - lo) / F.greatest(hi - lo, F.lit(1e-300)) * step + 0.5).cast("int") + 1, F.lit(1))
+    return F.array_join(F.transform(values, bar), "")
+
+
+def softmax(logits: Column) -> Column:
+    """Struct of p (array), label (place of the largest, the first of equals) and confidence."""
+    top = F.array_max(logits)
+    e = F.transform(logits, lambda x: F.exp(x - top))
+    p = F.transform(e, lambda x: x / array_sum(e))
+    return F.struct(p.alias("p"), (F.array_position(logits, top) - 1).cast("int").alias("label"), F.array_max(p).alias("confidence"))

@@ -18,6 +18,7 @@ from __future__ import annotations
 import bisect
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -241,8 +242,20 @@ def anchors(events: DataFrame, snapshots: DataFrame, bucket: int = 1_000_000) ->
 def tick_of(prices: DataFrame, price: str = "price") -> DataFrame:
     """symbol, tick, n: the greatest common divisor of the prices in units of 1e-8; distinct prices are folded, rows are not collected."""
     units = prices.select("symbol", F.round(F.col(price).cast("double") * 1e8).cast("long").alias("u")).where("u > 0").distinct()
-    salted = units.groupBy("symbol", F.pmod(F.xxhash64("u"), F.lit(64)).alias("salt")).agg(S.gcd_of(F.collect_list("u")).alias("g"), F.count("*").alias("n"))
-    return salted.groupBy("symbol").agg((S.gcd_of(F.collect_list("g")) / 1e8).alias("tick"), F.sum("n").alias("n"))
+    return gcd_by(units, "symbol", "u").select("symbol", (F.col("g") / 1e8).alias("tick"), "n")
+
+
+def gcd_by(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """key, g (greatest common divisor of whole numbers), n: each task folds its rows to one number a key, the rest is a few rows."""
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for pdf in batches:
+            found = pdf.groupby(key, dropna=False)[value].agg([np.gcd.reduce, "size"]).reset_index()
+            found.columns = [key, "g", "n"]
+            yield found
+
+    return rows.select(key, value).mapInPandas(run, f"{key} {kind}, g long, n long").groupBy(key).agg(S.gcd_of(F.collect_list("g")).alias("g"), F.sum("n").alias("n"))
 
 
 def check_tick(prices: DataFrame, expected: float, least: int = 100) -> None:

@@ -64,7 +64,7 @@ def resample_means(values: np.ndarray, length: int, resamples: int, seed: int) -
     at = rng.integers(0, n - length + 1, (resamples, whole))
     means = (total[at + length] - total[at]).sum(axis=1)
     if rest:
-        at = rng.integers(0, n - length + 1, resamples)
+        at = rng.integers(0, n - rest + 1, resamples)  # the last, shorter block may begin anywhere that it fits
         means = means + total[at + rest] - total[at]
     return means / n
 

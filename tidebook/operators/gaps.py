@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,16 +53,25 @@ def gap_status(gaps_per_hour: Column) -> Column:
 def throttled(rows: DataFrame, keys: list[str], time: str, cooldown: int) -> DataFrame:
     """Rows that a limiter lets through: the first, then each that comes ``cooldown`` or more after the last kept one.
 
-    What is kept depends on what was kept, so a fold over the key's times decides; a key's times alone are held.
+    What is kept depends on what was kept, so a cursor walks each key's rows in order of time; rows stream past it and none are held.
+    Rows at one time share its fate; rows without a time don't pass.
     """
-    times = F.array_sort(F.collect_set(time))
-    keep = F.aggregate(
-        times,
-        F.array().cast("array<bigint>"),
-        lambda kept, t: F.when((F.size(kept) == 0) | (t - F.element_at(kept, -1) >= cooldown), F.concat(kept, F.array(t))).otherwise(kept),
-    )
-    kept = rows.groupBy(*keys).agg(keep.alias("_kept")).select(*keys, F.explode("_kept").alias(time))
-    return rows.join(kept, [*keys, time], "left_semi")
+    ordered = rows.where(F.col(time).isNotNull()).repartition(*keys).sortWithinPartitions(*keys, time)
+    places, at = [rows.columns.index(k) for k in keys], rows.columns.index(time)
+
+    def run(batches):
+        key, last = None, None
+        for batch in batches:
+            keep = []
+            for t, *own in zip(batch.column(at).to_pylist(), *(batch.column(p).to_pylist() for p in places), strict=True):
+                if own != key:
+                    key, last = own, None
+                if last is None or t - last >= cooldown:
+                    last = t
+                keep.append(t == last)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return ordered.mapInArrow(run, rows.schema)
 
 
 def outages(marks: DataFrame, keys: list[str], time: str, state: str) -> DataFrame:

@@ -52,8 +52,33 @@ def across_folds(folds: DataFrame, columns: list[str], keys: list[str] | None =
 
 def rank_correlation(rows: DataFrame, x: str, y: str, tie: str) -> DataFrame:
     """Spearman's coefficient from ranks without ties averaged; equals follow ``tie``."""
-    ranks = rows.withColumn("_x", F.row_number().over(Window.orderBy(x, tie))).withColumn("_y", F.row_number().over(Window.orderBy(y, tie)))
-    return ranks.agg(F.corr("_x", "_y").alias("rho"))
+    return global_rank(global_rank(rows, [x, tie], "_x"), [y, tie], "_y").agg(F.corr("_x", "_y").alias("rho"))
+
+
+def global_rank(rows: DataFrame, order: list[str], name: str, ranges: int = 64) -> DataFrame:
+    """Adds the place of each row in the whole order (the last column breaks ties), without one task that sorts all.
+
+    A bounded sample cuts the order into ranges; a row's rank is its place in its range after the rows of the ranges before.
+    """
+    key = F.struct(*order)
+    sample = sorted(tuple(r) for r in rows.select(*order).dropna().orderBy(F.xxhash64(*order), *order).limit(16 * ranges).collect())
+    cuts = [sample[i * len(sample) // ranges] for i in range(1, ranges)] if sample else []
+    kinds = rows.select(key.alias("k")).schema["k"].dataType
+    literal = lambda cut: F.struct(*(F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(cut, kinds.fields, strict=True)))
+    place = F.aggregate(F.array(*map(literal, cuts)), F.lit(0), lambda n, cut: n + (cut <= key).cast("int")) if cuts else F.lit(0)
+    placed = rows.withColumn("_range", place)
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    ahead = placed.groupBy("_range").agg(F.count("*").alias("_n")).withColumn("_ahead", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return placed.join(F.broadcast(ahead), "_range").withColumn(name, inside + F.col("_ahead")).drop("_range", "_ahead")
+
+
+def best_so_far(losses: DataFrame, keys: list[str], epoch: str, loss: str, patience: int) -> DataFrame:
+    """Adds ``best`` (least loss up to an epoch), ``best_epoch`` and ``stopped``: ``patience`` epochs have gone by without a better one."""
+    upto = Window.partitionBy(*keys).orderBy(epoch)
+    least = F.min(F.struct(F.col(loss).alias("l"), F.col(epoch).alias("e"))).over(upto)
+    rows = losses.withColumn("_b", least).withColumn("best", F.col("_b.l")).withColumn("best_epoch", F.col("_b.e")).drop("_b")
+    return rows.withColumn("stopped", F.max((F.col(epoch) - F.col("best_epoch") >= patience).cast("int")).over(upto) == 1)
 
 
 def balance_grid(moves: DataFrame, alphas: DataFrame) -> DataFrame:

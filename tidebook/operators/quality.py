@@ -78,3 +78,40 @@ def projection(size: DataFrame, bytes_column: str, hours: str) -> DataFrame:
     """mb_day and mb_21_days at the observed rate."""
     rate = F.col(bytes_column) / 1e6 / F.col(hours) * 24
     return size.withColumn("mb_day", rate).withColumn("mb_21_days", rate * 21)
+
+
+def least_count(n: Column, least: int = 1, otherwise: str = "BAD") -> Column:
+    """OK where there are ``least`` and more, else ``otherwise``."""
+    return F.when(n >= least, "OK").otherwise(otherwise)
+
+
+def archive_checks(files: DataFrame, counts: DataFrame, stale_s: int = 3_600) -> DataFrame:
+    """check, status: rotation (two sealed depth files), date boundary (two dates), stale unfinished files, trades and depth present.
+
+    files: path, stream, date, age_s; counts: stream, n.  Both are aggregated to one row first.
+    """
+    sealed = F.col("path").endswith(".gz")
+    seen = files.agg(F.count_if(sealed & (F.col("stream") == "depth")).alias("depth_files"), F.countDistinct("date").alias("dates"), F.count_if(~sealed & (F.col("age_s") > stale_s)).alias("stale"))
+    n = lambda stream: F.coalesce(F.sum(F.when(F.col("stream") == stream, F.col("n"))), F.lit(0))
+    both = seen.crossJoin(F.broadcast(counts.agg(n("trades").alias("trades"), n("depth").alias("depth"))))
+    checks = {
+        "rotation": least_count(F.col("depth_files"), 2, "WARN"), "date_boundary": least_count(F.col("dates"), 2, "WARN"), "stale_files": F.when(F.col("stale") == 0, "OK").otherwise("WARN"),
+        "trades_present": least_count(F.col("trades")), "depth_present": least_count(F.col("depth")),
+    }
+    return both.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, checks)), F.array(*checks.values()))).alias("check", "status"))
+
+
+def heartbeat_checks(beats: DataFrame) -> DataFrame:
+    """Adds self_reported, streams, reconnected, snapshots (each a status) to rows of heartbeat fields; a missing field is no fault."""
+    field = lambda c, default: F.coalesce(F.col(c), F.lit(default))
+    return beats.withColumns({
+        "self_reported": F.when(field("healthy", True), "OK").otherwise("BAD"),
+        "streams": F.when(field("missing_streams", 0) == 0, "OK").otherwise("BAD"),
+        "reconnected": F.when(field("reconnects", 0) < 20, "OK").otherwise("WARN"),
+        "snapshots": F.when(field("snapshot_failures", 0) == 0, "OK").otherwise("WARN"),
+    })
+
+
+def gate(age_s: Column, healthy: Column, most_s: float = 180.0) -> Column:
+    """Whether a container counts as alive: a heartbeat under ``most_s`` old that says it is healthy."""
+    return F.coalesce((age_s < most_s) & healthy, F.lit(False))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidebook.functions import scalars as S
 from tidebook.operators import book, folds, gaps, quality
 from tidebook.operators import frames as W
+from tidebook.plans.feeds import REPLAY
 from tidebook.plans.registry import FRAMES, TICKS, frames, query, table, ticks
 from tidebook.sources import fi2010, simulator, sinks
 from tidebook.streaming import stateful  # noqa: F401  (the streaming forms are part of the plans' surface)
@@ -52,7 +53,7 @@ def synthetic_book(spark, d):
     return book.replay(events, snapshots, simulator.TICK).select("symbol", "seq", "outcome", "segment_id", "update_id", F.get("bids", F.lit(0))["p"].alias("bid"), F.get("asks", F.lit(0))["p"].alias("ask"))
 
 
-@query("st01_book_replay")
+@query("st01_book_replay", REPLAY + " SELECT CAST(user_id AS VARCHAR) AS symbol, seg AS segment_id, COUNT(*) FILTER (outcome = 'applied') AS applied, COUNT(*) FILTER (outcome = 'desync') AS breaks, MIN(seq) AS start, MAX(seq) AS stop FROM m WHERE outcome <> 'unanchored' GROUP BY ALL")
 def book_replay(spark, d):
     """Each user's chain as depth events: a lost event breaks trust, a snapshot anchors again."""
     rows = ticks(spark, d).withColumn("prev_id", F.coalesce(F.lag("seq").over(Window.partitionBy("user_id").orderBy("seq")), F.lit(-1)))
@@ -422,13 +423,6 @@ def offered_and_kept(spark, d):
     return W.positions(frames(spark, d)).groupBy("symbol").agg(F.count("*").alias("offered"), F.count_if(keep).alias("kept"), R6(1 - F.count_if(keep) / F.count("*")).alias("trimmed"))
 
 
-@query("f05_fault_injection")
-def fault_injection(spark, d):
-    """Seeded faults over the event table, counted by kind."""
-    rows = ticks(spark, d)
-    return simulator.with_faults(rows, drop=0.02, duplicate=0.02, reorder=0.02, malformed=0.02, seed=3).groupBy(F.coalesce("fault", F.lit("none")).alias("fault")).agg(F.count("*").alias("n"))
-
-
 @query("k05_manifest", FRAMES + " SELECT symbol, segment_id, MIN(seq) AS start, MAX(seq) AS stop, COUNT(*) AS n FROM fr GROUP BY ALL")
 def manifest(spark, d):
     return sinks.intervals(frames(spark, d))

@@ -6,10 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidebook.functions import scalars as S
-from tidebook.operators import cost, folds, gaps, metrics, ml, quality
+from tidebook.operators import book, cost, folds, gaps, metrics, ml, quality
 from tidebook.operators import frames as W
 from tidebook.plans.registry import FRAMES, TICKS, forward_sql, frames, query, table, ticks
 from tidebook.plans.windows import CHAIN, chain
+from tidebook.sources import sinks
 
 R6 = lambda c: F.round(c, 6)
 TYPES = ["click", "error", "purchase", "signup", "view"]
@@ -140,8 +141,10 @@ def z_scores(spark, d):
 
 @query("a11_volume_stats", "SELECT ROUND(AVG(LN(1 + l_quantity)), 6) AS mean, ROUND(STDDEV_POP(LN(1 + l_quantity)), 6) AS sd FROM lineitem")
 def volume_stats(spark, d):
-    """Over all windows, so the bound is past the table's size and nothing is left out."""
-    return table(spark, d, "lineitem").agg(R6(F.avg(F.log1p("l_quantity"))).alias("mean"), R6(F.stddev_pop(F.log1p("l_quantity"))).alias("sd"))
+    """Orders are windows and their quantities volumes; the bound of the sample is the number of windows, so all take part."""
+    windows = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("frame_id")).agg(F.collect_list("l_quantity").alias("quantities"))
+    stats = folds.volume_stats(windows, windows.count())
+    return stats.select(R6(F.col("mean")).alias("mean"), R6(F.col("sd")).alias("sd"))
 
 
 PRED = "SELECT o_orderkey AS id, CAST(o_orderkey % 5 AS INT) AS fold, CASE WHEN o_totalprice < 100000 THEN 0 WHEN o_totalprice < 250000 THEN 1 ELSE 2 END AS y, CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS p FROM orders"
@@ -252,8 +255,7 @@ def class_mix(spark, d):
 def observed_tick(spark, d):
     """Greatest common divisor of the prices in fifties of cents."""
     units = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("symbol"), (F.round(F.col("l_extendedprice") * 100).cast("long") * 50).alias("u")).distinct()
-    salted = units.groupBy("symbol", F.pmod(F.xxhash64("u"), F.lit(64)).alias("s")).agg(S.gcd_of(F.collect_list("u")).alias("g"), F.count("*").alias("n"))
-    return salted.groupBy("symbol").agg((S.gcd_of(F.collect_list("g")) / 100.0).alias("tick"), F.sum("n").alias("n"))
+    return book.gcd_by(units, "symbol", "u").select("symbol", (F.col("g") / 100.0).alias("tick"), "n")
 
 
 @query("a20_summary_facts", TICKS + " SELECT symbol, arg_min(mid, seq) AS first, arg_max(mid, seq) AS last, MIN(mid) AS low, MAX(mid) AS high, ROUND(median(mid), 6) AS med, ROUND((arg_max(mid, seq) / arg_min(mid, seq) - 1) * 100, 6) AS change_pct FROM ev GROUP BY 1")
@@ -306,7 +308,9 @@ def rank_correlation(spark, d):
 
 @query("a25_trial_counts", "SELECT COUNT(*) FILTER (o_orderstatus = 'O') AS started, COUNT(*) FILTER (o_orderstatus = 'F') AS finished FROM orders")
 def trial_counts(spark, d):
-    return table(spark, d, "orders").agg(F.count_if(F.col("o_orderstatus") == "O").alias("started"), F.count_if(F.col("o_orderstatus") == "F").alias("finished"))
+    """Orders as records of a ledger."""
+    state = F.when(F.col("o_orderstatus") == "O", "started").when(F.col("o_orderstatus") == "F", "finished").otherwise("other")
+    return sinks.trial_counts(table(spark, d, "orders").select(F.to_json(F.struct(F.col("o_orderkey").alias("run"), state.alias("state"))).alias("value")))
 
 
 @query("a26_integrity", TICKS + """, q AS (SELECT user_id, 100.0 * SUM(CASE WHEN k = 7 THEN 1 ELSE 0 END) / COUNT(*) AS loss, SUM(CASE WHEN k < 3 THEN 1 ELSE 0 END) / 24.0 AS gph, SUM(CASE WHEN k = 1 THEN 1 ELSE 0 END) AS rec, SUM(CASE WHEN k = 2 THEN 1 ELSE 0 END) AS fail FROM ev GROUP BY 1)

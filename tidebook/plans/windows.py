@@ -183,10 +183,3 @@ def throughput(spark, d):
 def previous_row(spark, d):
     w = Window.partitionBy("symbol").orderBy("seq")
     return ticks(spark, d).select("symbol", "seq", (F.col("seq") - F.lag("seq").over(w)).alias("step"), (F.col("event_ms") - F.lag("event_ms").over(w)).alias("wait_ms"))
-
-
-@query("st06_throttle", None)
-def throttle(spark, d):
-    """Break events that a limiter of one hour lets through, by symbol."""
-    rows = ticks(spark, d).where("k = 0").select("symbol", F.col("event_ms").alias("at_ms"), "seq")
-    return gaps.throttled(rows, ["symbol"], "at_ms", 3_600_000)

@@ -19,12 +19,13 @@ from pyspark.sql import types as T
 
 from tidebook import schemas
 
-NAME = r".*\.jsonl\.gz(\.part(\.orphan\d*)?|\.orphan\d*)?$"
+NAME = r".*\.(jsonl|txt)\.gz(\.part(\.orphan\d*)?|\.orphan\d*)?$"
+GLOB = "*.gz*"
 
 
 def files(spark: SparkSession, root: str, stream: str) -> DataFrame:
     """path, date, hour, length, modified of every archive file of a stream; contents are not read."""
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl.gz*").load(f"{root}/{stream}")
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", GLOB).load(f"{root}/{stream}")
     return listed.select("path", F.regexp_extract("path", r"date=([0-9-]+)", 1).alias("date"), F.regexp_extract("path", r"hour=(\d+)", 1).cast("int").alias("hour"), "length", F.col("modificationTime").alias("modified")).where(F.col("path").rlike(NAME))
 
 
@@ -62,7 +63,12 @@ def inflate_some(raw: bytes) -> bytes:
 
 def read_lines(spark: SparkSession, root: str, stream: str) -> DataFrame:
     """value, path, line_no, date, hour of every line that can be read, damaged files up to their damage."""
-    data = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl.gz*").load(f"{root}/{stream}").where(F.col("path").rlike(NAME)).select("path", "content")
+    data = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", GLOB).load(f"{root}/{stream}").where(F.col("path").rlike(NAME))
+    return lines_of(data)
+
+
+def lines_of(data: DataFrame) -> DataFrame:
+    """The lines of files given as (path, content); a file is one task's memory, as gzip can't be split."""
 
     def run(batches):
         for pdf in batches:
@@ -76,26 +82,31 @@ def read_lines(spark: SparkSession, root: str, stream: str) -> DataFrame:
                     lines.append(torn)
                 yield pd.DataFrame({"value": lines, "path": path, "line_no": range(len(lines))})
 
-    rows = data.mapInPandas(run, schemas.RAW)
+    rows = data.select("path", "content").mapInPandas(run, schemas.RAW)
     return rows.withColumn("date", F.regexp_extract("path", r"date=([0-9-]+)", 1)).withColumn("hour", F.regexp_extract("path", r"hour=(\d+)", 1).cast("int"))
 
 
 def read_sealed(spark: SparkSession, root: str, stream: str) -> DataFrame:
     """The fast path for sealed files: Spark's text reader; a torn file gives its beginning."""
-    rows = spark.read.option("ignoreCorruptFiles", "true").option("pathGlobFilter", "*.jsonl.gz").text(f"{root}/{stream}")
+    rows = spark.read.option("ignoreCorruptFiles", "true").option("pathGlobFilter", "*.{jsonl,txt}.gz").text(f"{root}/{stream}")
     return rows.select("value", F.col("_metadata.file_path").alias("path"), F.col("date").cast("string").alias("date"), F.col("hour").cast("int").alias("hour"))
 
 
 def readability(spark: SparkSession, root: str, stream: str, fresh_s: int = 300) -> DataFrame:
     """path, n_lines, whole, damaged; an unfinished file that changed within ``fresh_s`` seconds is not damage."""
-    data = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl.gz*").load(f"{root}/{stream}").where(F.col("path").rlike(NAME)).select("path", "content", "modificationTime")
+    data = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", GLOB).load(f"{root}/{stream}").where(F.col("path").rlike(NAME))
+    return readability_of(data, fresh_s)
+
+
+def readability_of(data: DataFrame, fresh_s: int = 300) -> DataFrame:
+    """The same of files given as (path, content, modificationTime)."""
 
     def run(batches):
         for pdf in batches:
             found = [inflate(c) for c in pdf.content]
             yield pd.DataFrame({"path": pdf.path, "n_lines": [d.count(b"\n") for d, _ in found], "whole": [w for _, w in found], "modified": pdf.modificationTime})
 
-    rows = data.mapInPandas(run, "path string, n_lines long, whole boolean, modified timestamp")
+    rows = data.select("path", "content", "modificationTime").mapInPandas(run, "path string, n_lines long, whole boolean, modified timestamp")
     fresh = F.col("path").endswith(".part") & (F.unix_timestamp() - F.unix_timestamp("modified") < fresh_s)
     return rows.withColumn("damaged", ~F.col("whole") & ~fresh)
 
@@ -149,9 +160,10 @@ def parse_snapshots(lines: DataFrame, symbol: str | None = None) -> DataFrame:
 
 
 def route(lines: DataFrame) -> DataFrame:
-    """Adds ``stream``: trades, depth, or malformed."""
-    name = F.get_json_object("value", "$.m.stream")
-    return lines.withColumn("stream", F.when(F.try_parse_json("value").isNull(), "malformed").when(name.endswith("aggTrade"), "trades").otherwise("depth"))
+    """Adds ``stream``: malformed, snapshots, gaps, outages, trades or depth."""
+    has = lambda path: F.get_json_object("value", f"$.{path}").isNotNull()
+    stream = F.when(F.try_parse_json("value").isNull(), "malformed").when(has("m.lastUpdateId"), "snapshots").when(has("expected_pu"), "gaps").when(has("start_ns") & has("endpoint"), "outages")
+    return lines.withColumn("stream", stream.when(F.get_json_object("value", "$.m.stream").endswith("aggTrade"), "trades").otherwise("depth"))
 
 
 def in_order(rows: DataFrame, keys: list[str] | None = None, by_name: bool = False) -> DataFrame:
@@ -207,7 +219,11 @@ def salvage(raw: bytes) -> tuple[bytes, int, int]:
 
 def salvage_lines(spark: SparkSession, path: str) -> DataFrame:
     """path, line_no, value, members, damaged of all whole JSON lines that damaged files still hold; written anew, never in place."""
-    data = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    return salvage_of(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path))
+
+
+def salvage_of(data: DataFrame) -> DataFrame:
+    """The same of files given as (path, content)."""
 
     def run(batches):
         for pdf in batches:
@@ -222,4 +238,4 @@ def salvage_lines(spark: SparkSession, path: str) -> DataFrame:
                     kept.append((name, n, line, members, damaged))
                 yield pd.DataFrame(kept, columns=["path", "line_no", "value", "members", "damaged"])
 
-    return data.mapInPandas(run, "path string, line_no long, value string, members int, damaged int")
+    return data.select("path", "content").mapInPandas(run, "path string, line_no long, value string, members int, damaged int")

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import dataclasses
 import os
+import re
 
 PREFIX = "TIDEBOOK_"
 
 
 def clean(text: str) -> str:
-    """The value without a trailing `` # comment`` and outer blanks; a value that is a comment only is empty."""
+    """The value without a trailing comment (``#`` after a blank or tab) and outer blanks; a value that is a comment only is empty."""
     text = text.strip()
-    return "" if text.startswith("#") else text.split(" #", 1)[0].strip()
+    return "" if text.startswith("#") else re.split(r"[ \t]#", text, maxsplit=1)[0].strip()
 
 
 @dataclasses.dataclass(frozen=True)
@@ -50,6 +51,13 @@ class Config:
                 out[field.name] = int(value) if kind.startswith("int") else float(value) if kind == "float" else value
         return cls(**out)
 
+    def stream_options(self) -> dict[str, str]:
+        """Backpressure and flushing of a streaming write: records admitted to a batch, and seconds between batches.
+
+        The queue of a capture is the source's backlog; a batch admits so much of it and the rest waits at the source.
+        """
+        return {"maxRecordsPerBatch": str(self.queue_records), "processingTime": f"{self.flush_seconds:g} seconds"}
+
     def spark_options(self) -> dict[str, str]:
         """As options of a session, for jobs that read them there."""
         return {f"spark.tidebook.{k}": str(v) for k, v in dataclasses.asdict(self).items() if v is not None}

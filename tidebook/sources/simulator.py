@@ -66,7 +66,8 @@ def stream(spark: SparkSession, symbols: int, events: int, seed: int = 0) -> tup
 
 def chance(*columns: str, seed: int = 0) -> Column:
     """A number from 0 to 1 that is the same for the same row on every run."""
-    return F.pmod(F.xxhash64(*columns, F.lit(seed)), F.lit(1_000_000)) / F.lit(1e6)
+    digest = F.md5(F.concat_ws(":", *(F.col(c).cast("string") for c in columns), F.lit(str(seed))))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
 
 
 def with_faults(events: DataFrame, drop: float = 0.0, duplicate: float = 0.0, reorder: float = 0.0, malformed: float = 0.0, seed: int = 0) -> DataFrame:

@@ -43,9 +43,27 @@ def log_trial(spark: SparkSession, path: str, record: dict) -> None:
 
 def trials(spark: SparkSession, path: str) -> DataFrame:
     """started, finished."""
+    return trial_counts(spark.read.text(path))
+
+
+def trial_counts(records: DataFrame) -> DataFrame:
+    """started, finished of a ledger's lines."""
     state = F.get_json_object("value", "$.state")
-    return spark.read.text(path).agg(F.count_if(state == "started").alias("started"), F.count_if(state == "finished").alias("finished"))
+    return records.agg(F.count_if(state == "started").alias("started"), F.count_if(state == "finished").alias("finished"))
 
 
 def write_run(spark: SparkSession, path: str, record: dict) -> None:
     spark.createDataFrame([(json.dumps(record, sort_keys=True, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_facts(facts: DataFrame, path: str) -> DataFrame:
+    """A one-row table of figures as one JSON document; it is read back and returned."""
+    facts.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    return facts.sparkSession.read.schema(facts.schema).json(path)
+
+
+def rewrite_repaired(lines: DataFrame, root: str) -> None:
+    """Salvaged lines (path, line_no, value) as sealed files anew, one folder for each damaged file; the damaged ones stay as they are."""
+    source = F.regexp_replace(F.regexp_extract("path", r"([^/]+)$", 1), r"\.jsonl\.gz.*$", "")
+    rows = lines.withColumn("source", source).repartition("source").sortWithinPartitions("source", "path", "line_no")
+    rows.select("value", "source").write.mode("overwrite").partitionBy("source").option("compression", "gzip").text(root)

@@ -128,10 +128,10 @@ def archive(rows: DataFrame, root: str, checkpoint: str, time: str = "ts"):
 
 
 def routed(rows: DataFrame, root: str, checkpoint: str):
-    """Starts a sink that writes depth, trades and malformed lines of each micro-batch apart."""
+    """Starts a sink that writes the six streams of ``archive.route`` of each micro-batch apart."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        for name in ("depth", "trades", "malformed"):
+        for name in ("depth", "trades", "snapshots", "gaps", "outages", "malformed"):
             batch.where(F.col("stream") == name).write.mode("append").parquet(f"{root}/{name}")
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
