@@ -73,6 +73,28 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_suffix_dedup": op1_suffix_dedup, "op2_quality": op2_quality, "op3_toxicity": op3_toxicity, "op4_neighbours": op4_neighbours, "op5_secret_scan": op5_secret_scan, "op6_html_extract": op6_html_extract, "op7_language_model": op7_language_model, "op8_bpe_roundtrip": op8_bpe_roundtrip, "op9_near_dedup": op9_near_dedup, "op10_decontaminate": op10_decontaminate}
 
 
+#: All 50-byte windows as hexadecimal digits; spans join where a window begins at most 50 bytes after the one before.
+SUFFIX_SQL = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i - 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(1, n - 48)) AS i FROM d WHERE n >= 50)),
+t AS (SELECT doc_id, i FROM (SELECT doc_id, i, MIN(doc_id) OVER (PARTITION BY s) AS first_doc FROM w) WHERE first_doc < doc_id),
+g AS (SELECT doc_id, i, SUM(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM (SELECT doc_id, i, CASE WHEN i - LAG(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS fresh FROM t)),
+sp AS (SELECT doc_id, MIN(i) AS a, MAX(i) + 49 AS b FROM g GROUP BY doc_id, span),
+cut AS (SELECT doc_id, a, COALESCE(LAG(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before, b FROM sp),
+kept AS (SELECT d.doc_id, string_agg(substr(h, 2 * before + 1, 2 * (a - before - 1)), '' ORDER BY a) || substr(any_value(h), 2 * MAX(b) + 1) AS k, SUM(b - a + 1) AS removed, COUNT(*) AS spans FROM cut JOIN d USING (doc_id) GROUP BY d.doc_id)
+SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(COALESCE(removed, 0) AS BIGINT) AS n_removed, CAST(COALESCE(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(COALESCE(k, h))) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""
+
+#: Full shingle sets, links by a join on shingles, components by reachability.
+NEAR_SQL = """WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, COUNT(*) AS n FROM sh GROUP BY 1),
+l AS (SELECT x.doc_id AS a, y.doc_id AS b FROM sh x JOIN sh y ON x.s = y.s AND x.doc_id <> y.doc_id JOIN n nx ON nx.doc_id = x.doc_id JOIN n ny ON ny.doc_id = y.doc_id
+ GROUP BY x.doc_id, y.doc_id, nx.n, ny.n HAVING 100 * COUNT(*) >= 75 * (nx.n + ny.n - COUNT(*))),
+r AS (SELECT a AS doc, b AS other FROM l UNION SELECT r.doc, l.b FROM r JOIN l ON l.a = r.other),
+c AS (SELECT doc, MIN(other) AS m FROM r GROUP BY doc)
+SELECT d.doc_id, COALESCE(n.n, 0) AS n_shingles, LEAST(d.doc_id, COALESCE(c.m, d.doc_id)) AS component_id, LEAST(d.doc_id, COALESCE(c.m, d.doc_id)) = d.doc_id AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.doc = d.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """Every one of these needs code that SQL can't express over whole tables; tests/llm holds brute-force versions."""
-    return {}
+    """What SQL can express; the others need a trained model, a tokenizer, an edit distance or an index, and tests/llm holds brute-force versions."""
+    return {"op1_suffix_dedup": SUFFIX_SQL, "op9_near_dedup": NEAR_SQL}
