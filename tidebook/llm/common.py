@@ -42,14 +42,14 @@ def remove(df: DataFrame) -> None:
             path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-def cut_lineage(df: DataFrame, compression: str = "zstd") -> DataFrame:
+def cut_lineage(df: DataFrame, compression: str = "zstd", **options) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again.
 
     A lost executor then costs a re-read, not the whole lineage, and an iterative plan stays small.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidebook-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    df.write.option("compression", compression).options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
