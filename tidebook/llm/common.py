@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -33,6 +34,12 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{tempfile.gettempdir()}/checkpoints"
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of plans that nothing refers to any more; it looks for them when the driver's heap is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def remove(df: DataFrame) -> None:
     """Deletes a table that ``cut_lineage`` wrote, once nothing reads it any more."""
     jvm = df.sparkSession._jvm
