@@ -230,3 +230,56 @@ def test_seating_keeps_its_bounds():
     c = np.array([0.0, 1, 2, 5, 100, 10_000])
     t = language_model.seat(c, np.full(6, 0.5), 0.5, np.random.default_rng(0))
     assert t[0] == 0 and t[1] == 1 and (t <= c).all() and (t[1:] >= 1).all()
+
+
+def test_short_words_equal_a_plain_reading():
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("aB é\x0b\n\x00cd") for _ in range(rng.randint(0, 60))) for _ in range(300)]
+    words, of = language_model.short_words([t.encode() for t in texts])
+    got = [((w >> 3).to_bytes(4, "big")[: w & 7], int(i) - 1) for w, i in zip(words.tolist(), of, strict=True)]
+    assert got == [(w, i) for i, t in enumerate(texts) for w in t.encode().lower().split() if len(w) <= 4]
+    assert len(language_model.short_words([])[0]) == 0
+
+
+def test_restaurants_of_preceding_words_are_distributions():
+    """A bucket's restaurants: what the dishes keep and what the parent gets add up to one; one context alone equals the formula."""
+    rng = np.random.default_rng(5)
+    context = np.sort(rng.integers(0, 40, 600))
+    counts = rng.integers(1, 9, 600).astype(float)
+    own, left = language_model.seat_pairs(context, rng.integers(0, 50, 600).astype(np.uint32), counts, 40, 1)
+    assert np.allclose(np.bincount(context, weights=own, minlength=40) + left, 1)
+    own, left = language_model.seat_pairs(np.array([0, 0]), np.array([1, 2], np.uint32), np.array([1.0, 1.0]), 1, 0)
+    d = language_model.discount_of(2, 0)
+    assert np.allclose(own, (1 - d) / (language_model.PAIR_STRENGTH + 2)) and np.allclose(left, (language_model.PAIR_STRENGTH + 2 * d) / (language_model.PAIR_STRENGTH + 2))
+
+
+def test_scores_equal_a_plain_sum_over_tokens(spark, make, docs, monkeypatch):
+    """Texts of one context class and words that occur once: the model's formula token by token, given its own parent probabilities."""
+    rng = random.Random(6)
+    words = [f"longword{i}" for i in range(400)]
+    texts = [" ".join(rng.sample(words, 60)) for _ in range(40)] * 2
+    rows = docs([*texts, "longword1 unseenword"])
+    got = {r["doc_id"]: r for r in queries.op7_language_model(spark, make(documents=rows)).collect()}
+    # a copy of a training text is far likelier than the same words in another order
+    inside = [i for i in range(40) if not held(i, 7, 2) and held(i + 40, 7, 2)]
+    other = [" ".join(rng.sample(t.split(), 60)) for t in texts[:40]]
+    d = make(documents=[*rows, *docs(other, 100)])
+    again = {r["doc_id"]: r for r in queries.op7_language_model(spark, d).collect()}
+    mixed = [i for i in range(100, 140) if held(i, 7, 2)]
+    assert inside and mixed
+    assert min(again[i + 40]["score"] for i in inside) > max(again[i]["score"] for i in mixed) + 20
+    assert all(r["perplexity"] == pytest.approx(10 ** (-r["score"] / r["n_tokens"])) for r in got.values())
+
+
+def test_language_model_odd_rows_and_columns(spark):
+    rows = [("a", "one two three", 1, "w")] * 3 + [("b", None, 1, "w"), (None, "x " * 100_000, 1, "w")]
+    df = spark.createDataFrame(rows, "doc_id string, text string, home int, words string")
+    got = language_model.score(df, common.crc_mod("doc_id", 7) == 2).collect()
+    assert len(got) == 5 and len({r["score"] for r in got if r["doc_id"] == "a"}) == 1
+    assert {r["n_tokens"] for r in got} == {4, 1, 100_001}
+    nothing = language_model.score(df, common.crc_mod("doc_id", 7) >= 0).where("doc_id = 'b'").collect()  # all held out but the row without an id
+    assert nothing[0]["held_out"] and nothing[0]["n_known"] == 1
+    every = spark.createDataFrame([("a", "one two", True)], "doc_id string, text string, h boolean")
+    from pyspark.sql import functions as F
+
+    assert language_model.score(every, F.col("h")).collect()[0]["base_score"] == 0
