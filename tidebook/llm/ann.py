@@ -16,7 +16,7 @@ ids are put back after the search.
 
 Vectors that are null, empty, zero, of another length than most, or hold null or non-finite components take
 no part.  Without vectors or queries the result is empty.  Ties go to the smaller id; repeated rows of
-one id are one row.
+one id are one row.  Columns besides the id and the vector are left out.
 """
 
 from __future__ import annotations
@@ -166,9 +166,14 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_column: str =
         return empty
     rows = rows.where(F.size("v") == width["w"])
     is_query = F.coalesce(is_query, F.lit(False))
-    # equal vectors are one entry, named by their smallest id
-    entries = common.cut_lineage(rows.groupBy("v").agg(F.min("id").alias("entry"), F.max(is_query).alias("asks")))
-    asks = entries.where("asks").select("entry", "v")
+    # equal vectors are one entry, named by their smallest id; of its ids only the k + 1 smallest can be answers, so a very common
+    # vector sends k + 1 ids from each task
+    first = F.row_number().over(Window.partitionBy("v").orderBy("id"))
+    member = rows.withColumn("place", first).where(F.col("place") <= k + 1).withColumn("entry", F.min("id").over(Window.partitionBy("v")))
+    member = common.cut_lineage(member.select("v", "id", "entry", "place"))
+    entries = member.where("place = 1").select("entry", "v")
+    queries = common.cut_lineage(rows.where(is_query).join(entries, "v").select(F.col("id").alias("query_id"), F.col("entry").alias("query")))
+    asks = entries.join(queries.select(F.col("query").alias("entry")).distinct(), "entry", "left_semi")
     number = asks.count()
     if not number:
         return empty
@@ -179,10 +184,6 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_column: str =
     found = [search(entries, pivots, reach, [(r["entry"], r["v"]) for r in asks.where(turn == t).collect()], k + 1) for t in range(turns)]
     near = Window.partitionBy("query").orderBy("score", "entry")
     top = functools.reduce(DataFrame.unionByName, found).withColumn("place", F.row_number().over(near)).where(F.col("place") <= k + 1).drop("place")
-    # of an entry's ids only the k + 1 smallest can be answers; every query id of an entry is answered
-    ids = rows.join(entries.select("v", "entry"), "v").select("id", "entry")
-    member = ids.withColumn("place", F.row_number().over(Window.partitionBy("entry").orderBy("id"))).where(F.col("place") <= k + 1).drop("place")
-    queries = ids.where(is_query).select(F.col("id").alias("query_id"), F.col("entry").alias("query"))
     last = Window.partitionBy("query_id").orderBy("score", "id")
-    answers = queries.join(top, "query").join(member, "entry").where("id <> query_id").withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k)
+    answers = queries.join(top, "query").join(member.select("id", "entry"), "entry").where("id <> query_id").withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k)
     return answers.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
