@@ -245,3 +245,18 @@ def test_code_points_of_all_blocks():
         for c in range(first, first + 96):
             text = f"a{chr(c)}b {chr(c)}"
             assert ours.encode(text) == library.encode(text, add_special_tokens=False).ids, hex(c)
+
+
+def test_benchmark_of_several_blocks(spark, monkeypatch):
+    rng = random.Random(13)
+    say = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    items = [(f"q{i}", say(12)) for i in range(40)] + [("q0", say(12)), ("q9", None), (None, "x")]
+    texts = [say(30) + " " + items[i % 43][1] + " " + say(9) if items[i % 43][1] else None for i in range(80)] + [say(40)]
+    docs = spark.createDataFrame([(i, t, "i", [1]) for i, t in enumerate(texts)] * 2, "doc_id long, text string, item_id string, leaks array<int>")
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    one = sorted((r["doc_id"], [tuple(x) for x in r["leaks"]]) for r in decontaminate.find_leaks(docs, bench).collect())
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 400)
+    monkeypatch.setattr(decontaminate, "HELD_BYTES", 5_000)
+    many = sorted((r["doc_id"], [tuple(x) for x in r["leaks"]]) for r in decontaminate.find_leaks(docs, bench).collect())
+    assert one == many and len(one) == 162
+    assert all((items[i % 43][0], 0) in leaks for i, leaks in one if i < 80 and items[i % 43][0] and texts[i]) and one[-1] == (80, [])

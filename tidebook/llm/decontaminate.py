@@ -10,11 +10,14 @@ k edits leave at least m + 1 - q - k*q of an item's q-grams
 intact, all within 2k + 1 neighbouring diagonals.  So shared q-grams are counted in overlapping bands of
 diagonals, bands under that bound are dropped, and the rest are verified by banded alignment.
 
-The benchmark is a stated query set: it goes to the tasks in blocks of bounded size, each against all documents in
-one narrow pass; a benchmark of any size only means more blocks.
+The benchmark is a stated query set: it goes to the tasks in blocks of bounded size, all against every document in one
+narrow pass.  With more than one block a task holds HELD_BYTES of documents and looks them up in one block's index after the other, so
+an index is built once for so many documents.  Every executor gets all blocks: a benchmark of some gigabytes at most.
 
 Null or empty documents leak nothing; null or empty items are in nothing.  Items under ``SHORT`` characters
-(where the bound isn't positive) would match by chance, so they leak only into documents that equal them.  Repeated items count once each.
+(where the bound isn't positive) would match by chance, so they leak only into documents that equal them.  Repeated items count once each, an
+item id with two texts for both.  Texts of any length are looked up whole, in windows that overlap by more than an item.  Repeated rows get equal leaks, all
+items that tie are listed, in order of their ids; other columns pass through, ``leaks`` is replaced; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tidebook.llm import common
 
@@ -31,6 +35,7 @@ Q, BUDGET, SHORT = 6, 0.12, 18
 PASSAGE_Q, PASSAGE, STEP, PASSAGE_EDITS = 10, 60, 15, 3
 #: Characters of the benchmark that go to the tasks at once, and of the documents that are looked up at once.
 BLOCK_CHARS, CHUNK_CHARS = 8 << 20, 1 << 19
+HELD_BYTES = 64 << 20
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 FILTER_BITS = 24
 #: Shared q-grams that are held at once, where more than one document is looked up.
@@ -242,20 +247,39 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_col
     """``docs`` with a last column ``leaks``, array of (item, edits); a column of that name is replaced."""
     out = docs.drop("leaks")
     place = out.columns.index(text)
-    kind = T.ArrayType(T.StructType([T.StructField("item", T.LongType()), T.StructField("edits", T.LongType())]))
+    item = benchmark.schema[item_id].dataType
+    kind = T.ArrayType(T.StructType([T.StructField("item", item), T.StructField("edits", T.LongType())]))
     context = docs.sparkSession.sparkContext
     shared = [context.broadcast(b) for b in blocks(benchmark, item_id, item_text)]
-    arrow = pa.list_(pa.struct([("item", pa.int64()), ("edits", pa.int64())]))
+    arrow = pa.list_(pa.struct([("item", to_arrow_type(item)), ("edits", pa.int64())]))
 
     def run(batches):
-        indexes = [Items(s.value) for s in shared] if len(shared) == 1 else None
+        if len(shared) == 1:
+            index = Items(shared[0].value)
+            for batch in common.small(batches):
+                yield with_leaks(batch, search(batch.column(place).to_pylist(), index))
+            return
+        held, size = [], 0
         for batch in common.small(batches):
-            texts = batch.column(place).to_pylist()
-            found: list[list] = [[] for _ in texts]
-            for index in indexes or (Items(s.value) for s in shared):
-                for row, leaks in enumerate(search(texts, index)):
-                    found[row] += leaks
-            column = pa.array([[{"item": i, "edits": e} for i, e in sorted(f)] for f in found], arrow)
-            yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, "leaks"])
+            held.append(batch)
+            size += batch.column(place).nbytes
+            if size >= HELD_BYTES:
+                yield from of_all(held)
+                held, size = [], 0
+        yield from of_all(held)
+
+    def of_all(held):
+        found: list[list[list]] = [[[] for _ in range(b.num_rows)] for b in held]
+        for block in shared if held else ():
+            index = Items(block.value)
+            for batch, rows in zip(held, found, strict=True):
+                for row, leaks in zip(rows, search(batch.column(place).to_pylist(), index), strict=True):
+                    row += leaks
+        for batch, rows in zip(held, found, strict=True):
+            yield with_leaks(batch, rows)
+
+    def with_leaks(batch, found):
+        column = pa.array([[{"item": i, "edits": e} for i, e in sorted(f)] for f in found], arrow)
+        return pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, "leaks"])
 
     return out.mapInArrow(run, T.StructType([*out.schema.fields, T.StructField("leaks", kind)]))
