@@ -57,5 +57,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = common.cut_lineage(stage(spark, docs, sf_dir))
+        with common.scratch(spark):
+            kept = common.cut_lineage(stage(spark, docs, sf_dir))
+        common.remove(docs)  # the stage before, once this one is written
+        docs = kept
     return docs

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import tempfile
 import uuid
@@ -42,11 +43,27 @@ def release(spark: SparkSession) -> None:
 
 def remove(df: DataFrame) -> None:
     """Deletes a table that ``cut_lineage`` wrote, once nothing reads it any more."""
-    jvm = df.sparkSession._jvm
-    for place in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/tidebook-" in place:
-            path = jvm.org.apache.hadoop.fs.Path(place)
-            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    remove_paths(df.sparkSession, {f.rsplit("/", 1)[0] for f in df.inputFiles()})
+
+
+def remove_paths(spark: SparkSession, places) -> None:
+    for place in places:
+        if "/tidebook-" in place:  # never an input
+            path = spark._jvm.org.apache.hadoop.fs.Path(place)
+            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+_WRITTEN: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables that are cut inside are deleted at the end, but the last one: the result, written in full by then."""
+    _WRITTEN.append([])
+    try:
+        yield
+    finally:
+        remove_paths(spark, _WRITTEN.pop()[:-1])
 
 
 def cut_lineage(df: DataFrame, compression: str = "zstd", **options) -> DataFrame:
@@ -56,6 +73,8 @@ def cut_lineage(df: DataFrame, compression: str = "zstd", **options) -> DataFram
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidebook-{uuid.uuid4().hex}"
+    if _WRITTEN:
+        _WRITTEN[-1].append(path)
     df.write.option("compression", compression).options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
