@@ -17,6 +17,7 @@ results, an empty table gives an empty one.
 from __future__ import annotations
 
 import json
+import os
 import unicodedata
 from collections.abc import Iterator
 
@@ -57,6 +58,7 @@ class PrefixBPE:
         self.text_of = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.specials.items()}
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(split["pattern"]["Regex"])
+        self.mark = os.path.commonprefix(list(self.specials))  # what all special tokens begin with
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, self.specials)) + ")") if self.specials else None
         self.bytes_to_text = byte_alphabet()
         self.text_to_byte = {c: b for b, c in self.bytes_to_text.items()}
@@ -165,7 +167,7 @@ class PrefixBPE:
 
     def pieces(self, text: str) -> Iterator[tuple[bool, str]]:
         """(is a special token, text) in order."""
-        if self.special_split is None or not any(s in text for s in self.specials):
+        if self.special_split is None or self.mark not in text or not any(s in text for s in self.specials):
             yield from ((False, p) for p in self.pretokens(text))
             return
         for part in self.special_split.split(text):
@@ -200,7 +202,7 @@ class WordMemo(dict):
         return entry
 
     def text(self, text: str) -> tuple[str, str, int]:
-        if any(s in text for s in self.bpe.specials):
+        if self.bpe.mark in text and any(s in text for s in self.bpe.specials):
             entries = [(str(self.bpe.specials[p]), p, 1) if special else self[p] for special, p in self.bpe.pieces(text)]
         else:
             entries = [self[p] for p in self.bpe.pretokens(text)]
@@ -232,7 +234,5 @@ def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text", id_co
                 [batch.column(0), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())],
                 ["id", "ids", "decoded", "n_tokens"],
             )
-        words.clear()  # the vocabulary stays, the words of this task don't
-        words.bpe._pairs.clear()
 
     return docs.select(docs[id_column].alias("id"), docs[text]).mapInArrow(run, f"id {kind}, ids string, decoded string, n_tokens long").withColumnRenamed("id", id_column)
