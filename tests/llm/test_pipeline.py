@@ -1,12 +1,14 @@
 from __future__ import annotations
 
+import os
 import random
 
 import corpus_pipeline
+import duckdb
 import pytest
 from tokenizers import Tokenizer
 
-from tidebook.llm import decontaminate, near_dedup, queries, secret_scan
+from tidebook.llm import common, decontaminate, near_dedup, queries, secret_scan
 
 
 @pytest.fixture
@@ -64,3 +66,32 @@ def test_stages_keep_the_columns(spark, folder):
 def test_empty_documents(spark, make):
     d = make(documents=[], labels=[(1, 0, 0), (2, 1, 0)], benchmark=[(1, "x" * 80)])
     assert corpus_pipeline.run(spark, d).count() == 0
+
+
+def test_oracle_sql_of_operators(spark):
+    """The operators that SQL can express, on the smallest tables."""
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("needs the test tables")
+    duck = duckdb.connect()
+    duck.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    for name, sql in queries.oracle_sql().items():
+        df = queries.queries()[name](spark, sf)
+        columns = sorted(df.columns)
+        found = duck.execute(sql)
+        names = [d[0] for d in found.description]
+        assert sorted(names) == columns
+        assert sorted(map(tuple, df.select(columns).collect())) == sorted(tuple(r[names.index(c)] for c in columns) for r in found.fetchall()), name
+
+
+def test_scratch_tables_go_and_the_result_stays(spark, tmp_path):
+    with common.scratch(spark):
+        one = common.cut_lineage(spark.range(10))
+        gone = one.inputFiles()[0].removeprefix("file://")
+        two = common.cut_lineage(one.where("id > 4"))
+    assert two.count() == 5 and not os.path.exists(gone)
+    common.remove(two)
+    outside = tmp_path / "kept.parquet"
+    spark.range(3).write.parquet(str(outside))
+    common.remove(spark.read.parquet(str(outside)))  # an input is never deleted
+    assert spark.read.parquet(str(outside)).count() == 3
