@@ -34,9 +34,33 @@ def island_ids(rows: DataFrame, breaks: Column, keys: list[str], order: str, buc
     return local.join(before, [*keys, "_bucket"]).withColumn(name, F.col("_own") + F.col("_before")).drop("_break", "_bucket", "_own", "_before")
 
 
-def jump_breaks(mid: Column, window: WindowSpec, jump_bp: float = 100.0) -> Column:
-    """True where the log mid moves by more than ``jump_bp`` from the row before."""
-    return F.coalesce(F.abs(S.log_floor(mid) - F.lag(S.log_floor(mid)).over(window)) * 1e4 > jump_bp, F.lit(False))
+#: Positions of a bucket: rows of a key that are one task's.
+BUCKET = 65_536
+
+
+def seq_bucket(order: str = "seq") -> Column:
+    """A bucket that grows with the order, whatever the events' own times do."""
+    return F.floor(F.col(order) / F.lit(BUCKET))
+
+
+def with_previous(rows: DataFrame, columns: dict[str, Column], keys: list[str], order: str = "seq") -> DataFrame:
+    """Adds under each name the value of the row before, in order, of the same keys.
+
+    A lag inside (keys, bucket of positions); a bucket's first row takes the last row of the bucket before, of which there is one
+    row each, so one key's history is spread over many tasks.
+    """
+    placed = rows.withColumn("_bucket", seq_bucket(order)).withColumn("_own", F.struct(*(c.alias(n) for n, c in columns.items())))
+    last = placed.groupBy(*keys, "_bucket").agg(F.max_by("_own", order).alias("_last"))
+    carried = last.withColumn("_carried", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_bucket"))).drop("_last")
+    inside = F.lag("_own").over(Window.partitionBy(*keys, "_bucket").orderBy(order))
+    joined = placed.withColumn("_before", inside).join(carried, [*keys, "_bucket"]).withColumn("_before", F.coalesce("_before", "_carried"))
+    return joined.withColumns({n: F.col("_before")[n] for n in columns}).drop("_bucket", "_own", "_carried", "_before")
+
+
+def with_jumps(rows: DataFrame, mid: Column, keys: list[str], jump_bp: float = 100.0, name: str = "_jump") -> DataFrame:
+    """Adds ``name``: whether the log mid moves by more than ``jump_bp`` from the row before."""
+    moved = with_previous(rows, {"_log_before": S.log_floor(mid)}, keys)
+    return moved.withColumn(name, F.coalesce(F.abs(S.log_floor(mid) - F.col("_log_before")) * 1e4 > jump_bp, F.lit(False))).drop("_log_before")
 
 
 def positions(frames: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidebook.operators import frames
+
 
 def sessions(events: DataFrame, connects: DataFrame) -> DataFrame:
     """Adds ``session_id``: connect snapshots (symbol, recv_ns) received up to each event.
@@ -24,8 +26,7 @@ def sequence_gaps(events: DataFrame, keys: list[str], order: str = "seq") -> Dat
 
     The comparison always moves on with the latest row, unlike the replay, which stays at the last applied one.
     """
-    before = F.lag("final_id").over(Window.partitionBy(*keys).orderBy(order))
-    rows = events.withColumn("expected_prev", before).where(F.col("expected_prev").isNotNull() & (F.col("prev_id") != F.col("expected_prev")))
+    rows = frames.with_previous(events, {"expected_prev": F.col("final_id")}, keys, order).where(F.col("expected_prev").isNotNull() & (F.col("prev_id") != F.col("expected_prev")))
     delta = F.col("prev_id") - F.col("expected_prev")
     return rows.withColumn("delta", delta).withColumn("kind", F.when(delta > 0, "missing").otherwise("duplicate_or_reorder"))
 
@@ -33,12 +34,14 @@ def sequence_gaps(events: DataFrame, keys: list[str], order: str = "seq") -> Dat
 def gap_report(gaps: DataFrame, depth_count: DataFrame, keys: list[str]) -> DataFrame:
     """Gaps by key: count, kinds, ids lost, upper median and largest delta, loss rate against events (``n_depth``)."""
     size = F.abs("delta")
-    ranked = gaps.withColumn("size", size).withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("size"))).withColumn("n", F.count("*").over(Window.partitionBy(*keys)))
+    # counted by size first, so the window goes over distinct sizes
+    counted = gaps.groupBy(*keys, size.alias("size")).agg(F.count("*").alias("c"), F.count_if(F.col("kind") == "missing").alias("m"))
+    ranked = counted.withColumn("upto", F.sum("c").over(Window.partitionBy(*keys).orderBy("size"))).withColumn("n", F.sum("c").over(Window.partitionBy(*keys)))
     report = ranked.groupBy(*keys).agg(
-        F.count("*").alias("gaps"),
-        F.count_if(F.col("kind") == "missing").alias("missing"),
-        F.sum("size").alias("ids_lost"),
-        F.max(F.when(F.col("rank") == F.floor(F.col("n") / 2) + 1, F.col("size"))).alias("median_delta"),
+        F.sum("c").alias("gaps"),
+        F.sum("m").alias("missing"),
+        F.sum(F.col("size") * F.col("c")).alias("ids_lost"),
+        F.min(F.when(F.col("upto") > F.floor(F.col("n") / 2), F.col("size"))).alias("median_delta"),
         F.max("size").alias("max_delta"),
     )
     joined = depth_count.join(report, keys, "left").na.fill(0, ["gaps", "missing", "ids_lost"])

@@ -23,9 +23,11 @@ def on_spine(rows: DataFrame, columns: list[str], hour: str = "hour") -> DataFra
 
 def by_rank(rows: DataFrame, keys: list[str], x: str, shares: dict[str, float]) -> DataFrame:
     """Nearest-rank percentiles: the value at index int(n * share) of the sorted values."""
+    # counted by value first: a map-side aggregate, and the window goes over distinct values
     w = Window.partitionBy(*keys)
-    placed = rows.where(F.col(x).isNotNull()).withColumn("_at", F.row_number().over(w.orderBy(x)) - 1).withColumn("_n", F.count("*").over(w))
-    return placed.groupBy(*keys).agg(*(F.max(F.when(F.col("_at") == F.floor(F.col("_n") * F.lit(s)), F.col(x))).alias(name) for name, s in shares.items()))
+    counted = rows.where(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count("*").alias("_c"))
+    placed = counted.withColumn("_upto", F.sum("_c").over(w.orderBy(x))).withColumn("_n", F.sum("_c").over(w))
+    return placed.groupBy(*keys).agg(*(F.min(F.when(F.col("_upto") > F.floor(F.col("_n") * F.lit(s)), F.col(x))).alias(name) for name, s in shares.items()))
 
 
 def tail(rows: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:

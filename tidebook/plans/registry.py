@@ -41,9 +41,9 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ticks with ``segment_id``; the break count is summed by day first, so no symbol is one task."""
+    """Ticks with ``segment_id``; the break count is summed by bucket of positions first, so no symbol is one task."""
     rows = ticks(spark, sf_dir)
-    return W.island_ids(rows, F.col("k") == 0, ["symbol"], "seq", bucket=F.floor(F.col("event_ms") / 86_400_000))
+    return W.island_ids(rows, F.col("k") == 0, ["symbol"], "seq", bucket=W.seq_bucket())
 
 
 #: The same tables for the oracle; queries go on with a comma or a SELECT.

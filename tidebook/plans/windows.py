@@ -99,9 +99,8 @@ def realised_volatility(spark, d):
 SELECT symbol, seq, inst, ROUND(COALESCE((LN(mid) - LAG(LN(mid), 5) OVER w) * 1e4, 0.0), 6) AS r5, ROUND(COALESCE((LN(mid) - LAG(LN(mid), 20) OVER w) * 1e4, 0.0), 6) AS r20 FROM j WINDOW w AS (PARTITION BY symbol, inst ORDER BY seq)""")
 def instrument_returns(spark, d):
     """Returns that never span a jump of the mid, where another instrument begins."""
-    rows = ticks(spark, d)
-    jump = W.jump_breaks(F.col("mid"), Window.partitionBy("symbol").orderBy("seq"), 30_000)
-    rows = W.island_ids(rows.withColumn("b", jump), F.col("b"), ["symbol"], "seq", bucket=F.floor(F.col("event_ms") / 86_400_000))
+    rows = W.with_jumps(ticks(spark, d), F.col("mid"), ["symbol"], 30_000, "b")
+    rows = W.island_ids(rows, F.col("b"), ["symbol"], "seq", bucket=W.seq_bucket())
     return rows.select("symbol", "seq", F.col("segment_id").alias("inst"), *(R6(W.lagged_return_bp(F.col("mid"), n, 1e-12)).alias(f"r{n}") for n in (5, 20)))
 
 
@@ -109,8 +108,8 @@ def instrument_returns(spark, d):
 s AS (SELECT symbol, seq, SUM(b) OVER (PARTITION BY symbol ORDER BY seq) AS segment_id FROM b)
 SELECT symbol, CAST(segment_id AS BIGINT) AS segment_id, MIN(seq) AS start, MAX(seq) AS stop, COUNT(*) AS n FROM s GROUP BY ALL""")
 def segment_breaks(spark, d):
-    rows = ticks(spark, d).withColumn("b", W.jump_breaks(F.col("mid"), Window.partitionBy("symbol").orderBy("seq"), 20_000))
-    rows = W.island_ids(rows, F.col("b"), ["symbol"], "seq", bucket=F.floor(F.col("event_ms") / 86_400_000))
+    rows = W.with_jumps(ticks(spark, d), F.col("mid"), ["symbol"], 20_000, "b")
+    rows = W.island_ids(rows, F.col("b"), ["symbol"], "seq", bucket=W.seq_bucket())
     return rows.groupBy("symbol", "segment_id").agg(F.min("seq").alias("start"), F.max("seq").alias("stop"), F.count("*").alias("n"))
 
 
@@ -181,5 +180,5 @@ def throughput(spark, d):
 
 @query("w17_previous_row", TICKS + " SELECT symbol, seq, seq - LAG(seq) OVER (PARTITION BY symbol ORDER BY seq) AS step, event_ms - LAG(event_ms) OVER (PARTITION BY symbol ORDER BY seq) AS wait_ms FROM ev")
 def previous_row(spark, d):
-    w = Window.partitionBy("symbol").orderBy("seq")
-    return ticks(spark, d).select("symbol", "seq", (F.col("seq") - F.lag("seq").over(w)).alias("step"), (F.col("event_ms") - F.lag("event_ms").over(w)).alias("wait_ms"))
+    rows = W.with_previous(ticks(spark, d), {"seq_before": F.col("seq"), "ms_before": F.col("event_ms")}, ["symbol"])
+    return rows.select("symbol", "seq", (F.col("seq") - F.col("seq_before")).alias("step"), (F.col("event_ms") - F.col("ms_before")).alias("wait_ms"))

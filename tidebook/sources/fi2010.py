@@ -53,9 +53,9 @@ def joined(parts: list[DataFrame]) -> DataFrame:
 def segments(events: DataFrame, jump_bp: float = 100.0) -> DataFrame:
     """Adds mid, symbol and ``segment_id``: a new instrument where the mid jumps, and at every file's start."""
     rows = events.withColumn("mid", (F.col("x0") + F.col("x2")) / 2).withColumn("symbol", F.lit("fi")).withColumn("seq", F.col("frame_id"))
-    whole = Window.partitionBy("symbol").orderBy("seq")
-    new_file = F.coalesce(F.lag("file").over(whole) != F.col("file"), F.lit(False))
-    return W.island_ids(rows.withColumn("_jump", W.jump_breaks(F.col("mid"), whole, jump_bp) | new_file), F.col("_jump"), ["symbol"], "seq", bucket=F.floor(F.col("seq") / 65_536)).drop("_jump")
+    rows = W.with_jumps(W.with_previous(rows, {"_file_before": F.col("file")}, ["symbol"]), F.col("mid"), ["symbol"], jump_bp)
+    edge = F.col("_jump") | F.coalesce(F.col("_file_before") != F.col("file"), F.lit(False))
+    return W.island_ids(rows, edge, ["symbol"], "seq", bucket=W.seq_bucket()).drop("_jump", "_file_before")
 
 
 def returns(rows: DataFrame) -> DataFrame:
