@@ -206,7 +206,10 @@ class WordMemo(dict):
             entries = [(str(self.bpe.specials[p]), p, 1) if special else self[p] for special, p in self.bpe.pieces(text)]
         else:
             entries = [self[p] for p in self.bpe.pretokens(text)]
-        return " ".join([e[0] for e in entries]), " ".join([e[1] for e in entries]), sum([e[2] for e in entries])
+        if not entries:
+            return "", "", 0
+        ids, texts, n = zip(*entries, strict=True)
+        return " ".join(ids), " ".join(texts), sum(n)
 
 
 _LOADED: dict[str, WordMemo] = {}
