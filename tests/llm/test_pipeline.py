@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import os
 import random
+import shutil
+from concurrent.futures import ThreadPoolExecutor
 
 import corpus_pipeline
 import duckdb
@@ -95,3 +97,32 @@ def test_scratch_tables_go_and_the_result_stays(spark, tmp_path):
     spark.range(3).write.parquet(str(outside))
     common.remove(spark.read.parquet(str(outside)))  # an input is never deleted
     assert spark.read.parquet(str(outside)).count() == 3
+
+
+def test_the_input_stays_whatever_its_folder_is_called(spark, folder, tmp_path):
+    d, _, _ = folder
+    inside = tmp_path / "tidebook-data" / "tidebook-x"
+    shutil.copytree(d, inside, ignore=shutil.ignore_patterns("tidebook-*"))
+    files = {f: f.stat().st_size for f in inside.rglob("*.parquet") if f.is_file()}
+    assert corpus_pipeline.run(spark, str(inside)).count() > 0
+    assert {f: f.stat().st_size for f in inside.rglob("*.parquet") if f.is_file()} == files
+    mine = common.cut_lineage(spark.range(3))
+    common.remove(spark.read.parquet(f"{inside}/documents.parquet"))
+    common.remove(mine)
+    assert files.keys() == {f for f in inside.rglob("*.parquet") if f.is_file()}
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|No such file"):
+        mine.count()
+
+
+def test_tables_of_another_thread_stay(spark):
+    def own():
+        with common.scratch(spark):
+            return common.cut_lineage(spark.range(4))
+
+    with common.scratch(spark):
+        first = common.cut_lineage(spark.range(7))
+        with ThreadPoolExecutor(1) as pool:
+            other = pool.submit(own).result()
+        assert first.count() == 7
+        common.cut_lineage(spark.range(1))
+    assert other.count() == 4

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import gc
 import tempfile
 import uuid
@@ -41,41 +42,50 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Names of the folders that ``cut_lineage`` wrote in this process; nothing else is ever deleted.
+_OWN: set[str] = set()
+_WRITTEN: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("written", default=None)
+
+
 def remove(df: DataFrame) -> None:
-    """Deletes a table that ``cut_lineage`` wrote, once nothing reads it any more."""
+    """Deletes a table that ``cut_lineage`` wrote, once nothing reads it any more; other tables stay."""
     remove_paths(df.sparkSession, {f.rsplit("/", 1)[0] for f in df.inputFiles()})
 
 
 def remove_paths(spark: SparkSession, places) -> None:
     for place in places:
-        if "/tidebook-" in place:  # never an input
+        name = place.rsplit("/", 1)[-1]
+        if name in _OWN:
             path = spark._jvm.org.apache.hadoop.fs.Path(place)
             path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-
-
-_WRITTEN: list[list[str]] = []
+            _OWN.discard(name)
 
 
 @contextlib.contextmanager
 def scratch(spark: SparkSession):
     """Tables that are cut inside are deleted at the end, but the last one: the result, written in full by then."""
-    _WRITTEN.append([])
+    written: list[str] = []
+    token = _WRITTEN.set(written)
     try:
         yield
     finally:
-        remove_paths(spark, _WRITTEN.pop()[:-1])
+        _WRITTEN.reset(token)
+        remove_paths(spark, written[:-1])
 
 
-def cut_lineage(df: DataFrame, compression: str = "zstd", **options) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again.
+def cut_lineage(df: DataFrame, compression: str = "zstd", by: str | None = None, **options) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder, by the values of column ``by`` if it is given, and read it again.
 
     A lost executor then costs a re-read, not the whole lineage, and an iterative plan stays small.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidebook-{uuid.uuid4().hex}"
-    if _WRITTEN:
-        _WRITTEN[-1].append(path)
-    df.write.option("compression", compression).options(**options).parquet(path)
+    name = f"tidebook-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    _OWN.add(name)
+    if (written := _WRITTEN.get()) is not None:
+        written.append(path)
+    out = df.write.option("compression", compression).options(**options)
+    (out.partitionBy(by) if by else out).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
