@@ -55,10 +55,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    docs, before = common.table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
         with common.scratch(spark):
             kept = common.cut_lineage(stage(spark, docs, sf_dir))
-        common.remove(docs)  # the stage before, once this one is written
-        docs = kept
+        if before is not None:
+            common.remove(before)  # the stage before, once this one is written; never the input
+        docs = before = kept
     return docs
