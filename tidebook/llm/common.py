@@ -56,9 +56,9 @@ def remove_paths(spark: SparkSession, places) -> None:
     for place in places:
         name = place.rsplit("/", 1)[-1]
         if name in _OWN:
+            _OWN.discard(name)
             path = spark._jvm.org.apache.hadoop.fs.Path(place)
             path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-            _OWN.discard(name)
 
 
 @contextlib.contextmanager
@@ -73,8 +73,8 @@ def scratch(spark: SparkSession):
         remove_paths(spark, written[:-1])
 
 
-def cut_lineage(df: DataFrame, compression: str = "zstd", by: str | None = None, **options) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder, by the values of column ``by`` if it is given, and read it again.
+def cut_lineage(df: DataFrame, compression: str = "zstd", **options) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it again.
 
     A lost executor then costs a re-read, not the whole lineage, and an iterative plan stays small.
     """
@@ -84,8 +84,7 @@ def cut_lineage(df: DataFrame, compression: str = "zstd", by: str | None = None,
     _OWN.add(name)
     if (written := _WRITTEN.get()) is not None:
         written.append(path)
-    out = df.write.option("compression", compression).options(**options)
-    (out.partitionBy(by) if by else out).parquet(path)
+    df.write.option("compression", compression).options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

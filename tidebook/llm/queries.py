@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm import ann, bpe, common, decontaminate, html_extract, language_model, near_dedup, quality, secret_scan, suffix_dedup, toxicity
+from tidebook.llm import ann, bpe, common, decontaminate, html_extract, language_model, near_dedup, quality, secret_scan, suffix_dedup, toxicity, vector_codes
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -69,8 +70,16 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (F.size("leaks") > 0).alias("contaminated"), F.transform("leaks", lambda x: x["item"]).alias("item_ids"), F.array_min(F.transform("leaks", lambda x: x["edits"])).alias("least_edits"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.encode(common.table(spark, sf_dir, "embeddings"), label="label")
+    rows = vector_codes.totals_by_label(common.cut_lineage(coded), "error")
+    code = F.concat(*(F.lower(F.lpad(F.hex(F.col("codes")[i]), 2, "0")) for i in range(vector_codes.PARTS)))
+    digest = books.digest() if books else hashlib.sha256(b"").hexdigest()
+    return rows.select(F.col("id").alias("vec_id"), code.alias("code"), "error", F.col("total").alias("label_error"), F.lit(digest).alias("codebooks_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_quality": op2_quality, "op3_toxicity": op3_toxicity, "op4_neighbours": op4_neighbours, "op5_secret_scan": op5_secret_scan, "op6_html_extract": op6_html_extract, "op7_language_model": op7_language_model, "op8_bpe_roundtrip": op8_bpe_roundtrip, "op9_near_dedup": op9_near_dedup, "op10_decontaminate": op10_decontaminate}
+    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_quality": op2_quality, "op3_toxicity": op3_toxicity, "op4_neighbours": op4_neighbours, "op5_secret_scan": op5_secret_scan, "op6_html_extract": op6_html_extract, "op7_language_model": op7_language_model, "op8_bpe_roundtrip": op8_bpe_roundtrip, "op9_near_dedup": op9_near_dedup, "op10_decontaminate": op10_decontaminate, "op11_vector_codes": op11_vector_codes}
 
 
 #: All 50-byte windows as hexadecimal digits; spans join where a window begins at most 50 bytes after the one before.
@@ -95,6 +104,25 @@ SELECT d.doc_id, COALESCE(n.n, 0) AS n_shingles, LEAST(d.doc_id, COALESCE(c.m, d
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.doc = d.doc_id"""
 
 
+
+def codes_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """Lloyd rounds written out one after the other, every round over all parts."""
+    steps = ["""k AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+ WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"p AS MATERIALIZED (SELECT vec_id, i AS part, v[i * (len(v) // {parts}) + 1 : (i + 1) * (len(v) // {parts})] AS v FROM k, range({parts}) t(i))",
+        f"c0 AS MATERIALIZED (SELECT part, ROW_NUMBER() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS e, v FROM p WHERE vec_id IN (SELECT vec_id FROM k ORDER BY vec_id LIMIT {entries}))"]
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS MATERIALIZED (SELECT vec_id, part, MIN((d, e)) AS b FROM (SELECT p.vec_id, p.part, c.e, list_sum(list_transform(list_zip(p.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM p JOIN c{r} c USING (part)) GROUP BY ALL)")
+        if r < rounds:
+            moved = f"(SELECT part, e, list(q ORDER BY j) AS v FROM (SELECT part, b[2] AS e, j, CAST(floor_div(SUM(x), COUNT(*)) AS BIGINT) AS q FROM (SELECT a.part, a.b, unnest(p.v) AS x, generate_subscripts(p.v, 1) AS j FROM a{r} a JOIN p USING (vec_id, part)) GROUP BY ALL) GROUP BY ALL)"
+            moved = moved.replace("floor_div(SUM(x), COUNT(*))", "(SUM(x) - ((SUM(x) % COUNT(*)) + COUNT(*)) % COUNT(*)) // COUNT(*)")
+            steps.append(f"c{r + 1} AS MATERIALIZED (SELECT c.part, c.e, COALESCE(m.v, c.v) AS v FROM c{r} c LEFT JOIN {moved} m USING (part, e))")
+    return "WITH " + ",\n".join(steps) + f""",
+s AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, e)) AS codebooks_sha256 FROM c{rounds}),
+f AS (SELECT vec_id, string_agg(printf('%02x', b[2]), '' ORDER BY part) AS code, CAST(SUM(b[1]) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id)
+SELECT f.vec_id, code, error, CAST(SUM(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM f JOIN k USING (vec_id), s"""
+
+
 def oracle_sql() -> dict[str, str]:
     """What SQL can express; the others need a trained model, a tokenizer, an edit distance or an index, and tests/llm holds brute-force versions."""
-    return {"op1_suffix_dedup": SUFFIX_SQL, "op9_near_dedup": NEAR_SQL}
+    return {"op1_suffix_dedup": SUFFIX_SQL, "op9_near_dedup": NEAR_SQL, "op11_vector_codes": codes_sql()}
