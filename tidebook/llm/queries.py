@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm import ann, bpe, common, decontaminate, html_extract, language_model, near_dedup, quality, secret_scan, suffix_dedup, toxicity, vector_codes
+from tidebook.llm import ann, bpe, common, decontaminate, html_extract, language_model, licence_scan, near_dedup, quality, secret_scan, suffix_dedup, toxicity, vector_codes
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -78,8 +78,15 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("vec_id"), code.alias("code"), "error", F.col("total").alias("label_error"), F.lit(digest).alias("codebooks_sha256"))
 
 
+def op12_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licence_scan.find_licences(common.table(spark, sf_dir, "documents"))
+    starts = F.transform("base", lambda b: b["start"])
+    base = F.array_join(F.array_sort(F.array_distinct(F.transform("base", lambda b: b["label"]))), ",")
+    return found.select("doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"), base.alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_quality": op2_quality, "op3_toxicity": op3_toxicity, "op4_neighbours": op4_neighbours, "op5_secret_scan": op5_secret_scan, "op6_html_extract": op6_html_extract, "op7_language_model": op7_language_model, "op8_bpe_roundtrip": op8_bpe_roundtrip, "op9_near_dedup": op9_near_dedup, "op10_decontaminate": op10_decontaminate, "op11_vector_codes": op11_vector_codes}
+    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_quality": op2_quality, "op3_toxicity": op3_toxicity, "op4_neighbours": op4_neighbours, "op5_secret_scan": op5_secret_scan, "op6_html_extract": op6_html_extract, "op7_language_model": op7_language_model, "op8_bpe_roundtrip": op8_bpe_roundtrip, "op9_near_dedup": op9_near_dedup, "op10_decontaminate": op10_decontaminate, "op11_vector_codes": op11_vector_codes, "op12_licence_scan": op12_licence_scan}
 
 
 #: All 50-byte windows as hexadecimal digits; spans join where a window begins at most 50 bytes after the one before.
