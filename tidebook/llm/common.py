@@ -92,6 +92,20 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def lookup(rows: DataFrame, answers: DataFrame, keys: list[str], share: int = 1_000) -> DataFrame:
+    """Every row of ``rows`` with the other columns of the one row of ``answers`` that has its keys (an inner join).
+
+    Keys that hold one row in ``share`` or more number ``share`` at most: their answers are broadcast, so their rows never meet.  All others
+    go through an exchange, where none is hot.  ``rows`` is read three times, so it should be a written table.
+    """
+    n = rows.count()
+    hot = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") * share >= n).drop("_n")
+    known = answers.join(F.broadcast(hot), keys, "left_semi").withColumn("_hot", F.lit(True))
+    met = rows.join(F.broadcast(known), keys, "left")
+    rest = met.where("_hot is null").select(*rows.columns).join(answers, keys)
+    return met.where("_hot").drop("_hot").unionByName(rest)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, per_class: int, held_modulus: int = 3, held_remainder: int = 1) -> DataFrame:
     """doc_id, text, y of a bounded training sample: ``per_class`` rows of each class at most.
 

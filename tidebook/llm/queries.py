@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm import ann, bpe, common, decontaminate, html_extract, language_model, licence_scan, near_dedup, quality, secret_scan, suffix_dedup, toxicity, vector_codes
+from tidebook.llm import ann, bpe, collocations, common, decontaminate, html_extract, language_model, licence_scan, near_dedup, quality, secret_scan, suffix_dedup, toxicity, vector_codes
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -85,8 +85,12 @@ def op12_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"), base.alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score")
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(common.table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_quality": op2_quality, "op3_toxicity": op3_toxicity, "op4_neighbours": op4_neighbours, "op5_secret_scan": op5_secret_scan, "op6_html_extract": op6_html_extract, "op7_language_model": op7_language_model, "op8_bpe_roundtrip": op8_bpe_roundtrip, "op9_near_dedup": op9_near_dedup, "op10_decontaminate": op10_decontaminate, "op11_vector_codes": op11_vector_codes, "op12_licence_scan": op12_licence_scan}
+    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_quality": op2_quality, "op3_toxicity": op3_toxicity, "op4_neighbours": op4_neighbours, "op5_secret_scan": op5_secret_scan, "op6_html_extract": op6_html_extract, "op7_language_model": op7_language_model, "op8_bpe_roundtrip": op8_bpe_roundtrip, "op9_near_dedup": op9_near_dedup, "op10_decontaminate": op10_decontaminate, "op11_vector_codes": op11_vector_codes, "op12_licence_scan": op12_licence_scan, "op13_collocations": op13_collocations}
 
 
 #: All 50-byte windows as hexadecimal digits; spans join where a window begins at most 50 bytes after the one before.
@@ -130,6 +134,21 @@ f AS (SELECT vec_id, string_agg(printf('%02x', b[2]), '' ORDER BY part) AS code,
 SELECT f.vec_id, code, error, CAST(SUM(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM f JOIN k USING (vec_id), s"""
 
 
+#: All phrases by position, scores in whole numbers of 128 bits.
+PHRASES_SQL = """WITH pc AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pc),
+g AS (SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w), range(1, 4) t(k) WHERE i + k - 1 <= len(w)),
+f AS MATERIALIZED (SELECT lang, k, phrase, COUNT(*) AS f FROM g GROUP BY ALL HAVING COUNT(*) >= 10),
+n AS (SELECT lang, SUM(len(w)) AS n FROM w GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS cut FROM f WHERE k > 1),
+s AS (SELECT c.lang, c.k, c.phrase, c.a, x.f AS l, y.f AS r, cut, (1000000::HUGEINT * c.a * c.a) // (x.f::HUGEINT * y.f) AS score FROM c
+ JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(w[:cut], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(w[cut + 1:], ' ')),
+b AS (SELECT lang, k, phrase, a, arg_min(l, (score, cut)) AS l, arg_min(r, (score, cut)) AS r, MIN(score) AS score FROM s GROUP BY ALL),
+h AS (SELECT lang, phrase, MAX(a) AS most FROM (SELECT lang, a, unnest([array_to_string(string_split(phrase, ' ')[1:2], ' '), array_to_string(string_split(phrase, ' ')[2:3], ' ')]) AS phrase FROM b WHERE k = 3) GROUP BY ALL),
+o AS (SELECT b.*, ROW_NUMBER() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank FROM b LEFT JOIN h USING (lang, phrase) WHERE most IS NULL OR 100 * most < 50 * a)
+SELECT o.lang, CAST(rank AS BIGINT) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM o JOIN n USING (lang) WHERE rank <= 2000"""
+
+
 def oracle_sql() -> dict[str, str]:
     """What SQL can express; the others need a trained model, a tokenizer, an edit distance or an index, and tests/llm holds brute-force versions."""
-    return {"op1_suffix_dedup": SUFFIX_SQL, "op9_near_dedup": NEAR_SQL, "op11_vector_codes": codes_sql()}
+    return {"op1_suffix_dedup": SUFFIX_SQL, "op9_near_dedup": NEAR_SQL, "op11_vector_codes": codes_sql(), "op13_collocations": PHRASES_SQL}

@@ -204,16 +204,8 @@ def encode(df: DataFrame, vector: str = "embedding", id_column: str = "vec_id",
     return coded.unionByName(odd(rows.where(~fits))), books
 
 
-def totals_by_label(coded: DataFrame, value: str, share: int = 1_000) -> DataFrame:
-    """Adds ``total``: ``value`` summed over the rows with an equal label, nulls together.
-
-    Labels with at least one row in ``share`` number ``share`` at most, so their totals are broadcast and their rows never
-    meet; all others go through an exchange, where none is hot.
-    """
-    rows = coded.withColumn("_key", F.when(F.col("label").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col("label").cast("string"))))
-    totals = common.cut_lineage(rows.groupBy("_key").agg(F.sum(value).alias("total"), F.count("*").alias("_n")))
-    n = totals.agg(F.sum("_n")).head()[0] or 0
-    hot = totals.where(F.col("_n") * share >= n).select("_key", "total", F.lit(True).alias("_hot"))
-    met = rows.join(F.broadcast(hot), "_key", "left")
-    rest = met.where("_hot is null").drop("total", "_hot").join(totals.where(F.col("_n") * share < n).drop("_n").hint("shuffle_merge"), "_key")
-    return met.where("_hot").drop("_hot").unionByName(rest).drop("_key")
+def totals_by_label(coded: DataFrame, value: str) -> DataFrame:
+    """Adds ``total``: ``value`` summed over the rows with an equal label, nulls together; ``coded`` should be a written table."""
+    key = F.when(F.col("label").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col("label").cast("string")))
+    rows = coded.withColumn("_key", key)
+    return common.lookup(rows, rows.groupBy("_key").agg(F.sum(value).alias("total")), ["_key"]).drop("_key")
