@@ -4,9 +4,9 @@ A book is anchored at the first snapshot that an event straddles, follows events
 applied one as its predecessor, and goes dark at the first that does not.  The breaking event is neither applied nor
 tried as an anchor.  Each stretch between breaks is a trusted segment.
 
-The plan has two passes.  ``label_events`` carries ids only and runs the two-state automaton per symbol in one
-streaming scan; ``replay`` then rebuilds segments, which are independent, so one symbol's history is spread over
-as many tasks as it has segments.  Both keep their state across Arrow batches and never hold a group.
+The plan has two passes.  ``label_events`` carries ids only and runs the two-state automaton over buckets of positions side by
+side (``operators.trust``); ``replay`` then rebuilds segments, which are independent, so one symbol's history is spread over
+many tasks in both.  ``Automaton`` is the same machine event by event, for streams.
 
 Events may be marked ``withheld``: the live book never saw them, but they were kept.  A break right after
 withheld events that close it exactly is repaired: they are applied unseen, and a new segment goes on with the same book, so
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from tidebook import schemas
 from tidebook.functions import scalars as S
+from tidebook.operators import trust as trust_index
 
 #: Levels kept on each side when it has grown to twice as many, and levels that a state shows.
 KEEP, SHOWN = 500, 10
@@ -79,34 +80,7 @@ def label_events(events: DataFrame, snapshots: DataFrame, trust: bool = True) ->
     events: symbol, seq, first_id, final_id, prev_id; snapshots: symbol, update_id, and optionally ``seq``, the position
     from which a snapshot may be used.
     """
-    known = snapshots.columns
-    available = F.col("seq").cast("long") if "seq" in known else F.lit(-(1 << 62)).cast("long")
-    marks = snapshots.select("symbol", available.alias("seq"), F.lit(0).alias("kind"), F.col("update_id").alias("first_id"), F.lit(0).cast("long").alias("final_id"), F.lit(0).cast("long").alias("prev_id"))
-    kind = F.when(F.col("withheld"), 2).otherwise(1) if "withheld" in events.columns else F.lit(1)
-    rows = events.select("symbol", "seq", kind.alias("kind"), "first_id", "final_id", "prev_id").unionByName(marks)
-    ordered = rows.repartition("symbol").sortWithinPartitions("symbol", "seq", "kind")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbol, machine = None, Automaton(trust)
-        for batch in batches:
-            out: dict[str, list] = {c: [] for c in ("symbol", "seq", "outcome", "segment_id", "chain_id", "anchor_id", "expected")}
-            for sym, seq, kind, first, final, prev in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if sym != symbol:
-                    symbol, machine = sym, Automaton(trust)
-                if kind == 0:
-                    machine.add_snapshots([first])
-                    continue
-                outcome, anchor, expected = "withheld", None, None
-                if kind == 2:
-                    machine.withhold(final, prev)
-                else:
-                    outcome, anchor, expected = machine.step(first, final, prev)
-                live = outcome != "unanchored" and machine.segment >= 0
-                for name, value in zip(out, (sym, seq, outcome, machine.segment if live else None, machine.chain if live else None, anchor, expected), strict=True):
-                    out[name].append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out["symbol"], pa.string()), pa.array(out["seq"], pa.int64()), pa.array(out["outcome"], pa.string()), *(pa.array(out[c], pa.int64()) for c in ("segment_id", "chain_id", "anchor_id", "expected"))], list(out))
-
-    return ordered.mapInArrow(run, "symbol string, seq long, outcome string, segment_id long, chain_id long, anchor_id long, expected long")
+    return trust_index.label(events, snapshots, trust)
 
 
 class Book:
