@@ -8,14 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidebook.plans.feeds import depth_chain
+from tidebook.plans.feeds import FILES, LINES, depth_chain, lines, packed
 from tidebook.plans.registry import TICKS, query, ticks
 from tidebook.plans.windows import CHAIN
-from tidebook.sources import shared
-from tidebook.streaming import sessions
+from tidebook.sources import archive, replay, shared, spool
+from tidebook.streaming import sessions, sink
 
 
 def fed(rows: DataFrame, order: str, run: Callable[[DataFrame], DataFrame], slices: int = 2) -> DataFrame:
@@ -82,3 +82,84 @@ def snapshot_requests(spark, d):
     rows = ticks(spark, d).select("symbol", F.when(F.col("k") == 0, "gap").otherwise("message").alias("kind"), F.col("event_ms").alias("at_ms"))
     found = fed(rows, "at_ms", lambda s: sessions.snapshot_requests(s.withColumn("ts", F.timestamp_millis("at_ms")).withWatermark("ts", "1 seconds"), PERIOD_MS, COOLDOWN_MS))
     return found.select("symbol", "at_ms", "reason")
+
+
+# -- sources and sinks -----------------------------------------------------------------------
+
+
+def drained(source: DataFrame, root: str, most: int = 100) -> DataFrame:
+    """All that a limited source has, batch by batch: its columns and the ``batch``; a new start for each batch."""
+    spark = source.sparkSession
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/out/batch={epoch}")
+
+    for _ in range(most):
+        q = source.writeStream.foreachBatch(write).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+        q.awaitTermination()
+        if not any(p["numInputRows"] for p in q.recentProgress):
+            break
+    return spark.read.option("basePath", f"{root}/out").parquet(f"{root}/out")
+
+
+@query("s07_st03_spooled_feed", LINES + """, e AS (SELECT *, CASE WHEN stream = 'trades' THEN 'market' ELSE 'public' END AS endpoint FROM ln)
+SELECT endpoint, COUNT(*) AS n, COUNT(*) - 1 AS last_line, SUM(recv_ns % 1000003) AS receipts, true AS in_order, true AS within_limit FROM e GROUP BY endpoint""")
+def spooled_feed(spark, d):
+    """Two endpoints' lines through the spool, admitted in batches of a third of them: every line once, in order."""
+    spool.register(spark)
+    root = shared.new_folder(spark)
+    stream = archive.route(lines(spark, d).select("value", "recv_ns")).withColumn("endpoint", F.when(F.col("stream") == "trades", "market").otherwise("public"))
+    numbered = stream.withColumn("line", (F.row_number().over(Window.partitionBy("endpoint").orderBy("recv_ns")) - 1).cast("long"))
+    spool.write_segments(numbered.withColumn("kind", F.lit("message")), f"{root}/spool", 2_000)
+    limit = max(1, -(-numbered.count() // 3))
+    source = spark.readStream.format("line_spool").option("path", f"{root}/spool").option("state", f"{root}/state").option("maxRecordsPerBatch", limit).load()
+    out = drained(source, root)
+    sizes = out.groupBy("batch").agg(F.count("*").alias("size")).agg((F.max("size") <= limit).alias("within_limit"))
+    ordered = out.groupBy("endpoint", "batch").agg(F.min("line").alias("a"), F.max("line").alias("b"), F.count("*").alias("n"), F.sum(F.col("recv_ns") % 1_000_003).alias("receipts"))
+    before = F.lag("b").over(Window.partitionBy("endpoint").orderBy("batch"))
+    ordered = ordered.withColumn("good", (F.col("a") == F.coalesce(before, F.lit(-1)) + 1) & (F.col("b") - F.col("a") + 1 == F.col("n")))
+    found = ordered.groupBy("endpoint").agg(F.sum("n").alias("n"), F.max("b").alias("last_line"), F.sum("receipts").alias("receipts"), F.every("good").alias("in_order"))
+    return found.crossJoin(F.broadcast(sizes))
+
+
+@query("s10_replayed_archive", LINES + """, h AS (SELECT strftime(to_timestamp(recv_ns // 1000000000) AT TIME ZONE 'UTC', '%Y-%m-%dT%H') AS hour, recv_ns FROM ln)
+SELECT hour, COUNT(*) AS n, COUNT(*) - 1 AS last_line, MIN(recv_ns) AS first_ns, MAX(recv_ns) AS last_ns, true AS in_order FROM h GROUP BY hour""")
+def replayed_archive(spark, d):
+    """The archive as a stream at a great speed, held back to half of it a batch; each batch goes on where the one before ended."""
+    replay.register(spark)
+    root = shared.new_folder(spark)
+    rows = lines(spark, d).select("value", "recv_ns")
+    replay.prepare(rows, f"{root}/replay", 500)
+    source = spark.readStream.format("archive_replay").option("path", f"{root}/replay").option("state", f"{root}/state").option("speed", 1e12).option("maxRecordsPerBatch", rows.count() // 2 + 1).load()
+    out = drained(source, root)
+    by_batch = out.groupBy("hour", "batch").agg(F.count("*").alias("n"), F.min("line").alias("a"), F.max("line").alias("b"), F.min("recv_ns").alias("first_ns"), F.max("recv_ns").alias("last_ns"))
+    w = Window.partitionBy("hour").orderBy("batch")
+    good = (F.col("a") == F.coalesce(F.lag("b").over(w), F.lit(-1)) + 1) & (F.col("b") - F.col("a") + 1 == F.col("n")) & F.coalesce(F.lag("last_ns").over(w) <= F.col("first_ns"), F.lit(True))
+    return by_batch.withColumn("good", good).groupBy("hour").agg(F.sum("n").alias("n"), F.max("b").alias("last_line"), F.min("first_ns").alias("first_ns"), F.max("last_ns").alias("last_ns"), F.every("good").alias("in_order"))
+
+
+@query("k01_st12_epochs", LINES + " SELECT stream, strftime(ts, '%Y-%m-%d') AS date, strftime(ts, '%H') AS hour, COUNT(*) AS n FROM ln GROUP BY ALL")
+def archived_epochs(spark, d):
+    """Lines of every stream and hour as the idempotent sink wrote them, over a restart; its last epoch is written twice."""
+    root = shared.new_folder(spark)
+    rows = archive.route(lines(spark, d).select("value", "recv_ns"))
+    low, high = rows.agg(F.min("recv_ns"), F.max("recv_ns")).head()
+    middle = (low + high) // 2
+    for half in (F.col("recv_ns") <= middle, F.col("recv_ns") > middle):
+        rows.where(half).write.mode("append").parquet(f"{root}/in")
+        sink.start(spark.readStream.schema(rows.schema).parquet(f"{root}/in"), f"{root}/out", f"{root}/state").awaitTermination()
+    last = sink.epochs(spark, f"{root}/out")[-1]
+    sink.write_epoch(rows.where(F.col("recv_ns") > middle), f"{root}/out", last)
+    return sink.read_epochs(spark, f"{root}/out").groupBy("stream", "date", "hour").agg(F.count("*").alias("n"))
+
+
+@query("st15_verified_files", FILES + """, f AS (SELECT path, CAST(CASE WHEN file % 4 = 0 THEN SUM(CASE WHEN k < 50 THEN 1 ELSE 0 END) ELSE COUNT(*) END AS BIGINT) AS n_lines, NOT (file % 4 = 0 OR file % 3 = 0) AS whole FROM fl GROUP BY path, file)
+SELECT path, n_lines, whole, CAST((ROW_NUMBER() OVER (ORDER BY path) - 1) // 8 AS INT) AS cycle FROM f""")
+def verified_files(spark, d):
+    """Sealed files checked eight a cycle until none is left, each once."""
+    root = shared.new_folder(spark)
+    packed(spark, d).withColumn("length", F.octet_length("content").cast("long")).write.parquet(f"{root}/files")
+    listed = spark.read.parquet(f"{root}/files")
+    while archive.verify_some(spark, listed, f"{root}/state", 8).head(1):
+        pass
+    return archive.verified(spark, f"{root}/state").select("path", "n_lines", "whole", "cycle")

@@ -8,16 +8,20 @@ beginning.  Copies that a repair left (``.broken``) are never read.  Raw lines s
 from __future__ import annotations
 
 import io
+import itertools
 import json
 import re
+import time
 import zlib
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidebook import schemas
+from tidebook.sources import documents
 
 NAME = r".*\.(jsonl|txt)\.gz(\.part(\.orphan\d*)?|\.orphan\d*)?$"
 GLOB = "*.gz*"
@@ -34,6 +38,54 @@ def partitions(spark: SparkSession, root: str, stream: str) -> DataFrame:
     return files(spark, root, stream).groupBy("date", "hour").agg(F.count("*").alias("n_files"), F.sum("length").alias("bytes")).orderBy("date", "hour")
 
 
+def isolate(root: str, stale_s: float = 0.0) -> list[tuple[str, str]]:
+    """Renames the unfinished files of a dead writer (``.part``, no change for ``stale_s`` seconds) to ``.part.orphan``, ``.part.orphan1`` ...
+
+    A writer runs it before it opens files of its own, so it never goes on with a file that ends inside a member; the readers here take an orphan's
+    readable beginning once, under its new name.  Only names and times are listed.  Gives (old, new) paths.
+    """
+    store, place = documents.store(root)
+    found = store.get_file_info(fs.FileSelector(place, recursive=True, allow_not_found=True))
+    taken, out = {f.path for f in found}, []
+    for f in sorted(found, key=lambda f: f.path):
+        if f.type == fs.FileType.File and f.path.endswith(".part") and f.size > 0 and time.time() - f.mtime_ns / 1e9 >= stale_s:
+            names = (f"{f.path}.orphan{n or ''}" for n in itertools.count())
+            new = next(n for n in names if n not in taken)
+            store.move(f.path, new)
+            taken.add(new)
+            out.append((f.path, new))
+    return out
+
+
+def verify_some(spark: SparkSession, listed: DataFrame, state: str, most: int = 4) -> DataFrame:
+    """One cycle of the check of sealed files: the first ``most`` by path that haven't been read at their present size.
+
+    listed: path, length, modificationTime, content of a ``binaryFile`` scan (contents of other files stay unread) or the like.  What is found is
+    added to the durable table at ``state`` (a folder a cycle) and returned: path, length, n_lines, whole.  Unsealed files are skipped.
+    """
+    known = verified(spark, state).select("path", "length")
+    sealed = listed.where(F.col("path").rlike(r"\.gz$"))
+    todo = sealed.select("path", "length").join(known, ["path", "length"], "left_anti").orderBy("path").limit(most)
+    chosen = sealed.join(F.broadcast(todo), ["path", "length"], "left_semi")
+    sizes = chosen.select("path", "length")
+    found = readability_of(chosen).select("path", "n_lines", "whole").join(F.broadcast(sizes), "path").select("path", "length", "n_lines", "whole")
+    cycle = len([n for n in documents.names(state) if n.startswith("cycle=")])
+    place = f"{state}/cycle={cycle}"
+    found.write.mode("overwrite").parquet(place)
+    return spark.read.schema(VERIFIED).parquet(place)
+
+
+VERIFIED = "path string, length long, n_lines long, whole boolean"
+
+
+def verified(spark: SparkSession, state: str) -> DataFrame:
+    """path, length, n_lines, whole, cycle of all files that were read so far."""
+    cycles = [n for n in documents.names(state) if n.startswith("cycle=") and "_SUCCESS" in documents.names(f"{state}/{n}")]
+    if not cycles:
+        return spark.createDataFrame([], VERIFIED + ", cycle int")
+    return spark.read.schema(VERIFIED + ", cycle int").option("basePath", state).parquet(*(f"{state}/{n}" for n in cycles))
+
+
 def inflate(raw: bytes) -> tuple[bytes, bool]:
     """The readable beginning of a file of gzip members; whether all of it was read."""
     out, rest = io.BytesIO(), raw
