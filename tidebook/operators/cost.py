@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidebook.functions import scalars as S
+from tidebook.operators import frames
 
 
 def gross_edges(rows: DataFrame, prediction: str = "p", move: str = "bp") -> DataFrame:
@@ -47,9 +46,11 @@ def at_latency(curve: DataFrame, ms: float, keys: list[str], x: str = "ms", y: s
 
 
 def block_sums(series: DataFrame, length: int, keys: list[str], order: str = "seq", value: str = "edge") -> DataFrame:
-    """Sum of the ``length`` values that begin at each row, null where fewer follow."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(0, length - 1)
-    return series.withColumn("block_sum", F.when(F.count(value).over(w) == length, F.sum(value).over(w)))
+    """Sum of the ``length`` values that begin at each row, null where fewer follow; windows stay inside buckets of positions."""
+    placed = frames.haloed(frames.numbered(series, keys, order, "_pos"), "_pos", after=length - 1)
+    w = Window.partitionBy(*keys, "_bucket").orderBy("_pos").rowsBetween(0, length - 1)
+    summed = placed.withColumn("block_sum", F.when(F.count(F.lit(1)).over(w) == length, F.sum(value).over(w)))
+    return summed.where("not _halo").drop("_pos", "_bucket", "_halo")
 
 
 def resample_means(values: np.ndarray, length: int, resamples: int, seed: int) -> np.ndarray:
@@ -79,27 +80,35 @@ def bootstrap_mean(values: np.ndarray, length: int, resamples: int = 1_000, seed
     return float(lo), float(hi)
 
 
-def bootstrap(series: DataFrame, keys: list[str], length: int, resamples: int = 1_000, seed: int = 0, order: str = "seq", value: str = "edge") -> DataFrame:
-    """keys, n, mean, lo, hi of each key's ordered series.
+def draw(parts: list, modulus):
+    """A place below ``modulus`` from 60 bits of the digest of the parts: the same draw for the same parts, on any partitioning."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 15), 16, 10).cast("long") % modulus
 
-    A key's series is one array of doubles in one task: the published size, 845,000 trades, is 7 MB.  Runs of
-    resamples are dealt over tasks by seed, so the work of one long key is shared.
+
+def bootstrap(series: DataFrame, keys: list[str], length: int, resamples: int = 1_000, seed: int = 0, order: str = "seq", value: str = "edge", draws: DataFrame | None = None) -> DataFrame:
+    """keys, n, mean, lo, hi of each key's ordered series: moving blocks of ``length`` values, the last one shorter.
+
+    A resample's blocks begin where a counter-based generator says: from key, resample, block and seed.  Sums of blocks are
+    differences of running sums, which are taken inside buckets of positions and carried over by a small table, and draws are
+    joined to them by position: no series is ever one array or one task's.  ``draws`` (keys, resample, block, start) may give the
+    starts instead.  Under two values there is no interval.
     """
-    deals = 8
-    seeds = series.sparkSession.range(deals).select(F.col("id").alias("deal"))
-    packed = series.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, value))).alias("s")).select(*keys, F.transform("s", lambda x: x[value]).alias("s"))
-    schema = packed.select(*keys).schema
-
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for _, r in pdf.iterrows():
-                x = np.asarray(r["s"], dtype=np.float64)
-                means = resample_means(x, length, -(-resamples // deals), seed + int(r["deal"]))
-                rows.append([*(r[k] for k in keys), len(x), float(x.mean()) if len(x) else float("nan"), means.tolist()])
-            yield pd.DataFrame(rows, columns=[*keys, "n", "mean", "means"])
-
-    out = T.StructType([*schema.fields, T.StructField("n", T.LongType()), T.StructField("mean", T.DoubleType()), T.StructField("means", T.ArrayType(T.DoubleType()))])
-    means = packed.crossJoin(F.broadcast(seeds)).repartition(deals, *keys, "deal").mapInPandas(run, out)
-    flat = means.select(*keys, "n", "mean", F.explode_outer("means").alias("m")).groupBy(*keys).agg(F.first("n").alias("n"), F.first("mean").alias("mean"), F.percentile("m", [0.025, 0.975]).alias("ci"))
-    return flat.select(*keys, "n", "mean", F.col("ci")[0].alias("lo"), F.col("ci")[1].alias("hi"))
+    kept = series.where(F.col(value).isNotNull())
+    placed = frames.numbered(kept, keys, order, "_pos").withColumn("_bucket", F.floor(F.col("_pos") / frames.BUCKET))
+    totals = placed.groupBy(*keys, "_bucket").agg(F.sum(value).alias("_t"))
+    before = totals.withColumn("_base", F.coalesce(F.sum("_t").over(Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).drop("_t")
+    own = F.sum(value).over(Window.partitionBy(*keys, "_bucket").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0))
+    running = placed.withColumn("_own", own).join(before, [*keys, "_bucket"]).select(*keys, (F.col("_pos") + 1).alias("at"), "_own", "_base")
+    sizes = kept.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
+    shape = sizes.withColumn("length", F.greatest(F.lit(1), F.least(F.lit(length).cast("long"), F.col("n")))).withColumn("whole", F.floor(F.col("n") / F.col("length"))).withColumn("rest", F.col("n") % F.col("length"))
+    if draws is None:
+        drawn = shape.where("n > 1").withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("whole") - (F.col("rest") == 0).cast("long"))))
+        size = F.when(F.col("block") < F.col("whole"), F.col("length")).otherwise(F.col("rest"))
+        drawn = drawn.withColumn("size", size).withColumn("start", draw([F.lit(seed), *(F.col(k).cast("string") for k in keys), F.col("resample").cast("string"), F.col("block").cast("string")], F.col("n") - F.col("size") + 1))
+    else:
+        drawn = draws.join(shape.where("n > 1"), keys).withColumn("size", F.when(F.col("block") < F.col("whole"), F.col("length")).otherwise(F.col("rest")))
+    # a block is what the running sum gains from its start to its end; nothing lies before the first value
+    ends = drawn.select(*keys, "resample", F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(-1.0).alias("sign")), F.struct((F.col("start") + F.col("size")).alias("at"), F.lit(1.0).alias("sign")))).alias("e")).select(*keys, "resample", "e.at", "e.sign").where("at > 0")
+    gained = ends.join(running, [*keys, "at"]).groupBy(*keys, "resample").agg((F.sum(F.col("sign") * F.col("_own")) + F.sum(F.col("sign") * F.col("_base"))).alias("total"))
+    means = gained.join(sizes.select(*keys, "n"), keys).groupBy(*keys).agg(F.percentile(F.col("total") / F.col("n"), [0.025, 0.975]).alias("ci"))
+    return sizes.join(means, keys, "left").select(*keys, "n", "mean", F.col("ci")[0].alias("lo"), F.col("ci")[1].alias("hi"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidebook.operators import frames
+
 
 def fold_edges(low: int, high: int, folds: int) -> list[int]:
     """folds + 2 edges, evenly from low to high + 1, cut to whole numbers."""
@@ -37,8 +39,7 @@ def make_folds(ends: DataFrame, folds: int, k: int, purge: int | None = None, em
 
 def strided(rows: DataFrame, keys: list[str], order: str, stride: int) -> DataFrame:
     """Every ``stride``-th row of each key in order, the first included."""
-    at = F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1
-    return rows.withColumn("_at", at).where(F.col("_at") % stride == 0).drop("_at")
+    return frames.numbered(rows, keys, order, "_at").where(F.col("_at") % stride == 0).drop("_at")
 
 
 def fold_alpha(rows: DataFrame, multiplier: float = 1.0, clip: bool = False) -> DataFrame:
@@ -63,17 +64,21 @@ def standardised(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 def tail_split(rows: DataFrame, share: float, k: int, keys: list[str], order: str = "seq") -> DataFrame:
     """role 'fit' or 'val': the last share of each key validates; the k rows before it train nothing."""
-    w = Window.partitionBy(*keys)
-    placed = rows.withColumn("_at", F.row_number().over(w.orderBy(order)) - 1).withColumn("_n", F.count("*").over(w))
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    placed = frames.numbered(rows, keys, order, "_at").join(sizes, keys)
     cut = F.col("_n") - F.floor(F.col("_n") * F.lit(share))
     role = F.when(F.col("_at") >= cut, "val").when(F.col("_at") < cut - k, "fit")
     return placed.withColumn("role", role).where("role is not null").drop("_at", "_n")
 
 
-def volume_stats(windows: DataFrame, most: int = 2_000) -> DataFrame:
-    """mean, sd of log1p quantities over a hash-ordered sample of windows (column ``quantities``); a bound, not a cap on results."""
-    sample = windows.orderBy(F.xxhash64("frame_id"), "frame_id").limit(most)
-    return sample.select(F.explode("quantities").alias("q")).agg(F.avg(F.log1p("q")).alias("mean"), F.stddev_pop(F.log1p("q")).alias("sd"))
+def volume_stats(volumes: DataFrame, frame: str = "frame_id", quantity: str = "quantity", share: float | None = None) -> DataFrame:
+    """mean, sd of log1p of the quantities, one a row: of all, or of the windows whose hash falls in a ``share``.
+
+    The sample goes by the window, so a window's quantities are in or out together, and its size grows with the input; a partial aggregate is all that
+    is shuffled.
+    """
+    taken = volumes if share is None else volumes.where(F.pmod(F.conv(F.substring(F.md5(F.col(frame).cast("string")), 1, 8), 16, 10).cast("long"), F.lit(1_000_000)) < int(share * 1_000_000))
+    return taken.agg(F.avg(F.log1p(quantity)).alias("mean"), F.stddev_pop(F.log1p(quantity)).alias("sd"))
 
 
 def class_weights(rows: DataFrame, label: str, head: int = 20_000, order: str = "frame_id") -> DataFrame:

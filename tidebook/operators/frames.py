@@ -57,6 +57,28 @@ def with_previous(rows: DataFrame, columns: dict[str, Column], keys: list[str],
     return joined.withColumns({n: F.col("_before")[n] for n in columns}).drop("_bucket", "_own", "_carried", "_before")
 
 
+def numbered(rows: DataFrame, keys: list[str], order: str = "seq", name: str = "pos") -> DataFrame:
+    """Adds the place, from 0, of each row among those of its keys, in order.
+
+    Rows are numbered inside (keys, bucket of positions) after the count of the buckets before, so one key's history is spread over many tasks.
+    """
+    placed = rows.withColumn("_bucket", seq_bucket(order))
+    counts = placed.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    own = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(order)) - 1
+    return placed.withColumn("_own", own).join(before, [*keys, "_bucket"]).withColumn(name, (F.col("_own") + F.col("_before")).cast("long")).drop("_bucket", "_own", "_before")
+
+
+def haloed(rows: DataFrame, position: str = "pos", before: int = 0, after: int = 0, bucket: int = BUCKET) -> DataFrame:
+    """Adds ``_bucket``, and to each bucket copies of the rows that windows of its own rows reach: ``before`` ahead of it, ``after`` behind it.
+
+    Copies are marked ``_halo``.  A window of rows over (keys, _bucket) then sees all it would see over the keys; drop the copies after it.
+    """
+    b = lambda shift: F.floor((F.col(position) + shift) / F.lit(bucket))
+    spread = rows.withColumn("_home", b(0)).withColumn("_bucket", F.explode(F.sequence(F.greatest(b(-after), F.lit(0)), b(before))))
+    return spread.withColumn("_halo", F.col("_bucket") != F.col("_home")).drop("_home")
+
+
 def with_jumps(rows: DataFrame, mid: Column, keys: list[str], jump_bp: float = 100.0, name: str = "_jump") -> DataFrame:
     """Adds ``name``: whether the log mid moves by more than ``jump_bp`` from the row before."""
     moved = with_previous(rows, {"_log_before": S.log_floor(mid)}, keys)

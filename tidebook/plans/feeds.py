@@ -9,11 +9,12 @@ from __future__ import annotations
 import gzip
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidebook.functions import scalars as S
 from tidebook.operators import book, gaps, metrics, quality
+from tidebook.operators import frames as W
 from tidebook.plans.registry import FRAMES, TICKS, frames, query, table, ticks
 from tidebook.plans.windows import CHAIN
 from tidebook.sources import archive, shared, simulator, sinks
@@ -145,7 +146,7 @@ m AS (WITH RECURSIVE st AS (
 
 def depth_chain(spark, d) -> tuple[DataFrame, DataFrame]:
     """(events, snapshots) of each user's chain; events of property 7 are withheld, those of 3, 23 ... come with a snapshot."""
-    rows = ticks(spark, d).withColumn("prev_id", F.coalesce(F.lag("seq").over(Window.partitionBy("user_id").orderBy("seq")), F.lit(-1)))
+    rows = W.with_previous(ticks(spark, d), {"prev_id": F.col("seq")}, ["user_id"]).na.fill(-1, ["prev_id"])
     events = rows.select(F.col("user_id").cast("string").alias("symbol"), "seq", "event_ms", (F.col("prev_id") + 1).alias("first_id"), F.col("seq").alias("final_id"), "prev_id", (F.col("k") == 7).alias("withheld"), "k")
     return events.drop("k"), events.where("k % 20 = 3").select("symbol", "seq", F.col("prev_id").alias("update_id"))
 

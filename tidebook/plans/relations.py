@@ -56,7 +56,7 @@ def synthetic_book(spark, d):
 @query("st01_book_replay", REPLAY + " SELECT CAST(user_id AS VARCHAR) AS symbol, seg AS segment_id, COUNT(*) FILTER (outcome = 'applied') AS applied, COUNT(*) FILTER (outcome = 'desync') AS breaks, MIN(seq) AS start, MAX(seq) AS stop FROM m WHERE outcome <> 'unanchored' GROUP BY ALL")
 def book_replay(spark, d):
     """Each user's chain as depth events: a lost event breaks trust, a snapshot anchors again."""
-    rows = ticks(spark, d).withColumn("prev_id", F.coalesce(F.lag("seq").over(Window.partitionBy("user_id").orderBy("seq")), F.lit(-1)))
+    rows = W.with_previous(ticks(spark, d), {"prev_id": F.col("seq")}, ["user_id"]).na.fill(-1, ["prev_id"])
     level = lambda p, q: F.array(F.array(F.format_number(p, 1).cast("string"), q.cast("string")))
     events = rows.select(F.col("user_id").cast("string").alias("symbol"), "seq", "event_ms", (F.col("prev_id") + 1).alias("first_id"), F.col("seq").alias("final_id"), "prev_id", level(F.lit(100.0) - F.col("k") / 10, F.col("k") % 5).alias("bids"), level(F.lit(100.1) + F.col("k") / 10, F.col("k") % 7).alias("asks"), "k")
     snapshots = events.where("k % 20 = 3").select("symbol", "seq", F.col("prev_id").alias("update_id"), F.expr("array(array('99.9', '1'))").alias("bids"), F.expr("array(array('100.2', '1'))").alias("asks"))
@@ -96,7 +96,8 @@ SELECT e.symbol, e.final_id, sn.update_id FROM e JOIN sn ON e.symbol = sn.symbol
 def interval_anchor(spark, d):
     """The event that straddles each snapshot, by an equi-join on id buckets."""
     rows = ticks(spark, d)
-    events = rows.select("symbol", F.col("seq").alias("final_id"), F.coalesce(F.lag("seq").over(Window.partitionBy("symbol").orderBy("seq")) + 1, F.lit(0)).alias("first_id"))
+    placed = W.with_previous(rows, {"before": F.col("seq")}, ["symbol"])
+    events = placed.select("symbol", F.col("seq").alias("final_id"), F.coalesce(F.col("before") + 1, F.lit(0)).alias("first_id"))
     snapshots = rows.where("k = 3").select("symbol", F.col("seq").alias("update_id"))
     return book.anchors(events, snapshots, 1_000).select("symbol", "final_id", "update_id")
 
@@ -275,8 +276,8 @@ def longest_interval(spark, d):
 
 @query("t09_downsample", TICKS + ", p AS (SELECT symbol, seq, mid, ROW_NUMBER() OVER (PARTITION BY symbol ORDER BY seq) - 1 AS i, COUNT(*) OVER (PARTITION BY symbol) AS n FROM ev) SELECT symbol, seq, mid FROM p WHERE i % GREATEST(n // 90, 1) = 0")
 def downsample(spark, d):
-    w = Window.partitionBy("symbol")
-    rows = ticks(spark, d).withColumn("i", F.row_number().over(w.orderBy("seq")) - 1).withColumn("n", F.count("*").over(w))
+    rows = W.numbered(ticks(spark, d), ["symbol"], "seq", "i")
+    rows = rows.join(rows.groupBy("symbol").agg(F.count("*").alias("n")), "symbol")
     return rows.where(F.col("i") % F.greatest(F.floor(F.col("n") / 90), F.lit(1)) == 0).select("symbol", "seq", "mid")
 
 

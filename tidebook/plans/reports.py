@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import numpy as np
 from pyspark.sql import functions as F
 
 from tidebook.functions import scalars as S
-from tidebook.operators import book, cost, folds, gaps, metrics, ml, quality
+from tidebook.operators import book, cost, folds, gaps, metrics, ml, quality, tensors
 from tidebook.operators import frames as W
 from tidebook.plans.registry import FRAMES, TICKS, forward_sql, frames, query, table, ticks
 from tidebook.plans.windows import CHAIN, chain
@@ -141,9 +141,15 @@ def z_scores(spark, d):
 
 @query("a11_volume_stats", "SELECT ROUND(AVG(LN(1 + l_quantity)), 6) AS mean, ROUND(STDDEV_POP(LN(1 + l_quantity)), 6) AS sd FROM lineitem")
 def volume_stats(spark, d):
-    """Orders are windows and their quantities volumes; the bound of the sample is the number of windows, so all take part."""
-    windows = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("frame_id")).agg(F.collect_list("l_quantity").alias("quantities"))
-    stats = folds.volume_stats(windows, windows.count())
+    """Lines as volumes of their orders' windows, all of them."""
+    stats = folds.volume_stats(table(spark, d, "lineitem"), "l_orderkey", "l_quantity")
+    return stats.select(R6(F.col("mean")).alias("mean"), R6(F.col("sd")).alias("sd"))
+
+
+@query("f08_volume_sample", "SELECT ROUND(AVG(LN(1 + l_quantity)), 6) AS mean, ROUND(STDDEV_POP(LN(1 + l_quantity)), 6) AS sd FROM lineitem WHERE CAST('0x' || substr(md5(CAST(l_orderkey AS VARCHAR)), 1, 8) AS BIGINT) % 1000000 < 250000")
+def volume_sample(spark, d):
+    """The same over a quarter of the windows, drawn by hash."""
+    stats = folds.volume_stats(table(spark, d, "lineitem"), "l_orderkey", "l_quantity", 0.25)
     return stats.select(R6(F.col("mean")).alias("mean"), R6(F.col("sd")).alias("sd"))
 
 
@@ -336,8 +342,7 @@ def balance_grid(spark, d):
 @query("a28_unchanged_share", TICKS + ", l AS (SELECT symbol, CASE WHEN mid = LAG(mid) OVER (PARTITION BY symbol ORDER BY seq) THEN 1.0 ELSE 0.0 END AS same, LAG(mid) OVER (PARTITION BY symbol ORDER BY seq) AS b FROM ev) SELECT symbol, ROUND(AVG(same), 6) AS unchanged FROM l WHERE b IS NOT NULL GROUP BY 1")
 def unchanged_share(spark, d):
     """Across segment edges, as published; the segment-local share is one partition column more."""
-    before = F.lag("mid").over(Window.partitionBy("symbol").orderBy("seq"))
-    rows = ticks(spark, d).withColumn("b", before).where("b is not null")
+    rows = W.with_previous(ticks(spark, d), {"b": F.col("mid")}, ["symbol"]).where("b is not null")
     return rows.groupBy("symbol").agg(R6(F.avg((F.col("mid") == F.col("b")).cast("double"))).alias("unchanged"))
 
 
@@ -349,9 +354,8 @@ def size_key(spark, d):
 @query("a30_outcomes_by_hour", CHAIN + """, o AS (SELECT date_trunc('hour', e.ts) AS h, CASE WHEN c.expected IS NULL THEN 'unanchored' WHEN c.prev_id = c.expected THEN 'applied' ELSE 'desync' END AS outcome FROM ch c JOIN ev e ON e.seq = c.seq)
 SELECT CAST(epoch_ms(h) AS BIGINT) AS hour_ms, outcome, COUNT(*) AS n FROM o GROUP BY ALL""")
 def outcomes_by_hour(spark, d):
-    before = F.lag("final_id").over(Window.partitionBy("user_id").orderBy("seq"))
     outcome = F.when(F.col("expected").isNull(), "unanchored").when(F.col("prev_id") == F.col("expected"), "applied").otherwise("desync")
-    return chain(spark, d).withColumn("expected", before).groupBy(hour_ms().alias("hour_ms"), outcome.alias("outcome")).agg(F.count("*").alias("n"))
+    return W.with_previous(chain(spark, d), {"expected": F.col("final_id")}, ["user_id"]).groupBy(hour_ms().alias("hour_ms"), outcome.alias("outcome")).agg(F.count("*").alias("n"))
 
 
 @query("a31_class_weights", f"WITH pr AS ({PRED}), h AS (SELECT y FROM pr ORDER BY id LIMIT 20000), c AS (SELECT y, COUNT(*) AS n FROM h GROUP BY 1) SELECT l.label, ROUND(COALESCE((SELECT SUM(n) FROM c) / (3.0 * c.n), 1.0), 6) AS weight FROM (SELECT UNNEST([0,1,2]) AS label) l LEFT JOIN c ON c.y = l.label")
@@ -366,9 +370,35 @@ def block_sums(spark, d):
     return out.where("block_sum is not null").select("symbol", "seq", R6(F.col("block_sum")).alias("block_sum"))
 
 
-@query("f09_bootstrap")
+#: Blocks of 20 trades; the starts are the digest of seed, symbol, resample and block.
+BOOTSTRAP = forward_sql(10) + ", " + EDGES + """, tr AS (SELECT symbol, edge, ROW_NUMBER() OVER (PARTITION BY symbol ORDER BY seq) AS pos FROM ed WHERE p <> 1),
+rs AS (SELECT symbol, pos AS at, SUM(edge) OVER (PARTITION BY symbol ORDER BY pos) AS total FROM tr),
+n AS (SELECT symbol, COUNT(*) AS n, AVG(edge) AS mean, LEAST(20, COUNT(*)) AS len FROM tr GROUP BY 1),
+dr AS (SELECT symbol, n, r, b, CASE WHEN b < n // len THEN len ELSE n % len END AS size FROM (SELECT *, unnest(range(0, n // len + CASE WHEN n % len > 0 THEN 1 ELSE 0 END)) AS b FROM (SELECT *, unnest(range(0, 200)) AS r FROM n WHERE n > 1))),
+st AS (SELECT symbol, r, n, size, CAST('0x' || substr(md5('0:' || symbol || ':' || r || ':' || b), 1, 15) AS BIGINT) % (n - size + 1) AS start FROM dr),
+mn AS (SELECT st.symbol, r, SUM(hi.total - COALESCE(lo.total, 0)) / MAX(n) AS m FROM st JOIN rs hi ON hi.symbol = st.symbol AND hi.at = start + size LEFT JOIN rs lo ON lo.symbol = st.symbol AND lo.at = start GROUP BY ALL)
+SELECT n.symbol, n.n, ROUND(MAX(mean), 4) AS mean, ROUND(quantile_cont(m, 0.025), 4) AS lo, ROUND(quantile_cont(m, 0.975), 4) AS hi FROM n LEFT JOIN mn USING (symbol) GROUP BY ALL"""
+
+
+@query("f09_bootstrap", BOOTSTRAP)
 def bootstrap(spark, d):
-    return cost.bootstrap(cost.gross_edges(predicted_moves(spark, d)), ["symbol"], 20)
+    """Intervals of the mean edge of each symbol's trades, by blocks of 20."""
+    out = cost.bootstrap(cost.gross_edges(predicted_moves(spark, d)), ["symbol"], 20, 200)
+    return out.select("symbol", "n", *(F.round(c, 4).alias(c) for c in ("mean", "lo", "hi")))
+
+
+@query("m05_windows", FRAMES + """, w AS (SELECT symbol, segment_id, mid, pos, len, SUM(mid) OVER f AS s, SUM(LN(1 + k)) OVER f AS v FROM fp WINDOW f AS (PARTITION BY symbol, segment_id ORDER BY seq ROWS BETWEEN 7 PRECEDING AND CURRENT ROW))
+SELECT symbol, segment_id, COUNT(*) AS n, ROUND(SUM((s - 8 * mid) / mid * 1e4), 3) AS prices, ROUND(SUM(v), 3) AS volumes FROM w WHERE pos >= 7 AND pos <= len - 4 GROUP BY ALL""")
+def tensor_windows(spark, d):
+    """Windows of eight frames that end a full window with three frames after it: prices against the last mid, log volumes."""
+    rows = W.positions(frames(spark, d)).withColumn("frame", F.array(F.col("mid"), F.col("k").cast("double")))
+    ends = (F.col("pos") >= 7) & (F.col("pos") <= F.col("len") - 4)
+
+    def sums(x: np.ndarray) -> dict[str, np.ndarray]:
+        return {"prices": x[:, :, 0].sum(1), "volumes": x[:, :, 1].sum(1)}
+
+    found = tensors.map_windows(rows, ends, 8, sums, "prices double, volumes double", bucket=64)
+    return found.groupBy("symbol", "segment_id").agg(F.count("*").alias("n"), F.round(F.sum("prices"), 3).alias("prices"), F.round(F.sum("volumes"), 3).alias("volumes"))
 
 
 @query("m01_logistic")
@@ -389,3 +419,15 @@ def book_tail(spark, d):
     return quality.tail(ticks(spark, d), ["symbol"], ["seq"], 25).select("symbol", "seq", "mid")
 
 
+@query("m02_adam")
+def adam_rounds(spark, d):
+    """Rounds of the seeded mini-batch descent on lagged returns: loss, validation macro F1, the best round so far."""
+    from tidebook.operators import adam
+
+    base = frames(spark, d).withColumn("y", S.label_from_bp(W.forward_bp(F.col("mid"), 10), 2_000.0))
+    for n in (1, 5):
+        base = base.withColumn(f"r{n}", W.lagged_return_bp(F.col("mid"), n) / 10_000)
+    rows = W.valid_ends(base, 5, 10).select("symbol", "seq", "y", "r1", "r5").where("y is not null")
+    split = folds.tail_split(rows, 0.2, 10, ["symbol"])
+    _, history = adam.train(split.where("role = 'fit'"), split.where("role = 'val'"), ["r1", "r5"], adam.Settings(epochs=2, batches=2))
+    return history.select("epoch", R6(F.col("loss")).alias("loss"), R6(F.col("macro_f1")).alias("macro_f1"), "best_epoch", "stopped")

@@ -151,7 +151,7 @@ ch AS (SELECT *, LAG(final_id) OVER (PARTITION BY user_id ORDER BY seq) AS expec
 
 def chain(spark, d):
     """Each user's events as a chain of ids, with the events of property 7 lost."""
-    rows = ticks(spark, d).withColumn("prev_id", F.lag("seq").over(Window.partitionBy("user_id").orderBy("seq"))).withColumn("final_id", F.col("seq"))
+    rows = W.with_previous(ticks(spark, d), {"prev_id": F.col("seq")}, ["user_id"]).withColumn("final_id", F.col("seq"))
     return rows.where("k <> 7")
 
 
@@ -164,9 +164,8 @@ def sequence_gaps(spark, d):
 SELECT user_id, CAST(g AS BIGINT) AS segment_id, MIN(seq) AS start, MAX(seq) AS stop, COUNT(*) AS n FROM sg GROUP BY ALL""")
 def trusted_segments(spark, d):
     """Stretches of each chain without a loss."""
-    before = F.lag("final_id").over(Window.partitionBy("user_id").orderBy("seq"))
-    rows = chain(spark, d).withColumn("b", before.isNull() | (F.col("prev_id") != before))
-    rows = W.island_ids(rows, F.col("b"), ["user_id"], "seq")
+    rows = W.with_previous(chain(spark, d), {"before": F.col("final_id")}, ["user_id"])
+    rows = W.island_ids(rows, F.col("before").isNull() | (F.col("prev_id") != F.col("before")), ["user_id"], "seq", bucket=W.seq_bucket())
     return rows.groupBy("user_id", "segment_id").agg(F.min("seq").alias("start"), F.max("seq").alias("stop"), F.count("*").alias("n"))
 
 
