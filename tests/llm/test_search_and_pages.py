@@ -3,6 +3,7 @@ from __future__ import annotations
 import html
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -214,3 +215,33 @@ def test_crowds_of_near_equal_vectors():
             want = np.argsort(((x - x[a]) ** 2).sum(axis=1), kind="stable")[:11]
             hit.append(len(set(want) & set(block.nearest(x[a], order, 11)[0])) / 11)
         assert min(hit[:20]) == 1 and np.mean(hit[20:]) >= 0.9
+
+
+def test_names_count_as_a_whole(spark, make):
+    """A word of a longer name says nothing: the article keeps its text, and outside one such blocks stay too."""
+    article = '<nav>menu</nav><article><p>start</p><section class="social-history"><p>one</p></section><div class="alert-levels"><p>two</p></div><div class="ad-box">gone</div><div class="related-posts">gone</div></article>'
+    loose = '<div class="share-price-report"><p>prices</p></div><div id="widget-review"><p>verdict</p></div><div class="share-buttons">gone</div><div id="sidebar-left">gone</div><div class="comment-list">gone</div>'
+    got = extracted(spark, make, [(1, "http://a/", article), (2, "http://b/", loose)])
+    assert got == {1: "start one two", 2: "prices verdict"}
+
+
+def test_long_lists_are_matched_in_order():
+    node = lambda label: [label, [], [], None]
+    rng = random.Random(4)
+    for _ in range(60):
+        left, right = ([node(rng.choice("abc")) for _ in range(rng.randint(0, 25))] for _ in range(2))
+        pairs = html_extract.long_match(left, right)
+        assert all(left[i][0] == right[j][0] for i, j in pairs)
+        assert all(a < c and b < d for (a, b), (c, d) in zip(pairs, pairs[1:], strict=False))
+        assert len(pairs) <= html_extract.match(left, right, size=True)[0]
+    assert html_extract.long_match(left, left) == [(i, i) for i in range(len(left))]
+
+
+def test_flat_pages_of_many_blocks_take_seconds():
+    flat = lambda n, a, b: "<div>" + "".join(f"<h2>{a}{i}</h2><p>{b}{i}</p>" for i in range(n)) + "</div>"
+    began = time.process_time()
+    one, two = flat(5_000, "h", "p"), flat(4_990, "g", "q")
+    template = html_extract.add_page(html_extract.learn(one), html_extract.learn(two))
+    text = html_extract.content(html_extract.parse(two), html_extract.decided(template))
+    assert time.process_time() - began < 10
+    assert text.split() == [w for i in range(4_990) for w in (f"g{i}", f"q{i}")]

@@ -15,8 +15,8 @@ are merged in two rounds (so a hot host is never gathered in one task page by pa
 pages by a broadcast behind a check of their size; beyond it both are sorted together by host and salt, and
 each template streams past ahead of its pages.
 
-Names never apply to html, body, main and article, to layout flags ("no-sidebar", "comments-open"), to an ancestor of the
-article, or to a wrapper that holds all text of the page.  Where an article or main element has text, text outside it is no content.
+A name counts only if all its words do ("share-buttons", not "share-price").  Names never apply to html, body, main and article, to
+layout flags ("no-sidebar", "comments-open"), to an ancestor of the article, or to a wrapper that holds all text of the page.  Where an article or main element has text, text outside it is no content.
 
 Pages: null or empty html gives an empty text.  Broken markup is repaired (implied ends, missing ends, open quotes).  Elements nested
 deeper than ``MAX_DEPTH`` stand beside each other, in order, as in browsers.  Repeated rows get equal texts, ties of values go to
@@ -25,6 +25,7 @@ the smaller mark, columns besides id, url and html are left out.  No text is cut
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import html
 import json
@@ -53,12 +54,16 @@ FORM_TAGS = {"form", "fieldset"}
 SIDE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar"}
 CONTENT_TAGS = {"article", "main"}
 FRAME_TAGS = {"html", "body", "main", "article"}
-#: Words of a class or id that name a side region, and words that make it a flag of the layout.
+#: Words of a class or id that name a side region, words that may stand beside them, and words that make a name a flag of the layout.
 SIDE_NAMES = set(
     "ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion banner banners sidebar sidebars nav navbar navigation menu menus breadcrumb breadcrumbs footer masthead "
     "cookie cookies consent notice notices alert alerts newsletter subscribe signup login popup modal share sharing social related recommended recommendations widget widgets toolbar pagination pager".split()
 )
 COMMENT_NAMES = set("comment comments commentlist disqus replies respond".split())
+BESIDE_NAMES = set(
+    "site page main global primary secondary top bottom left right inner outer box bar block container wrap wrapper holder list links link item items button buttons icon icons section area panel region zone slot unit "
+    "column col row group post posts article articles stories form field header thread count js ui".split()
+)
 HEADER_NAMES = {"header", "site-header", "top-header", "page-top", "topbar"}
 FLAG_NAMES = set("has no with without open closed enabled disabled hide show".split())
 NAME_TOKEN = re.compile(r"[-_]+|(?<=[a-z])(?=[A-Z])")
@@ -80,7 +85,7 @@ SALTS = 64
 
 
 class Node:
-    """An element, or a text ("#text"); ``named``: 0, or 1 for a side region by name, 2 for reader comments."""
+    """An element, or a text ("#text"); ``named``: what ``named`` says."""
 
     __slots__ = ("tag", "label", "text", "kids", "up", "named", "hidden", "content", "holds", "size", "slot")
 
@@ -88,7 +93,7 @@ class Node:
         self.tag, self.label, self.text = tag, label or tag, text
         self.kids: list[Node] = []
         self.up: Node | None = None
-        self.named, self.hidden, self.content, self.holds = 0, False, tag in CONTENT_TAGS, False
+        self.named, self.hidden, self.content, self.holds = PLAIN, False, tag in CONTENT_TAGS, False
         self.size, self.slot = len(text), None
 
     def add(self, kid: Node) -> None:
@@ -96,17 +101,25 @@ class Node:
         self.kids.append(kid)
 
 
+#: What a name says: nothing, a side region, reader comments.
+PLAIN, SIDE, COMMENTS = range(3)
+
+
 def named(value: str) -> int:
-    """What the names in a class or id make of an element."""
-    out = 0
+    """What the names in a class or id make of an element.
+
+    A name counts if all its words do: "share-buttons" and "site-footer" are side regions, "share-price" and "social-history" are not.
+    """
+    out = PLAIN
     for token in value.split():
-        words = {w.lower() for w in NAME_TOKEN.split(token) if w}
+        words = {w.lower() for w in NAME_TOKEN.split(token) if w and not w.isdigit()}
         if words & FLAG_NAMES:
             continue
-        if words & COMMENT_NAMES:
-            return 2
-        if words & SIDE_NAMES or token.lower() in HEADER_NAMES:
-            out = 1
+        rest = words - BESIDE_NAMES
+        if token.lower() in HEADER_NAMES:
+            out = max(out, SIDE)
+        elif rest and rest <= COMMENT_NAMES | SIDE_NAMES:
+            out = max(out, COMMENTS if rest & COMMENT_NAMES else SIDE)
     return out
 
 
@@ -114,7 +127,7 @@ class Marks(dict):
     """Attributes of a tag as written to (classes, named, hidden, content); emptied now and then."""
 
     def __missing__(self, written: str) -> tuple[str, int, bool, bool]:
-        classes, name, hidden, content = "", 0, False, False
+        classes, name, hidden, content = "", PLAIN, False, False
         for a in ATTRIBUTE.finditer(written):
             kind, value = a[1].lower(), html.unescape(a[2] or a[3] or a[4] or "")
             if kind == "class":
@@ -136,7 +149,7 @@ class Marks(dict):
         return out
 
 
-NO_MARKS = ("", 0, False, False)
+NO_MARKS = ("", PLAIN, False, False)
 
 
 def parse(page: str, marks: Marks | None = None) -> Node:
@@ -244,11 +257,11 @@ def settle_regions(every: list[Node]) -> None:
             node.up.size += node.size
     free, bound = [], []
     for node in every:
-        if not node.content or (node.tag == "article" and node.named == 2):
+        if not node.content or (node.tag == "article" and node.named == COMMENTS):
             continue
         worst, up = 0, node.up
         while up is not None:
-            if up.tag in SIDE_TAGS or up.hidden or (up.named == 2 and up.tag not in FRAME_TAGS):
+            if up.tag in SIDE_TAGS or up.hidden or (up.named == COMMENTS and up.tag not in FRAME_TAGS):
                 worst = 2
                 break
             if up.named and up.tag not in FRAME_TAGS:
@@ -264,7 +277,7 @@ def settle_regions(every: list[Node]) -> None:
 def is_side(node: Node, inside: bool, whole: int) -> bool:
     if node.tag in SIDE_TAGS or node.hidden:
         return True
-    if node.named == 2 and node.tag not in ("html", "body", "main"):
+    if node.named == COMMENTS and node.tag not in ("html", "body", "main"):
         return not node.holds or node.tag == "article"
     if node.tag in FRAME_TAGS or node.holds:
         return False
@@ -289,6 +302,8 @@ def texts(root: Node) -> Iterator[str]:
 # A slot of a page is [label, children, texts, slot that it went into].  A node of a template is [label, children, pages
 # that have it, pages before it came, {mark of a text: [pages, marks of different pages]}].
 
+#: Pairs of siblings up to which lists are matched exactly; longer ones by ``long_match``.
+EXACT = 10_000
 #: Neighbours that are items of one list; of other kinds only longer runs than LONG are.
 ITEMS = {"#text", "p", "li", "tr", "td", "th", "dt", "dd", "option"}
 LONG = 8
@@ -356,12 +371,53 @@ def weight(a: list, b: list, memo: dict | None = None) -> int:
     return memo[key]
 
 
+def long_match(left: list, right: list) -> list[tuple[int, int]]:
+    """Pairs of two long lists in almost linear time: equal heads and tails, and between them the longest chain of siblings that are
+    the same occurrence of their label."""
+    n, m = len(left), len(right)
+    head = 0
+    while head < min(n, m) and left[head][0] == right[head][0]:
+        head += 1
+    tail = 0
+    while tail < min(n, m) - head and left[n - 1 - tail][0] == right[m - 1 - tail][0]:
+        tail += 1
+    where: dict[tuple, int] = {}
+    counts: dict = {}
+    for j in range(head, m - tail):
+        label = right[j][0]
+        counts[label] = counts.get(label, 0) + 1
+        where[label, counts[label]] = j
+    counts, met = {}, []
+    for i in range(head, n - tail):
+        label = left[i][0]
+        counts[label] = counts.get(label, 0) + 1
+        if (label, counts[label]) in where:
+            met.append((i, where[label, counts[label]]))
+    # the longest rising run of places on the right, by the least end of each length
+    ends: list[int] = []
+    at: list[int] = []
+    before: list[int] = []
+    for k, (_, j) in enumerate(met):
+        p = bisect.bisect_left(ends, j)
+        ends[p : p + 1] = [j]
+        at[p : p + 1] = [k]
+        before.append(at[p - 1] if p else -1)
+    chain, k = [], at[-1] if at else -1
+    while k >= 0:
+        chain.append(met[k])
+        k = before[k]
+    return [(i, i) for i in range(head)] + chain[::-1] + [(n - t, m - t) for t in range(tail, 0, -1)]
+
+
 def match(left: list, right: list, memo: dict | None = None, size: bool = False) -> tuple[int, list[tuple[int, int]]]:
     """(size, pairs) of the best mapping of two lists of siblings; lists with equal labels go pair by pair."""
     n, m = len(left), len(right)
     memo = {} if memo is None else memo
     if n == m and all(a[0] == b[0] for a, b in zip(left, right, strict=True)):
         return sum(weight(a, b, memo) for a, b in zip(left, right, strict=True)) if size else 0, [(i, i) for i in range(n)]
+    if n * m > EXACT:
+        pairs = long_match(left, right)
+        return sum(weight(left[i], right[j], memo) for i, j in pairs) if size else 0, pairs
     w = [[weight(a, b, memo) for b in right] for a in left]
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
