@@ -95,6 +95,30 @@ def leak_rows():
     return items, texts
 
 
+def stands_free(phrase, text):
+    """Whether a phrase is in a text with no letter or digit against a letter or digit at its ends."""
+    for at in range(len(text) - len(phrase) + 1):
+        if text[at : at + len(phrase)] == phrase:
+            before, after = text[at - 1 : at] if at else "", text[at + len(phrase) : at + len(phrase) + 1]
+            if not (before.isalnum() and phrase[0].isalnum()) and not (after.isalnum() and phrase[-1].isalnum()):
+                return True
+    return False
+
+
+def test_short_phrases_are_found_inside_texts():
+    rng = random.Random(11)
+    words = ["two", "2+2?", "is", "what", "a", "of", "é", "x9", "four.", "42"]
+    items = sorted({" ".join(rng.choice(words) for _ in range(rng.randint(1, 4))) for _ in range(60)} | {"what is 2+2? four"})
+    items = [(i, t) for i, t in enumerate(items) if 1 <= len(t) < decontaminate.SHORT]
+    texts = ["intro What is 2+2?  FOUR and more text", "intro what is 2+2? fourteen", "two", "of"]
+    texts += ["".join(rng.choice(words) + rng.choice([" ", " ", "  ", "\n", "", "-"]) for _ in range(rng.randint(0, 12))) for _ in range(300)]
+    got = decontaminate.search(texts, decontaminate.Items(items))
+    for text, found in zip(texts, got, strict=True):
+        t = decontaminate.normal(text)
+        assert [i for i, _ in found] == [i for i, p in items if p == t or (" " in p and stands_free(p, t))], text
+    assert any(found for found in got[4:]) and not all(got)
+
+
 def test_leaks_match_brute_force(spark, make, docs, leak_rows):
     items, texts = leak_rows
     rows = docs(texts)
@@ -104,7 +128,7 @@ def test_leaks_match_brute_force(spark, make, docs, leak_rows):
         for k, item in items:
             p = decontaminate.normal(item)
             if p and len(p) < decontaminate.SHORT:
-                if p == t:
+                if p == t or (" " in p and stands_free(p, t)):
                     want[k] = 0
             elif p and (e := distance(p, t)) <= int(len(p) * decontaminate.BUDGET):
                 want[k] = e

@@ -14,14 +14,16 @@ The benchmark is a stated query set: it goes to the tasks in blocks of bounded s
 narrow pass.  With more than one block a task holds HELD_BYTES of documents and looks them up in one block's index after the other, so
 an index is built once for so many documents.  Every executor gets all blocks: a benchmark of some gigabytes at most.
 
-Null or empty documents leak nothing; null or empty items are in nothing.  Items under ``SHORT`` characters
-(where the bound isn't positive) would match by chance, so they leak only into documents that equal them.  Repeated items count once each, an
+Null or empty documents leak nothing; null or empty items are in nothing.  For items under ``SHORT`` characters the bound isn't
+positive: those of two words and more are looked up exactly, where no letter or digit touches either end; a single short word would be in
+most documents by chance, so it leaks only into documents that equal it.  Repeated items count once each, an
 item id with two texts for both.  Texts of any length are looked up whole, in windows that overlap by more than an item.  Repeated rows get equal leaks, all
 items that tie are listed, in order of their ids; other columns pass through, ``leaks`` is replaced; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -165,7 +167,7 @@ class Index:
 
 
 class Items:
-    """A block of items: those that count only as whole documents, an index of the others and one of their passages."""
+    """A block of items: single short words, which count only as whole documents, short phrases, an index of the others and one of their passages."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.ids = [i for i, _ in items]
@@ -173,6 +175,11 @@ class Items:
         for k, (_, t) in enumerate(items):
             if 0 < len(t) < SHORT:
                 self.equal.setdefault(t, []).append(k)
+        self.phrases = ahocorasick.Automaton()
+        for t in self.equal:
+            if " " in t:
+                self.phrases.add_word(t, t)
+        self.phrases.make_automaton()
         longer = [k for k, (_, t) in enumerate(items) if len(t) >= SHORT]
         text = [codes(items[k][1]) for k in longer]
         parts = [(k, w) for k, t in zip(longer, text, strict=True) for w in passages(t)]
@@ -181,6 +188,17 @@ class Items:
         self.overlap = max((len(t) + int(len(t) * BUDGET) for t in text), default=0) + 1
 
 
+    def short(self, text: str) -> set[int]:
+        """Short items in a text: equal to it, or phrases that stand free in it."""
+        found = set(self.equal.get(text, ()))
+        if len(self.phrases):
+            for last, t in self.phrases.iter(text):
+                first = last + 1 - len(t)
+                if not (first and text[first - 1].isalnum() and t[0].isalnum()) and not (last + 1 < len(text) and text[last + 1].isalnum() and t[-1].isalnum()):
+                    found.update(self.equal[t])
+        return found
+
+
 def align(item: np.ndarray, doc: np.ndarray, low: int, high: int, edits: int) -> int:
     """Fewest edits that turn the item into some region of the document, within the band of diagonals."""
     low, high = low - edits, high + edits
@@ -204,7 +222,7 @@ def align(item: np.ndarray, doc: np.ndarray, low: int, high: int, edits: int) ->
 def search(texts: list[str | None], items: Items) -> list[list[tuple[int, int]]]:
     """For each text, (item id, edits) of the items that it leaks."""
     ready = [normal(t) for t in texts]
-    whole: list[dict[int, int]] = [{k: 0 for k in items.equal.get(t, ())} for t in ready]
+    whole: list[dict[int, int]] = [dict.fromkeys(items.short(t), 0) for t in ready]
     parts: list[dict[int, int]] = [{} for _ in ready]
 
     def look(part: list[tuple[int, str]]) -> None:
