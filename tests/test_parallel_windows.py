@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidebook.operators import adam, cost, frames, tensors
+from tidebook.operators import adam, cost, frames, gaps, tensors
 
 
 @pytest.fixture
@@ -141,3 +141,31 @@ def test_training_stops_after_its_patience(spark):
     assert len(rows) == 3 and rows[-1]["stopped"] and rows[-1]["best_epoch"] == 1
     empty, _ = adam.train(df.limit(0), df, ["a"], adam.Settings(epochs=1, batches=1))
     assert (empty == 0).all()
+
+
+def limited(times, cooldown):
+    kept, last = [], None
+    for t in sorted(times):
+        if last is None or t - last >= cooldown:
+            last = t
+        if t == last:
+            kept.append(t)
+    return kept
+
+
+@pytest.mark.parametrize(("cooldown", "spread"), [(5, 40), (7, 3_000), (100, 900), (1, 50), (0, 30)])
+def test_the_limiter_equals_a_walk(spark, monkeypatch, cooldown, spread):
+    monkeypatch.setattr(gaps, "COOLDOWNS", 3)
+    rng = random.Random(cooldown)
+    rows = [(k, rng.randint(-spread, spread), i) for k, n in (("hot", 400), ("cold", 15), (None, 30), ("", 4)) for i in range(n)] + [("hot", None, 1)]
+    df = spark.createDataFrame(rows, "symbol string, at_ms long, n int").repartition(5)
+    got = [(r["symbol"], r["at_ms"]) for r in gaps.throttled(df, ["symbol"], "at_ms", cooldown).collect()]
+    want = [(k, t) for k in ("hot", "cold", None, "") for t in limited([r[1] for r in rows if r[0] == k and r[1] is not None], cooldown)]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    assert gaps.throttled(df.limit(0), ["symbol"], "at_ms", cooldown).count() == 0
+
+
+def test_marks_at_one_time_do_not_multiply(spark):
+    marks = [("a", 10, "disconnect"), ("a", 10, "connect"), ("a", 20, "disconnect"), ("a", 20, "disconnect"), ("a", 50, "connect")]
+    out = gaps.outages(spark.createDataFrame(marks, "endpoint string, at long, state string"), ["endpoint"], "at", "state").collect()
+    assert [(r["start_ns"], r["end_ns"]) for r in out] == [(10, 50)]
