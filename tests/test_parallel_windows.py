@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidebook.operators import adam, cost, frames, gaps, tensors
+from tidebook.operators import adam, book, cost, frames, gaps, tensors
 
 
 @pytest.fixture
@@ -169,3 +169,27 @@ def test_marks_at_one_time_do_not_multiply(spark):
     marks = [("a", 10, "disconnect"), ("a", 10, "connect"), ("a", 20, "disconnect"), ("a", 20, "disconnect"), ("a", 50, "connect")]
     out = gaps.outages(spark.createDataFrame(marks, "endpoint string, at long, state string"), ["endpoint"], "at", "state").collect()
     assert [(r["start_ns"], r["end_ns"]) for r in out] == [(10, 50)]
+
+
+def test_a_book_by_price_equals_a_walk(spark, small_buckets):
+    rng, rows = random.Random(6), []
+    for i in range(200):
+        final = 40 + i * 2 - rng.choice([0, 0, 0, 9])
+        rows.append(("x", 3 * i, final, [[f"{rng.randint(90, 99)}.5", str(rng.choice([0, 1, 2]))] for _ in range(2)], [[f"{rng.randint(100, 109)}.0", str(rng.choice([0, 1]))]]))
+    rng.shuffle(rows)
+    snap = ("x", 60, [["95.50", "7"]], [["104", "3"]])
+    levels = "array<array<string>>"
+    events = spark.createDataFrame(rows, f"symbol string, seq long, final_id long, bids {levels}, asks {levels}")
+    snaps = spark.createDataFrame([snap], f"symbol string, update_id long, bids {levels}, asks {levels}")
+    for steps in (3, 50, None):
+        bids, asks, last, n = {95.5: 7.0}, {104.0: 3.0}, 60, 0
+        for _, _, final, b, a in sorted(rows, key=lambda r: r[1]):
+            if final <= last or n == steps:
+                continue
+            for side, changes in ((bids, b), (asks, a)):
+                for p, q in changes:
+                    side[float(p)] = float(q)
+            last, n = final, n + 1
+        bids, asks = ({p: q for p, q in side.items() if q} for side in (bids, asks))
+        r = book.price_walk(events, snaps, steps).first()
+        assert (r["steps"], r["n_bids"], r["n_asks"], r["best_bid"], r["best_ask"]) == (n, len(bids), len(asks), max(bids, default=None), min(asks, default=None))

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from tidebook import schemas
 from tidebook.functions import scalars as S
+from tidebook.operators import frames
 from tidebook.operators import trust as trust_index
 
 #: Levels kept on each side when it has grown to twice as many, and levels that a state shows.
@@ -170,6 +171,28 @@ def top_of_deltas(deltas: DataFrame, upto, levels: int = SHOWN) -> DataFrame:
     return latest.withColumn("level", F.row_number().over(Window.partitionBy("symbol", "side").orderBy(order)).cast("long")).where(F.col("level") <= levels)
 
 
+def price_walk(events: DataFrame, snapshots: DataFrame, steps: int | None = None) -> DataFrame:
+    """symbol, steps, n_bids, n_asks, best_bid, best_ask, uncrossed: a book keyed by the prices themselves, without any check of continuity.
+
+    A symbol's snapshot, then its first ``steps`` events (all without a bound) that end after it and after all events before, in order of ``seq``; the last quantity of a
+    price counts, later entries of one event before earlier ones, and 0 deletes.  Snapshots: one row a symbol with update_id, bids, asks.
+    """
+    after = events.join(snapshots.select("symbol", "update_id"), "symbol").where(F.col("final_id") > F.col("update_id"))
+    after = frames.with_highest_before(after, F.col("final_id"), ["symbol"], "seq", "_high").where(F.col("_high").isNull() | (F.col("final_id") > F.col("_high")))
+    taken = frames.numbered(after, ["symbol"], "seq", "_step")
+    taken = taken if steps is None else taken.where(F.col("_step") < steps)
+    first = snapshots.withColumn("_step", F.lit(-1).cast("long"))
+    level = lambda rows, c, side: rows.select("symbol", "_step", F.lit(side).alias("side"), F.posexplode(c).alias("place", "level"))
+    parts = [level(rows, c, side) for rows in (first, taken) for c, side in (("bids", "b"), ("asks", "a"))]
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    every = every.select("symbol", "_step", "side", "place", F.col("level")[0].cast("double").alias("price"), F.col("level")[1].cast("double").alias("q"))
+    latest = every.groupBy("symbol", "side", "price").agg(F.max_by("q", F.struct("_step", "place")).alias("q")).where("q > 0")
+    bid, ask = F.col("side") == "b", F.col("side") == "a"
+    best = latest.groupBy("symbol").agg(F.count_if(bid).alias("n_bids"), F.count_if(ask).alias("n_asks"), F.max(F.when(bid, F.col("price"))).alias("best_bid"), F.min(F.when(ask, F.col("price"))).alias("best_ask"))
+    walked = taken.groupBy("symbol").agg(F.count("*").alias("steps"))
+    return best.join(walked, "symbol").withColumn("uncrossed", F.col("best_bid") < F.col("best_ask"))
+
+
 def frame_layout(states: DataFrame, levels: int = SHOWN) -> DataFrame:
     """Adds ``frame``: ask price, ask quantity, bid price, bid quantity for each level; a short side repeats its last price at quantity 0."""
 

@@ -69,6 +69,16 @@ def numbered(rows: DataFrame, keys: list[str], order: str = "seq", name: str = "
     return placed.withColumn("_own", own).join(before, [*keys, "_bucket"]).withColumn(name, (F.col("_own") + F.col("_before")).cast("long")).drop("_bucket", "_own", "_before")
 
 
+def with_highest_before(rows: DataFrame, value: Column, keys: list[str], order: str = "seq", name: str = "highest") -> DataFrame:
+    """Adds the largest value of the rows before, in order, of the same keys (null at the first one), by buckets of positions as ``numbered``."""
+    placed = rows.withColumn("_bucket", seq_bucket(order)).withColumn("_value", value)
+    tops = placed.groupBy(*keys, "_bucket").agg(F.max("_value").alias("_top"))
+    carried = tops.withColumn("_carried", F.max("_top").over(Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))).drop("_top")
+    own = F.max("_value").over(Window.partitionBy(*keys, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    joined = placed.withColumn("_own", own).join(carried, [*keys, "_bucket"])
+    return joined.withColumn(name, F.greatest("_own", "_carried")).drop("_bucket", "_value", "_own", "_carried")
+
+
 def haloed(rows: DataFrame, position: str = "pos", before: int = 0, after: int = 0, bucket: int = BUCKET) -> DataFrame:
     """Adds ``_bucket``, and to each bucket copies of the rows that windows of its own rows reach: ``before`` ahead of it, ``after`` behind it.
 

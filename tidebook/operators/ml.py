@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidebook.operators import folds as folding
+from tidebook.sources import shared
 
 RETURNS_ONLY = ("ret_1s_bp", "ret_5s_bp", "ret_30s_bp", "rv_30s_bp")
 
@@ -20,7 +21,9 @@ def fit_predict(rows: DataFrame, columns: list[str], label: str = "y", keep: lis
     weighted by n / (3 * count); the fit runs to its optimum, so no early stopping can see the test block.
     """
     keep = keep or ["frame_id"]
-    rows = rows.persist()  # every fold reads its rows several times
+    path = shared.new_folder(rows.sparkSession)
+    rows.write.parquet(path)  # every fold reads its rows several times
+    rows = rows.sparkSession.read.schema(rows.schema).parquet(path)
     ready = folding.standardised(rows, columns)
     weights = rows.where("role = 'train'").groupBy("fold", label).agg(F.count("*").alias("_n"))
     total = weights.groupBy("fold").agg(F.sum("_n").alias("_total"))

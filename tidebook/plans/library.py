@@ -104,3 +104,18 @@ def tick_check(spark, d):
     prices = ticks(spark, d).select("symbol", F.format_string("%.2f", "mid").alias("price"))
     book.check_tick(prices, 0.01)
     return book.tick_of(prices).select("symbol", F.lit(0.01).alias("tick"), (F.col("n") >= 100).alias("enough"))
+
+
+@query("b09_price_walk", TICKS + """, o AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY symbol ORDER BY seq) - 1 AS step FROM ev),
+l AS (SELECT symbol, 'b' AS side, step, (1000 - k) / 10.0 AS price, (k + seq) % 3 AS q FROM o WHERE step < 60 UNION ALL SELECT symbol, 'a', step, (1001 + k) / 10.0, seq % 2 FROM o WHERE step < 60
+ UNION ALL SELECT DISTINCT symbol, 'b', -1, 50.5, 1 FROM o UNION ALL SELECT DISTINCT symbol, 'a', -1, 150.5, 1 FROM o),
+q AS (SELECT symbol, side, price, arg_max(q, step) AS q FROM l GROUP BY ALL)
+SELECT symbol, COUNT(*) FILTER (side = 'b') AS n_bids, COUNT(*) FILTER (side = 'a') AS n_asks, CAST(MAX(price) FILTER (side = 'b') AS DOUBLE) AS best_bid, CAST(MIN(price) FILTER (side = 'a') AS DOUBLE) AS best_ask,
+ MAX(price) FILTER (side = 'b') < MIN(price) FILTER (side = 'a') AS uncrossed, (SELECT COUNT(*) FROM o WHERE o.symbol = q.symbol AND step < 60) AS steps FROM q WHERE q > 0 GROUP BY symbol""")
+def price_walk(spark, d):
+    """Each symbol's book by price after sixty events, with no check of continuity."""
+    rows = ticks(spark, d)
+    level = lambda p, q: F.array(F.array(F.format_string("%.1f", p), q.cast("string")))
+    events = rows.select("symbol", "seq", F.col("seq").alias("final_id"), level(F.lit(100.0) - F.col("k") / 10, (F.col("k") + F.col("seq")) % 3).alias("bids"), level(F.lit(100.1) + F.col("k") / 10, F.col("seq") % 2).alias("asks"))
+    snapshots = rows.select("symbol").distinct().select("symbol", F.lit(-1).cast("long").alias("update_id"), F.expr("array(array('50.5', '1'))").alias("bids"), F.expr("array(array('150.5', '1'))").alias("asks"))
+    return book.price_walk(events, snapshots, 60)
