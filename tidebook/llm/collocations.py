@@ -34,9 +34,9 @@ from pyspark.sql import functions as F
 from tidebook.llm import common
 
 LEAST, LONGEST, TOP, SUBSUMED = 10, 3, 2_000, 50
-DEPTH, MOST_CELLS, BLOCK = 2, 1 << 26, 4_096
+DEPTH, MOST_CELLS, BLOCK = 2, 1 << 25, 4_096
 #: Text of a slice, and of a task that sketches, in bytes.
-SLICE, TASK = 4 << 20, 4 << 30
+SLICE, TASK = 2 << 20, 4 << 30
 
 #: Odd multipliers of the sketch's rows, and of the words of a phrase.
 ROWS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
