@@ -10,6 +10,10 @@ from tidebook.functions import scalars as S
 from tidebook.operators import frames
 
 
+#: Tasks that the resamples of a bootstrap are dealt over.
+DEALT = 200
+
+
 def gross_edges(rows: DataFrame, prediction: str = "p", move: str = "bp") -> DataFrame:
     """Trades (flat predictions left out) with ``edge``."""
     return rows.where(F.col(prediction) != 1).withColumn("edge", S.signed_edge(F.col(prediction), F.col(move)))
@@ -88,9 +92,9 @@ def draw(parts: list, modulus):
 def bootstrap(series: DataFrame, keys: list[str], length: int, resamples: int = 1_000, seed: int = 0, order: str = "seq", value: str = "edge", draws: DataFrame | None = None) -> DataFrame:
     """keys, n, mean, lo, hi of each key's ordered series: moving blocks of ``length`` values, the last one shorter.
 
-    A resample's blocks begin where a counter-based generator says: from key, resample, block and seed.  Sums of blocks are
-    differences of running sums, which are taken inside buckets of positions and carried over by a small table, and draws are
-    joined to them by position: no series is ever one array or one task's.  ``draws`` (keys, resample, block, start) may give the
+    A resample's blocks begin where a counter-based generator says: from key, resample, block and seed.  Sums of whole blocks are
+    taken inside buckets of positions, that of the shorter one is a difference of running sums, carried over by a small table, and draws are
+    joined to them by position: no series is ever one array or one task's, nor are the draws of a key.  ``draws`` (keys, resample, block, start) may give the
     starts instead.  Under two values there is no interval.
     """
     kept = series.where(F.col(value).isNotNull())
@@ -102,13 +106,23 @@ def bootstrap(series: DataFrame, keys: list[str], length: int, resamples: int =
     sizes = kept.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
     shape = sizes.withColumn("length", F.greatest(F.lit(1), F.least(F.lit(length).cast("long"), F.col("n")))).withColumn("whole", F.floor(F.col("n") / F.col("length"))).withColumn("rest", F.col("n") % F.col("length"))
     if draws is None:
-        drawn = shape.where("n > 1").withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("whole") - (F.col("rest") == 0).cast("long"))))
-        size = F.when(F.col("block") < F.col("whole"), F.col("length")).otherwise(F.col("rest"))
-        drawn = drawn.withColumn("size", size).withColumn("start", draw([F.lit(seed), *(F.col(k).cast("string") for k in keys), F.col("resample").cast("string"), F.col("block").cast("string")], F.col("n") - F.col("size") + 1))
+        # a few keys make all the draws, so the resamples are dealt over tasks before their blocks are
+        each = shape.where("n > 1").withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).repartition(DEALT, *keys, "resample")
+        whole = each.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("whole") - 1))).withColumn("size", F.col("length"))
+        last = each.where("rest > 0").withColumn("block", F.col("whole")).withColumn("size", F.col("rest"))
+        start = draw([F.lit(seed), *(F.col(k).cast("string") for k in keys), F.col("resample").cast("string"), F.col("block").cast("string")], F.col("n") - F.col("size") + 1)
+        whole, last = whole.withColumn("start", start), last.withColumn("start", start)
     else:
-        drawn = draws.join(shape.where("n > 1"), keys).withColumn("size", F.when(F.col("block") < F.col("whole"), F.col("length")).otherwise(F.col("rest")))
-    # a block is what the running sum gains from its start to its end; nothing lies before the first value
-    ends = drawn.select(*keys, "resample", F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(-1.0).alias("sign")), F.struct((F.col("start") + F.col("size")).alias("at"), F.lit(1.0).alias("sign")))).alias("e")).select(*keys, "resample", "e.at", "e.sign").where("at > 0")
-    gained = ends.join(running, [*keys, "at"]).groupBy(*keys, "resample").agg((F.sum(F.col("sign") * F.col("_own")) + F.sum(F.col("sign") * F.col("_base"))).alias("total"))
+        given = draws.join(shape.where("n > 1"), keys)
+        whole = given.where(F.col("block") < F.col("whole"))
+        last = given.where(F.col("block") >= F.col("whole")).withColumn("size", F.col("rest"))
+    # whole blocks meet the sum of the values from their start on; the draws are far more than any estimate of them, so neither side is broadcast
+    w = Window.partitionBy(*keys, "_bucket").orderBy("_pos").rowsBetween(0, length - 1)
+    sums = frames.haloed(placed.drop("_bucket"), "_pos", after=length - 1).withColumn("_sum", F.sum(value).over(w)).where("not _halo").select(*keys, F.col("_pos").alias("start"), "_sum")
+    met = whole.select(*keys, "resample", F.col("start").cast("long").alias("start")).hint("merge").join(sums, [*keys, "start"]).groupBy(*keys, "resample").agg(F.sum("_sum").alias("total"))
+    # the shorter one is what the running sum gains from its start to its end; nothing lies before the first value
+    ends = last.select(*keys, "resample", F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(-1.0).alias("sign")), F.struct((F.col("start") + F.col("size")).alias("at"), F.lit(1.0).alias("sign")))).alias("e")).select(*keys, "resample", "e.at", "e.sign").where("at > 0")
+    rest = ends.join(running, [*keys, "at"]).groupBy(*keys, "resample").agg((F.sum(F.col("sign") * F.col("_own")) + F.sum(F.col("sign") * F.col("_base"))).alias("total"))
+    gained = met.unionByName(rest).groupBy(*keys, "resample").agg(F.sum("total").alias("total"))
     means = gained.join(sizes.select(*keys, "n"), keys).groupBy(*keys).agg(F.percentile(F.col("total") / F.col("n"), [0.025, 0.975]).alias("ci"))
     return sizes.join(means, keys, "left").select(*keys, "n", "mean", F.col("ci")[0].alias("lo"), F.col("ci")[1].alias("hi"))
