@@ -12,3 +12,8 @@ def test_draws_of_a_few_keys_are_dealt_and_not_broadcast(spark):
     series = spark.range(500).selectExpr("'a' as symbol", "id as seq", "cast(id % 7 as double) as edge")
     plan = cost.bootstrap(series, ["symbol"], 20, 50)._jdf.queryExecution().toString()
     assert "REPARTITION_BY_NUM" in plan and "SortMergeJoin [symbol" in plan
+
+
+def test_sizes_without_larger_units_stay_in_the_last_one(spark):
+    n = spark.range(1).select(S.human_bytes(F.lit(6_000_000_000), ("KB", "MB")).alias("mb"), S.human_bytes(F.lit(6_000_000_000)).alias("gb")).head()
+    assert tuple(n) == ("5722.0 MB", "5.6 GB")

@@ -123,10 +123,10 @@ def gcd_of(values: Column, steps: int = 96) -> Column:
     return F.aggregate(values, F.lit(0).cast("long"), lambda s, x: two(s, F.abs(x)))
 
 
-def human_bytes(n: Column) -> Column:
-    """1.5 KB, 2.0 MB ...; powers of 1024, halves to even."""
+def human_bytes(n: Column, units: tuple[str, ...] = ("KB", "MB", "GB", "TB")) -> Column:
+    """1.5 KB, 2.0 MB ...; powers of 1024, halves to even; beyond the last unit the figure grows."""
     out = F.format_string("%.0f B", n.cast("double"))
-    for power, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
+    for power, unit in enumerate(units, 1):
         out = F.when(n >= 1024**power, F.format_string(f"%.1f {unit}", F.bround(n / F.lit(float(1024**power)), 1))).otherwise(out)
     return out
 
