@@ -144,12 +144,16 @@ def archive_path(stream: Column, ts: Column) -> Column:
 BARS = "▁▂▃▄▅▆▇█"
 
 
-def sparkline(values: Column) -> Column:
-    """One bar a value, from the least to the largest; equal values are lowest bars."""
-    lo, hi = F.array_min(values), F.array_max(values)
+def bar(value: Column, lo: Column, hi: Column) -> Column:
+    """The bar of one value between the least and the largest; the lowest one if those are equal."""
     step = F.when(hi > lo, 1).otherwise(0) * F.lit(len(BARS) - 1)
-    bar = lambda v: F.substring(F.lit(BARS), F.floor((v - lo) / F.greatest(hi - lo, F.lit(1e-300)) * step + 0.5).cast("int") + 1, F.lit(1))
-    return F.array_join(F.transform(values, bar), "")
+    return F.substring(F.lit(BARS), F.floor((value - lo) / F.greatest(hi - lo, F.lit(1e-300)) * step + 0.5).cast("int") + 1, F.lit(1))
+
+
+def sparkline(values: Column) -> Column:
+    """One bar a value, from the least to the largest; equal values are lowest bars.  The ends are taken once for each array, not once for each value."""
+    whole = F.array(F.struct(values.alias("v"), F.array_min(values).alias("lo"), F.array_max(values).alias("hi")))
+    return F.transform(whole, lambda s: F.array_join(F.transform(s["v"], lambda v: bar(v, s["lo"], s["hi"])), ""))[0]
 
 
 def softmax(logits: Column) -> Column:
