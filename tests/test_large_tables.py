@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import gzip
 import time
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from tidebook.functions import scalars as S
 from tidebook.operators import cost
+from tidebook.plans import feeds, streams, registry  # noqa: F401
+from tidebook.sources import archive
 
 
 def test_draws_of_a_few_keys_are_dealt_and_not_broadcast(spark):
@@ -26,3 +31,32 @@ def test_ends_of_a_long_array_are_taken_once(spark):
     since = time.monotonic()
     bars = spark.range(20_000).agg(F.array_sort(F.collect_list("id")).alias("v")).select(S.sparkline(F.col("v")).alias("bars")).head()["bars"]
     assert (len(bars), bars[0], bars[-1]) == (20_000, "▁", "█") and time.monotonic() - since < 10
+
+
+@pytest.mark.parametrize("name", ["st09_minute_metrics", "k04_k01_routes", "k01_st12_epochs"])
+def test_positions_over_a_million_move_nothing_past_the_hour(spark, tmp_path, name):
+    duck = duckdb.connect()
+    duck.execute("create table events as select 5000000 + i as event_id, timestamp '2024-01-01 00:59:59.998' as ts, i % 3 as user_id, 'view' as event_type, 1.0 as value, '{\"k\": ' || i || '}' as props from range(20) t(i)")
+    duck.execute(f"copy events to '{tmp_path}/events.parquet' (format parquet)")
+    got = registry.QUERIES[name](spark, str(tmp_path))
+    columns = ", ".join(f'"{c}"' for c in got.columns)
+    want = duck.execute(f"select {columns} from ({registry.ORACLES[name]})").fetchall()
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
+def test_a_head_inside_a_cut_member_is_its_own_data():
+    inside = gzip.compress(b"x" * 50)[:10] + b"\xff" * 40
+    cut = gzip.compress(b'{"a":1}\n' + inside, compresslevel=0)[:-8]
+    assert archive.salvage(cut)[1:] == (1, 1)
+    torn = gzip.compress(b'{"a":1}\n' * 50)[:-8] + gzip.compress(b'{"b":2}\n')
+    assert archive.salvage(torn)[0].endswith(b'{"b":2}\n')
+
+
+def test_files_are_read_some_lines_at_a_time():
+    n = 600_000
+    content = gzip.compress(b'{"a":1234567}\n' * n + b"torn", compresslevel=1)
+    for raw, whole in ((content, True), (content[:-8], False)):
+        found = archive.Readable(raw)
+        sizes = [len(lines) for lines, torn in archive.parted(found) if not torn]
+        assert found.whole == whole and sum(sizes) == n and max(sizes) < n
+        assert archive.count_lines(raw) == (n, whole)

@@ -7,12 +7,12 @@ beginning.  Copies that a repair left (``.broken``) are never read.  Raw lines s
 
 from __future__ import annotations
 
-import io
 import itertools
 import json
 import re
 import time
 import zlib
+from collections.abc import Iterator
 
 import pandas as pd
 from pyarrow import fs
@@ -86,31 +86,89 @@ def verified(spark: SparkSession, state: str) -> DataFrame:
     return spark.read.schema(VERIFIED + ", cycle int").option("basePath", state).parquet(*(f"{state}/{n}" for n in cycles))
 
 
-def inflate(raw: bytes) -> tuple[bytes, bool]:
-    """The readable beginning of a file of gzip members; whether all of it was read."""
-    out, rest = io.BytesIO(), raw
-    while rest:
-        machine = zlib.decompressobj(31)
-        try:
-            out.write(machine.decompress(rest))
-            out.write(machine.flush())
-        except zlib.error:
-            return out.getvalue(), False
-        if not machine.eof:
-            return out.getvalue(), False
-        rest = machine.unused_data
-    return out.getvalue(), True
-
-
-def inflate_some(raw: bytes) -> bytes:
-    """As much of one damaged member as comes out, piece by piece."""
-    machine, out = zlib.decompressobj(31), []
-    for at in range(0, len(raw), 512):
-        try:
-            out.append(machine.decompress(raw[at : at + 512]))
-        except zlib.error:
-            break
-    return b"".join(out)
+#: Compressed bytes that are taken at once, and in a piece that holds a fault; bytes that come out at once.
+PIECE, BITE, MOST = 1 << 16, 512, 1 << 22
+
+
+class Member:
+    """One gzip member from ``start`` on, decompressed piece by piece; then whether it is ``whole`` or ``broken`` (else it is cut off) and where it stops."""
+
+    def __init__(self, raw: bytes | memoryview, start: int = 0):
+        self.raw, self.start, self.stop, self.whole, self.broken = memoryview(raw), start, start, False, False
+
+    def __iter__(self):
+        machine, at = zlib.decompressobj(31), self.start
+        while at < len(self.raw) and not machine.eof:
+            rest = self.raw[at : at + PIECE]
+            at += len(rest)
+            while True:
+                before = machine.copy()
+                try:
+                    data = machine.decompress(rest, MOST)
+                except zlib.error:
+                    self.broken, self.stop = True, at - len(rest)
+                    yield from self.some(before, rest)
+                    return
+                if data:
+                    yield data
+                rest = machine.unconsumed_tail
+                if machine.eof or not rest and len(data) < MOST:
+                    break
+        self.whole, self.stop = machine.eof, at - len(machine.unused_data)
+
+    def some(self, machine, piece):
+        """As much of a piece with a fault as comes out."""
+        for at in range(0, len(piece), BITE):
+            try:
+                data = machine.decompress(piece[at : at + BITE])
+            except zlib.error:
+                return
+            if data:
+                yield data
+
+
+class Readable:
+    """The readable beginning of a file of gzip members, piece by piece; then whether all of it was read."""
+
+    def __init__(self, raw: bytes):
+        self.raw, self.whole = raw, False
+
+    def __iter__(self):
+        at = 0
+        while at < len(self.raw):
+            member = Member(self.raw, at)
+            yield from member
+            if not member.whole:
+                return
+            at = member.stop
+        self.whole = True
+
+
+def count_lines(raw: bytes) -> tuple[int, bool]:
+    """Newlines in a file's members up to the first broken one, and whether all of it was read; nothing is kept."""
+    n = at = 0
+    while at < len(raw):
+        member = Member(raw, at)
+        own = sum(data.count(b"\n") for data in member)
+        n += 0 if member.broken else own
+        if not member.whole:
+            return n, False
+        at = member.stop
+    return n, True
+
+
+def parted(pieces) -> Iterator[tuple[list[str], bool]]:
+    """Lines of pieces of text, some at a time, and at last what follows the last newline (True)."""
+    held, size, rest = [], 0, b""
+    for piece in pieces:
+        *lines, rest = (rest + piece).split(b"\n")
+        held += lines
+        size += len(piece)
+        if size >= MOST:
+            yield [x.decode("utf-8", "replace") for x in held], False
+            held, size = [], 0
+    yield [x.decode("utf-8", "replace") for x in held], False
+    yield [rest.decode("utf-8", "replace")], True
 
 
 def read_lines(spark: SparkSession, root: str, stream: str) -> DataFrame:
@@ -120,19 +178,16 @@ def read_lines(spark: SparkSession, root: str, stream: str) -> DataFrame:
 
 
 def lines_of(data: DataFrame) -> DataFrame:
-    """The lines of files given as (path, content); a file is one task's memory, as gzip can't be split."""
+    """The lines of files given as (path, content); a file is one task's, as gzip can't be split, but only its compressed bytes are held at once."""
 
     def run(batches):
         for pdf in batches:
             for path, content in zip(pdf.path, pdf.content, strict=True):
-                data, whole = inflate(content)
-                if not whole:
-                    data = max(data, inflate_some(content), key=len)
-                lines = data.decode("utf-8", "replace").split("\n")
-                torn = lines.pop()  # what follows the last newline is whole only in a whole file
-                if whole and torn:
-                    lines.append(torn)
-                yield pd.DataFrame({"value": lines, "path": path, "line_no": range(len(lines))})
+                found, n = Readable(content), 0
+                for lines, torn in parted(found):
+                    if lines and not torn or torn and found.whole and lines[0]:  # what follows the last newline is whole only in a whole file
+                        yield pd.DataFrame({"value": lines, "path": path, "line_no": range(n, n + len(lines))})
+                    n += len(lines)
 
     rows = data.select("path", "content").mapInPandas(run, schemas.RAW)
     return rows.withColumn("date", F.regexp_extract("path", r"date=([0-9-]+)", 1)).withColumn("hour", F.regexp_extract("path", r"hour=(\d+)", 1).cast("int"))
@@ -155,8 +210,8 @@ def readability_of(data: DataFrame, fresh_s: int = 300) -> DataFrame:
 
     def run(batches):
         for pdf in batches:
-            found = [inflate(c) for c in pdf.content]
-            yield pd.DataFrame({"path": pdf.path, "n_lines": [d.count(b"\n") for d, _ in found], "whole": [w for _, w in found], "modified": pdf.modificationTime})
+            found = [count_lines(c) for c in pdf.content]
+            yield pd.DataFrame({"path": pdf.path, "n_lines": [n for n, _ in found], "whole": [w for _, w in found], "modified": pdf.modificationTime})
 
     rows = data.select("path", "content", "modificationTime").mapInPandas(run, "path string, n_lines long, whole boolean, modified timestamp")
     fresh = F.col("path").endswith(".part") & (F.unix_timestamp() - F.unix_timestamp("modified") < fresh_s)
@@ -243,30 +298,49 @@ def newest(spark: SparkSession, glob: str) -> DataFrame:
 
 # -- salvage ------------------------------------------------------------------------------
 
-MAGIC = re.compile(rb"\x1f\x8b\x08")
+#: A member's head: magic number, deflate, known flags, extra flags and system, or as much of it as a file's end leaves; the first three bytes alone come
+#: about by chance once in 16 MB.
+MAGIC = re.compile(rb"\x1f\x8b\x08(?:[\x00-\x1f].{4}[\x00\x02\x04][\x00-\x0d\xff]|.{0,6}\Z)", re.DOTALL)
+
+
+class Salvage:
+    """Every gzip member from its head on, whatever lies between, piece by piece; then the members read and the damaged places.
+
+    In a member that is cut off by the file's end a head may be its own data by chance; it counts if what follows it is sound.
+    """
+
+    def __init__(self, raw: bytes):
+        self.raw, self.members, self.damaged = raw, 0, 0
+
+    def __iter__(self):
+        at = cut = self.members = self.damaged = 0
+        while (m := MAGIC.search(self.raw, at)) is not None:
+            if m.start() < cut:
+                member = Member(self.raw, m.start())
+                size = sum(len(data) for data in member)
+                if member.broken or not size:
+                    at = m.start() + 3
+                    continue
+            if m.start() > at:
+                self.damaged += 1
+            member, some = Member(self.raw, m.start()), False
+            for data in member:
+                some = True
+                yield data
+            self.members += some or member.whole
+            if member.whole:
+                at = member.stop
+            else:
+                self.damaged += 1
+                at = m.start() + 3
+                if not member.broken:
+                    cut = len(self.raw)
 
 
 def salvage(raw: bytes) -> tuple[bytes, int, int]:
-    """(bytes, members read, damaged places): every gzip member from its magic number on, whatever lies between."""
-    out, members, damaged, at = [], 0, 0, 0
-    while (m := MAGIC.search(raw, at)) is not None:
-        if m.start() > at:
-            damaged += 1
-        machine = zlib.decompressobj(31)
-        try:
-            data = machine.decompress(raw[m.start() :]) + machine.flush()
-            whole = machine.eof
-        except zlib.error:
-            data, whole = inflate_some(raw[m.start() :]), False
-        if data or whole:
-            out.append(data)
-            members += 1
-        if whole:
-            at = len(raw) - len(machine.unused_data)
-        else:
-            damaged += 1
-            at = m.start() + 3
-    return b"".join(out), members, damaged
+    """(bytes, members read, damaged places) of a small file at once."""
+    found = Salvage(raw)
+    return b"".join(found), found.members, found.damaged
 
 
 def salvage_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -274,20 +348,27 @@ def salvage_lines(spark: SparkSession, path: str) -> DataFrame:
     return salvage_of(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path))
 
 
+def is_json(line: str) -> bool:
+    try:
+        json.loads(line)
+    except ValueError:
+        return False
+    return True
+
+
 def salvage_of(data: DataFrame) -> DataFrame:
     """The same of files given as (path, content)."""
 
     def run(batches):
         for pdf in batches:
             for name, content in zip(pdf.path, pdf.content, strict=True):
-                data, members, damaged = salvage(content)
-                kept = []
-                for n, line in enumerate(data.decode("utf-8", "replace").split("\n")):
-                    try:
-                        json.loads(line)
-                    except ValueError:
-                        continue
-                    kept.append((name, n, line, members, damaged))
-                yield pd.DataFrame(kept, columns=["path", "line_no", "value", "members", "damaged"])
+                found, n = Salvage(content), 0
+                for _ in found:  # every row bears the figures of its whole file, so they come first
+                    pass
+                members, damaged = found.members, found.damaged
+                for lines, _ in parted(found):
+                    kept = [(name, n + i, line, members, damaged) for i, line in enumerate(lines) if is_json(line)]
+                    n += len(lines)
+                    yield pd.DataFrame(kept, columns=["path", "line_no", "value", "members", "damaged"])
 
     return data.select("path", "content").mapInPandas(run, "path string, line_no long, value string, members int, damaged int")
