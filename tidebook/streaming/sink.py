@@ -52,9 +52,9 @@ class Breaker:
         documents.write(self.path, {"failures": 0})
 
 
-def write_epoch(batch: DataFrame, root: str, epoch: int) -> None:
-    """One batch (value, stream, recv_ns) as stream/date/hour folders of gzip lines under its epoch; writing it again changes nothing."""
-    ts = F.timestamp_seconds(F.floor(F.col("recv_ns") / 1_000_000_000))
+def write_epoch(batch: DataFrame, root: str, epoch: int, time_ns: str = "recv_ns") -> None:
+    """One batch (value, stream, recv_ns) as stream/date/hour folders of gzip lines under its epoch, by ``time_ns``; writing it again changes nothing."""
+    ts = F.timestamp_seconds(F.expr(f"{time_ns} div 1000000000"))
     rows = batch.select("value", "stream", F.date_format(ts, "yyyy-MM-dd").alias("date"), F.date_format(ts, "HH").alias("hour"))
     rows.write.mode("overwrite").partitionBy("stream", "date", "hour").option("compression", "gzip").text(f"{root}/epoch={epoch}")
 
