@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from tidebook.functions import scalars as S
 from tidebook.operators import cost
+from tidebook.operators import frames as W
 from tidebook.plans import feeds, streams, registry  # noqa: F401
-from tidebook.sources import archive
+from tidebook.sources import archive, sinks
 
 
 def test_draws_of_a_few_keys_are_dealt_and_not_broadcast(spark):
@@ -60,3 +61,30 @@ def test_files_are_read_some_lines_at_a_time():
         sizes = [len(lines) for lines, torn in archive.parted(found) if not torn]
         assert found.whole == whole and sum(sizes) == n and max(sizes) < n
         assert archive.count_lines(raw) == (n, whole)
+
+
+def test_first_records_and_hours_open_only_what_they_need(spark, tmp_path):
+    hour = 3_600_000_000_000
+    rows = spark.range(40).select(F.concat(F.lit('{"n":'), "id", F.lit("}")).alias("value"), F.lit("depth").alias("stream"), (F.col("id") * hour / 10 + F.lit(7)).cast("long").alias("recv_ns"))
+    root = f"file://{tmp_path}/archive"
+    sinks.write_archive(rows.repartition(F.expr(f"recv_ns div {hour}")), root, "recv_ns", "recv_ns")
+    whole = archive.read_lines(spark, root, "stream=depth")
+    for n in (1, 10, 25, 100):
+        got = archive.read_first_records(spark, root, "stream=depth", n)
+        assert [r["value"] for r in got.collect()] == [r["value"] for r in archive.first_records(whole, n).collect()] == [f'{{"n":{i}}}' for i in range(min(n, 40))]
+    # an hour without lines does not count
+    folder = tmp_path / "archive" / "stream=depth" / "date=1970-01-01" / "hour=01"
+    for f in folder.glob("*.gz"):
+        f.write_bytes(gzip.compress(b""))
+    for f in folder.glob(".*.crc"):
+        f.unlink()
+    for hours in (0, 1, 2, 3, 9):
+        got = archive.read_first_hours(spark, root, "stream=depth", hours)
+        assert sorted(r["value"] for r in got.collect()) == sorted(r["value"] for r in archive.first_hours(whole, hours).collect())
+        assert hours in (0, 3, 9) or len(got.inputFiles()) < len(whole.inputFiles())
+
+
+def test_places_by_stretches_of_time(spark):
+    rows = spark.range(300).select(F.lit("a").alias("endpoint"), (F.col("id") * 7_000_000_000_000).alias("recv_ns"))
+    got = W.numbered(rows, ["endpoint"], "recv_ns", "line", F.expr("recv_ns div 600000000000"))
+    assert [r["line"] for r in got.orderBy("recv_ns").collect()] == list(range(300))

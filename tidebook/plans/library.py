@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidebook.operators import book
 from tidebook.operators import frames as W
-from tidebook.plans.feeds import LINES, lines, written
+from tidebook.plans.feeds import LINES, stored_lines, written
 from tidebook.plans.registry import FRAMES, TICKS, frames, query, ticks
 from tidebook.plans.relations import LEVELS, level_arrays
 from tidebook.sources import archive, shared, sinks
@@ -21,24 +21,24 @@ def archive_partitions(spark, d):
     return found.select("date", "hour", (F.col("n_files") > 0).alias("has_files"), (F.col("bytes") > 0).alias("has_bytes"))
 
 
-def depth_archive(spark, d):
-    """The depth lines of an archive in order of receipt inside each hour, read back from disk."""
+def depth_archive(spark, d, by: str) -> str:
+    """Root of the depth lines of an archive, filed by a time, in order of receipt inside each hour."""
     root = shared.new_folder(spark)
-    rows = archive.route(lines(spark, d).select("value", "recv_ns")).where("stream = 'depth'")
-    sinks.write_archive(rows.repartition(F.floor(F.col("recv_ns") / 3_600_000_000_000)).sortWithinPartitions("recv_ns"), root)
-    return archive.read_lines(spark, root, "stream=depth")
+    rows = archive.route(stored_lines(spark, d)).where("stream = 'depth'")
+    sinks.write_archive(rows.repartition(F.expr(f"{by} div 3600000000000")), root, by, "recv_ns")
+    return root
 
 
 @query("s04_archive_head", LINES + " SELECT symbol, seq * 10 + 10 AS final_id FROM ln WHERE stream = 'depth' ORDER BY recv_ns LIMIT 400")
 def archive_head(spark, d):
     """The first records in order of files and lines."""
-    return archive.parse_depth(archive.first_records(depth_archive(spark, d), 400)).select("symbol", "final_id")
+    return archive.parse_depth(archive.read_first_records(spark, depth_archive(spark, d, "recv_ns"), "stream=depth", 400)).select("symbol", "final_id")
 
 
 @query("s06_archive_hours", LINES + ", h AS (SELECT DISTINCT date_trunc('hour', ts) AS h FROM ln WHERE stream = 'depth' ORDER BY 1 LIMIT 6) SELECT symbol, seq * 10 + 10 AS final_id FROM ln WHERE stream = 'depth' AND date_trunc('hour', ts) IN (SELECT h FROM h)")
 def archive_hours(spark, d):
     """Depth events of the archive's first six hours."""
-    return archive.parse_depth(archive.first_hours(depth_archive(spark, d), 6)).select("symbol", "final_id")
+    return archive.parse_depth(archive.read_first_hours(spark, depth_archive(spark, d, "event_ns"), "stream=depth", 6)).select("symbol", "final_id")
 
 
 @query("s15_newest_artifact", TICKS + " SELECT symbol, COUNT(*) AS n FROM ev GROUP BY 1 ORDER BY 1 DESC LIMIT 1")

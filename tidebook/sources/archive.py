@@ -290,6 +290,36 @@ def first_records(rows: DataFrame, n: int) -> DataFrame:
     return rows.orderBy("path", "line_no").limit(n)
 
 
+def _content(spark: SparkSession, paths: list[str]) -> DataFrame:
+    return lines_of(spark.read.format("binaryFile").load([re.sub(r"([\\\[\]{}*?])", r"\\\1", p) for p in paths]))
+
+
+def read_first_records(spark: SparkSession, root: str, stream: str, n: int) -> DataFrame:
+    """``first_records`` of ``read_lines``; files are opened in the order of their names until they hold ``n`` lines, later ones can hold none of them."""
+    paths = [r["path"] for r in files(spark, root, stream).select("path").orderBy("path").collect()]  # names only
+    upto = 1
+    while upto < len(paths) and _content(spark, paths[:upto]).limit(n).count() < n:
+        upto *= 4
+    return first_records(_content(spark, paths[:upto]) if paths else read_lines(spark, root, stream), n)
+
+
+def read_first_hours(spark: SparkSession, root: str, stream: str, hours: int) -> DataFrame:
+    """``first_hours`` of ``read_lines``; only the files of as many hours are opened as are needed to find ``hours`` that hold lines."""
+    if not hours:
+        return read_lines(spark, root, stream)
+    paths = files(spark, root, stream)
+    listed = [(r["date"], r["hour"]) for r in paths.select("date", "hour").distinct().orderBy("date", "hour").collect()]  # hours only
+    upto = hours
+    while True:
+        last = listed[: upto][-1:] or [("", 0)]
+        chosen = paths.where((F.col("date") < last[0][0]) | ((F.col("date") == last[0][0]) & (F.col("hour") <= last[0][1])))
+        names = [r["path"] for r in chosen.select("path").collect()]
+        rows = _content(spark, names) if names else read_lines(spark, root, stream)
+        if upto >= len(listed) or rows.select("date", "hour").distinct().count() >= hours:
+            return first_hours(rows, hours)
+        upto *= 2
+
+
 def newest(spark: SparkSession, glob: str) -> DataFrame:
     """The run artifact that was written last, of JSON documents."""
     rows = spark.read.option("multiLine", "true").json(glob).withColumn("_at", F.col("_metadata.file_modification_time")).withColumn("_path", F.col("_metadata.file_path"))

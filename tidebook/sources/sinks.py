@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_archive(lines: DataFrame, root: str, recv_ns: str = "recv_ns") -> None:
-    """stream/date=/hour=, gzip JSON lines by receive time; Spark never appends to a file, and commits seal them."""
+def write_archive(lines: DataFrame, root: str, recv_ns: str = "recv_ns", order: str | None = None) -> None:
+    """stream/date=/hour=, gzip JSON lines by receive time; Spark never appends to a file, and commits seal them.  Lines of a task's file come by ``order``."""
     ts = F.timestamp_seconds(F.expr(f"{recv_ns} div 1000000000"))
     rows = lines.withColumn("date", F.date_format(ts, "yyyy-MM-dd")).withColumn("hour", F.date_format(ts, "HH"))
+    if order:
+        rows = rows.sortWithinPartitions("stream", "date", "hour", order)
     rows.select("value", "stream", "date", "hour").write.mode("append").partitionBy("stream", "date", "hour").option("compression", "gzip").text(root)
 
 
