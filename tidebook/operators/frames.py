@@ -57,12 +57,13 @@ def with_previous(rows: DataFrame, columns: dict[str, Column], keys: list[str],
     return joined.withColumns({n: F.col("_before")[n] for n in columns}).drop("_bucket", "_own", "_carried", "_before")
 
 
-def numbered(rows: DataFrame, keys: list[str], order: str = "seq", name: str = "pos") -> DataFrame:
+def numbered(rows: DataFrame, keys: list[str], order: str = "seq", name: str = "pos", bucket: Column | None = None) -> DataFrame:
     """Adds the place, from 0, of each row among those of its keys, in order.
 
     Rows are numbered inside (keys, bucket of positions) after the count of the buckets before, so one key's history is spread over many tasks.
+    ``bucket`` may be another Column that grows with the order, such as a stretch of time.
     """
-    placed = rows.withColumn("_bucket", seq_bucket(order))
+    placed = rows.withColumn("_bucket", seq_bucket(order) if bucket is None else bucket)
     counts = placed.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     own = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(order)) - 1
