@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidebook.functions import scalars as S
-from tidebook.operators import cost
+from tidebook.operators import book, cost, trust
 from tidebook.operators import frames as W
 from tidebook.plans import feeds, streams, registry  # noqa: F401
 from tidebook.sources import archive, sinks
@@ -88,3 +88,28 @@ def test_places_by_stretches_of_time(spark):
     rows = spark.range(300).select(F.lit("a").alias("endpoint"), (F.col("id") * 7_000_000_000_000).alias("recv_ns"))
     got = W.numbered(rows, ["endpoint"], "recv_ns", "line", F.expr("recv_ns div 600000000000"))
     assert [r["line"] for r in got.orderBy("recv_ns").collect()] == list(range(300))
+
+
+def test_short_symbols_are_walked_whole_and_sparse_ones_fill_their_buckets(spark):
+    """Every symbol was cut at 65,536 positions, however few of its events lay there, and each piece took five passes."""
+    sparse = lambda symbol, n: [(symbol, i * 1_000, i * 1_000 - 999, i * 1_000, i * 1_000 - 1_000 - (i % 9 == 8), i % 9 == 7) for i in range(1, n + 1)]
+    event, snap = "symbol string, seq long, first_id long, final_id long, prev_id long, withheld boolean", "symbol string, update_id long, seq long"
+    short = [r for s in range(20) for r in sparse(f"s{s}", 30)]
+    snaps = spark.createDataFrame([(s, 1_000 * i, 0) for s in ("hot", *(f"s{s}" for s in range(20))) for i in range(0, 30, 3)], snap)
+    labels = trust.label(spark.createDataFrame(short, event), snaps, bucket=64)
+    assert labels._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    mixed = spark.createDataFrame(short + sparse("hot", 500), event)
+    want = {}
+    for symbol, rows in (("hot", sparse("hot", 500)), *((f"s{s}", sparse(f"s{s}", 30)) for s in range(20))):
+        machine = book.Automaton()
+        machine.add_snapshots([1_000 * i for i in range(0, 30, 3)])
+        for _, seq, first, final, prev, held in rows:
+            want[symbol, seq] = "withheld" if held else machine.step(first, final, prev)[0]
+            if held:
+                machine.withhold(final, prev)
+    got = {(r["symbol"], r["seq"]): r["outcome"] for r in trust.label(mixed, snaps, bucket=64).collect()}
+    assert got == want and {"applied", "desync"} <= set(want.values())
+    rows = trust.id_rows(mixed.where("symbol = 'hot'"), snaps, F.floor(F.col("seq") / 64).cast("long"))
+    counts = rows.where("kind > 0").groupBy("symbol", "bucket").agg(F.count("*").alias("n"))
+    sizes = sorted(r["count"] for r in trust.filled(rows.where("kind > 0"), counts, 64).groupBy("bucket").count().collect())
+    assert len(sizes) == 8 and sizes[-1] == 64

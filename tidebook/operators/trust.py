@@ -14,7 +14,10 @@ an event could be anchored at come with it, by an equi-join on ranges of ids; of
 *late* events know: ones whose snapshot lies below an id that the feed has passed.  Such an event is a cell of its own, decided in the
 second scan, where the anchors made so far are known (again a falling staircase).
 
-Rows of an exchange are ids only.  No symbol, segment or chain is one task's; the scans read a row or two for each bucket.
+Symbols of no more events than a bucket holds, of which a table may have millions, need none of this: a task walks many of them
+whole, event by event, without a pass, an array or a row of a scan for each.  Longer ones are cut into buckets that their events fill.
+
+Rows of an exchange are ids only.  No longer symbol, segment or chain is one task's; the scans read a row or two for each bucket.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebook.sources import shared
@@ -364,11 +367,35 @@ LABELS = "symbol string, seq long, outcome string, segment_id long, chain_id lon
 
 
 def label(events: DataFrame, snapshots: DataFrame, trust: bool = True, bucket: int = BUCKET) -> DataFrame:
-    """``LABELS`` of every event; see ``book.label_events``.  The ids are written once, in the shared folder, since three passes read them."""
+    """``LABELS`` of every event; see ``book.label_events``.  The ids are written once, in the shared folder, since several passes read them.
+
+    Symbols of up to ``bucket`` events are walked whole, row by row, many of them in a task; only longer ones are cut into buckets.
+    """
     spark = events.sparkSession
     path = shared.new_folder(spark)
     id_rows(events, snapshots, F.floor(F.col("seq") / F.lit(bucket)).cast("long")).write.parquet(path)
     rows = spark.read.schema(ROWS).parquet(path)
+    counts = rows.where(F.col("kind") >= EVENT).groupBy("symbol", "bucket").agg(F.count("*").alias("n"))
+    long = counts.groupBy("symbol").agg(F.sum("n").alias("n")).where(F.col("n") > bucket).select(F.col("symbol").alias("_long"))
+    if long.isEmpty():
+        return walked(rows, trust)
+    is_long = F.col("symbol").eqNullSafe(F.col("_long"))
+    cut = path + "-long"
+    filled(rows.join(long, is_long, "left_semi"), counts.join(long, is_long, "left_semi"), bucket).write.parquet(cut)
+    return in_buckets(spark.read.schema(ROWS).parquet(cut), trust).unionByName(walked(rows.join(long, is_long, "left_anti"), trust))
+
+
+def filled(rows: DataFrame, counts: DataFrame, bucket: int) -> DataFrame:
+    """Rows with buckets of neighbouring positions put together until they hold about ``bucket`` events, so that a sparse symbol has no more buckets than its events fill."""
+    before = Window.partitionBy("symbol").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    home = F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / F.lit(bucket)).cast("long")
+    homes = counts.select(F.col("symbol").alias("_symbol"), F.col("bucket").alias("_bucket"), home.alias("_home"))
+    placed = rows.join(homes, F.col("symbol").eqNullSafe(F.col("_symbol")) & (F.col("bucket") == F.col("_bucket")))
+    return placed.withColumn("bucket", F.col("_home")).drop("_symbol", "_bucket", "_home")
+
+
+def in_buckets(rows: DataFrame, trust: bool) -> DataFrame:
+    """``LABELS`` by the three passes over buckets."""
     entered = transitions(rows, states(rows, trust), trust)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -385,8 +412,89 @@ def label(events: DataFrame, snapshots: DataFrame, trust: bool = True, bucket: i
     return with_entries(rows, entered).mapInArrow(run, LABELS)
 
 
+def walked(rows: DataFrame, trust: bool) -> DataFrame:
+    """``LABELS`` by the machine itself, one event after the other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        walk, symbol = Walk(trust), None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = {n: c for n, c in zip(batch.schema.names, batch.columns, strict=True)}
+            coded = columns["symbol"].dictionary_encode()
+            codes, names = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+            if (names[codes[0]] if codes[0] >= 0 else None) != symbol:
+                walk = Walk(trust)
+            ids = [columns[c].fill_null(0).to_numpy(zero_copy_only=False) for c in ("kind", "seq", "first_id", "final_id", "prev_id")]
+            edges = [0, *(np.flatnonzero(codes[1:] != codes[:-1]) + 1).tolist(), len(codes)]
+            labels: list[tuple] = []
+            for number, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+                walk = Walk(trust) if number else walk
+                labels += walk.over(*(x[a:b].tolist() for x in ids))
+            symbol = names[codes[-1]] if codes[-1] >= 0 else None
+            own = np.flatnonzero(ids[0] >= EVENT)
+            outcome, *found = zip(*labels, strict=True) if labels else [()] * 5
+            yield labels_of(columns["symbol"].take(pa.array(own)), ids[1][own], np.array(outcome, np.int8), *(np.array(x, np.int64) for x in found))
+
+    # a column of arrays, all null, takes longer on its way to Python than the rest of the pass
+    ids = rows.drop("bucket", "more")
+    return ids.repartition("symbol").sortWithinPartitions("symbol", "seq", "kind").mapInArrow(run, LABELS)
+
+
+class Walk:
+    """The machine of one symbol, row by row."""
+
+    def __init__(self, trust: bool):
+        self.trust = trust
+        self.last: int | None = None
+        self.segment = self.chain = NONE
+        #: where the withheld events just before come from, and their last id
+        self.missed: tuple[int, int] | None = None
+        self.choices: list[tuple[int, int]] = []
+        self.front: Front = []
+
+    def over(self, kinds: list[int], seqs: list[int], firsts: list[int], finals: list[int], prevs: list[int]) -> list[tuple]:
+        """(outcome, segment, chain, anchor, expected id) of the events among the next rows."""
+        trust, last, segment, chain, missed, choices, front = self.trust, self.last, self.segment, self.chain, self.missed, self.choices, self.front
+        out = []
+        for kind, seq, first, final, prev in zip(kinds, seqs, firsts, finals, prevs, strict=True):
+            if kind == SNAPSHOT:
+                choices.append((first, final))
+                continue
+            if kind == WITHHELD:
+                missed = (missed[0] if missed and missed[1] == prev else prev, final)
+                out.append((HELD, segment, chain, NONE, NONE))
+                continue
+            if last is None:
+                anchor = next((i for i, since in sorted(choices) if not used(front, i, since)), None)
+                if anchor is None:
+                    out.append((DARK, NONE, NONE, NONE, NONE))
+                else:
+                    front = [(t, a) for t, a in front if a > anchor] + [(seq, anchor)]
+                    last, segment, chain = final, max(segment, -1) + 1, max(chain, -1) + 1
+                    out.append((APPLIED, segment, chain, anchor, NONE))
+            elif final <= last:
+                out.append((SKIPPED, segment, chain, NONE, NONE))
+            elif not trust or prev == last:
+                last = final
+                out.append((APPLIED, segment, chain, NONE, NONE))
+            elif missed and missed == (last, prev):
+                segment += 1
+                out.append((REPAIRED, segment, chain, NONE, last))
+                last = final
+            else:
+                out.append((DESYNC, segment, chain, NONE, last))
+                last = None
+            missed = None
+            if choices:
+                choices = []
+        self.last, self.segment, self.chain, self.missed, self.choices, self.front = last, segment, chain, missed, choices, front
+        return out
+
+
 #: Outcomes by number.
 OUTCOMES = ("withheld", "unanchored", "applied", "skipped", "repaired", "desync")
+HELD, DARK, APPLIED, SKIPPED, REPAIRED, DESYNC = range(6)
 NONE = LOWEST
 
 
@@ -417,5 +525,9 @@ def labelled(s: Stretch, more: list[int]) -> tuple[np.ndarray, ...]:
 def label_batch(parts: list[tuple]) -> pa.RecordBatch:
     symbols = pa.array([p[0] for p in parts], pa.string()).take(pa.array(np.repeat(np.arange(len(parts)), [len(p[1]) for p in parts])))
     seq, outcome, *ids = (np.concatenate(c) for c in list(zip(*parts, strict=True))[1:])
+    return labels_of(symbols, seq, outcome, *ids)
+
+
+def labels_of(symbols: pa.Array, seq: np.ndarray, outcome: np.ndarray, *ids: np.ndarray) -> pa.RecordBatch:
     names = pa.DictionaryArray.from_arrays(pa.array(outcome), pa.array(OUTCOMES)).cast(pa.string())
     return pa.RecordBatch.from_arrays([symbols, pa.array(seq), names, *(pa.array(x, pa.int64(), mask=x == NONE) for x in ids)], names=["symbol", "seq", "outcome", "segment_id", "chain_id", "anchor_id", "expected"])
