@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import duckdb
@@ -108,3 +109,19 @@ def test_estimates_are_never_too_low():
         at, n = np.unique(collocations.cells(h[0], 0, 12), return_counts=True)
         table[at] = np.minimum(table[at] + np.minimum(n, 10).astype(kind), 10)
     assert table.max() == 10 and (table[collocations.cells(h[0], 0, 12)] == 10).all()
+
+
+def test_a_slice_is_tallied_in_little_memory():
+    """All lengths' hashes at once, beside those of the slice before, took 35 bytes a byte of text; it is 24 now."""
+    rng = np.random.default_rng(1)
+    words = rng.integers(0, 30_000, 150_000).astype(str)
+    batch = pa.RecordBatch.from_arrays([pa.array([" ".join(words)]), pa.array(["en"])], names=["text", "lang"])
+    table = np.zeros((2, 1 << 16), np.uint8)
+    collocations.tally(table, batch, 16, 10, 3)
+    once = table.copy()
+    tracemalloc.start()
+    for _ in range(2):
+        collocations.tally(table, batch, 16, 10, 3)
+    held, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert held < 1 << 20 and peak < 30 * batch.nbytes and (table >= once).all() and table.max() == 10

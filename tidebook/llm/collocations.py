@@ -88,16 +88,18 @@ class Grams:
         self.lang = tongue.indices.to_numpy(zero_copy_only=False)[text]
         self.word = letters.indices.to_numpy(zero_copy_only=False)
 
-    def hashes(self, longest: int) -> list[np.ndarray]:
+    def hashes(self, longest: int) -> Iterator[np.ndarray]:
         """For each length, the hash of the phrase of that length that begins at each word, whether or not it reaches so far."""
         own = np.fromiter((xxhash.xxh64_intdigest(w) for w in self.words.to_pylist()), np.uint64, len(self.words))[self.word]
         tongue = np.fromiter((xxhash.xxh64_intdigest(w, 1) for w in self.langs.to_pylist()), np.uint64, len(self.langs))[self.lang]
-        out = [mixed(own ^ tongue)]
+        h = mixed(own ^ tongue)
+        del tongue
+        yield h
         for k in range(1, longest):
             rest = np.zeros(self.n, np.uint64)
             rest[: max(self.n - k, 0)] = own[k:]
-            out.append(mixed(out[-1] * STEP + rest))
-        return out
+            h = mixed(h * STEP + rest)
+            yield h
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -126,6 +128,16 @@ def kind_of(least: int) -> np.dtype:
     return np.dtype(np.uint8 if least < 128 else np.uint16 if least < 1 << 15 else np.uint32)
 
 
+def tally(table: np.ndarray, batch: pa.RecordBatch, bits: int, least: int, longest: int) -> None:
+    """Adds the phrases of some texts to a sketch, one length after the other; nothing of them is held on return."""
+    grams = Grams(batch.column(0), batch.column(1), longest)
+    for k, h in enumerate(grams.hashes(longest) if grams.n else ()):
+        h = h[grams.reach > k]
+        for row in range(len(table)):
+            at, n = np.unique(cells(h, row, bits), return_counts=True)
+            table[row, at] = np.minimum(table[row, at] + np.minimum(n, least).astype(table.dtype), least)
+
+
 def sketch(rows: DataFrame, bits: int, least: int, longest: int, depth: int) -> DataFrame:
     """row, block, cells: the merged sketch of all phrases."""
     kind, block = kind_of(least), min(BLOCK, 1 << bits)
@@ -133,16 +145,9 @@ def sketch(rows: DataFrame, bits: int, least: int, longest: int, depth: int) ->
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = None
         for batch in slices(batches):
-            grams = Grams(batch.column(0), batch.column(1), longest)
-            if not grams.n:
-                continue
             if table is None:
                 table = np.zeros((depth, 1 << bits), kind)
-            found = grams.hashes(longest)
-            h = np.concatenate([x[grams.reach > k] for k, x in enumerate(found)])
-            for row in range(depth):
-                at, n = np.unique(cells(h, row, bits), return_counts=True)
-                table[row, at] = np.minimum(table[row, at] + np.minimum(n, least).astype(kind), least)
+            tally(table, batch, bits, least, longest)
         if table is not None:
             blocks = table.reshape(depth, -1, block)
             for row in range(depth):
@@ -190,17 +195,19 @@ def frequent(docs: DataFrame, text: str = "text", lang: str = "lang", least: int
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         estimates = shared.value
         for batch in slices(batches):
-            grams = Grams(batch.column(0), batch.column(1), longest)
-            if grams.n:
-                yield from exact(grams, estimates, bits, least, longest)
+            yield from exact(Grams(batch.column(0), batch.column(1), longest), estimates, bits, least, longest)
 
     counted = rows.mapInArrow(count, "lang string, phrase string, words int, c long")
     total = counted.groupBy("lang", "phrase", "words").agg(F.sum("c").alias("f"))
-    return common.cut_lineage(total.where((F.col("f") >= least) | (F.col("words") == 0)))
+    kept = common.cut_lineage(total.where((F.col("f") >= least) | (F.col("words") == 0)))
+    shared.destroy()  # the counts are written; executors would hold the sketch as long as the session
+    return kept
 
 
 def exact(grams: Grams, estimates: np.ndarray, bits: int, least: int, longest: int) -> Iterator[pa.RecordBatch]:
     """Exact counts in these texts of the phrases that the sketch lets pass."""
+    if not grams.n:
+        return
     size = len(grams.langs)
     n = np.bincount(grams.lang, minlength=size)
     yield out_batch(grams.langs.take(pa.array(np.flatnonzero(n))), pa.nulls(int((n > 0).sum()), pa.string()), 0, n[n > 0])
