@@ -16,6 +16,7 @@ such segments form one chain that is replayed together.
 from __future__ import annotations
 
 import bisect
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -123,11 +124,14 @@ def replay(events: DataFrame, snapshots: DataFrame, tick: float, trust: bool = T
     events: symbol, seq, event_ms, first_id, final_id, prev_id, bids, asks; snapshots: symbol, update_id, bids, asks.
     """
     columns = ["symbol", "seq", "outcome", "segment_id", "chain_id", "event_ms", "final_id", "prev_id", "expected", "anchor_id", "bids", "asks", "book_bids", "book_asks"]
-    books = snapshots.dropDuplicates(["symbol", "update_id"]).select("symbol", F.col("update_id").alias("anchor_id"), F.col("bids").alias("book_bids"), F.col("asks").alias("book_asks"))
+    # levels go to Python as text: nested arrays, null ones too, take longer on the way than the replay itself
+    texts = [F.to_json(c).alias(c) for c in ("bids", "asks")]
+    books = snapshots.dropDuplicates(["symbol", "update_id"]).select("symbol", F.col("update_id").alias("anchor_id"), *(c.alias(f"book_{n}") for c, n in zip(texts, ("bids", "asks"), strict=True)))
     labels = label_events(events, snapshots, trust).where(F.col("outcome").isin("applied", "desync", "repaired", "withheld") & F.col("chain_id").isNotNull())
-    rows = events.drop("withheld").join(labels, ["symbol", "seq"]).join(books, ["symbol", "anchor_id"], "left").select(columns)
+    rows = events.select("symbol", "seq", "event_ms", "final_id", "prev_id", *texts).join(labels, ["symbol", "seq"]).join(books, ["symbol", "anchor_id"], "left").select(columns)
     ordered = rows.repartition("symbol", "chain_id").sortWithinPartitions("symbol", "chain_id", "seq")
     level = pa.list_(pa.struct([("p", pa.float64()), ("q", pa.float64())]))
+    levels = lambda text: json.loads(text) if text else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, book, missed = None, Book(tick, keep), []
@@ -140,17 +144,17 @@ def replay(events: DataFrame, snapshots: DataFrame, tick: float, trust: bool = T
                     missed.append((final, prev, bids, asks))
                     continue
                 if anchor is not None:
-                    book.load(book_bids, book_asks)
+                    book.load(levels(book_bids), levels(book_asks))
                 if outcome == "repaired":
                     wanted = expected
                     for f, p, b, a in missed:
                         if p == wanted:
-                            book.apply(b, a)
+                            book.apply(levels(b), levels(a))
                             wanted = f
                 missed = []
                 state = ([], [])
                 if outcome != "desync":
-                    book.apply(bids, asks)
+                    book.apply(levels(bids), levels(asks))
                     state = book.top(shown)
                 broken = outcome != "applied"
                 for column, value in zip(out, (sym, seq, outcome, segment, ms, final, expected if broken else None, prev if broken else None, *state), strict=True):
