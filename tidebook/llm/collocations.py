@@ -88,7 +88,10 @@ class Grams:
         self.lang = tongue.indices.to_numpy(zero_copy_only=False)[text]
         self.word = letters.indices.to_numpy(zero_copy_only=False)
 
-    def hashes(self, longest: int) -> Iterator[np.ndarray]:
+    def hashes(self, longest: int) -> list[np.ndarray]:
+        return list(self.each_hash(longest))
+
+    def each_hash(self, longest: int) -> Iterator[np.ndarray]:
         """For each length, the hash of the phrase of that length that begins at each word, whether or not it reaches so far."""
         own = np.fromiter((xxhash.xxh64_intdigest(w) for w in self.words.to_pylist()), np.uint64, len(self.words))[self.word]
         tongue = np.fromiter((xxhash.xxh64_intdigest(w, 1) for w in self.langs.to_pylist()), np.uint64, len(self.langs))[self.lang]
@@ -131,7 +134,7 @@ def kind_of(least: int) -> np.dtype:
 def tally(table: np.ndarray, batch: pa.RecordBatch, bits: int, least: int, longest: int) -> None:
     """Adds the phrases of some texts to a sketch, one length after the other; nothing of them is held on return."""
     grams = Grams(batch.column(0), batch.column(1), longest)
-    for k, h in enumerate(grams.hashes(longest) if grams.n else ()):
+    for k, h in enumerate(grams.each_hash(longest) if grams.n else ()):
         h = h[grams.reach > k]
         for row in range(len(table)):
             at, n = np.unique(cells(h, row, bits), return_counts=True)
@@ -215,7 +218,7 @@ def exact(grams: Grams, estimates: np.ndarray, bits: int, least: int, longest: i
     own, unit = np.unique(grams.word.astype(np.int64) * size + grams.lang, return_inverse=True)
     known, names = unit, None
     alive = None
-    for k, h in enumerate(grams.hashes(longest)):
+    for k, h in enumerate(grams.each_hash(longest)):
         ok = grams.reach > k
         for row in range(len(estimates)):
             at = np.flatnonzero(ok)
