@@ -10,10 +10,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidebook.functions import scalars as S
-from tidebook.operators import book, cost, trust
+from tidebook.operators import book, cost, gaps, trust
 from tidebook.operators import frames as W
 from tidebook.plans import feeds, streams, registry  # noqa: F401
 from tidebook.sources import archive, sinks
+from tidebook.streaming import sessions
 
 
 def test_draws_of_a_few_keys_are_dealt_and_not_broadcast(spark):
@@ -124,3 +125,48 @@ def test_levels_go_to_the_replay_as_text(spark):
     assert "to_json" in states._jdf.queryExecution().analyzed().toString()
     got = [(r["outcome"], [tuple(x) for x in r["bids"]], [tuple(x) for x in r["asks"]]) for r in states.orderBy("seq").collect()]
     assert got == [("applied", [(1.0, float(i)), (0.9, 5.0)], [(1.1, 2.0)]) for i in (1, 2)]
+
+
+@pytest.mark.parametrize("kind", ["gaps", "outages"])
+def test_many_keys_share_the_visits_of_the_state(spark, tmp_path, kind):
+    """Every symbol had its own visit of the state in every batch, which took longer than its few rows."""
+    n = 2_000
+    if kind == "gaps":
+        rows = spark.range(3 * n).selectExpr(f"cast(id % {n} as string) as symbol", "id as seq", "'event' as kind", f"10 * (id div {n}) - cast(id % 7 = 0 as long) as prev_id", f"10 * (id div {n}) + 10 as final_id")
+        want = gaps.sequence_gaps(rows, ["symbol"]).select("symbol", "seq", "expected_prev", "prev_id", "delta")
+    else:
+        rows = spark.range(3 * n).selectExpr(f"cast(id % {n} as string) as endpoint", "id as at_ns", f"if(id div {n} = 1, 'connect', 'disconnect') as state")
+        want = rows.where(f"at_ns < {n}").selectExpr("endpoint", "'closed'", "at_ns", f"at_ns + {n}", f"{n} / 1e9D").union(rows.where("state = 'disconnect'").selectExpr("endpoint", "'open'", "at_ns", "null", "null"))
+    order = "seq" if kind == "gaps" else "at_ns"
+    sessions.prepare(spark)
+    for i in (0, 1):  # the last row of every key comes after a restart
+        rows.where(f"{order} div {2 * n} = {i}").write.mode("append").parquet(f"{tmp_path}/in")
+        out = getattr(sessions, kind)(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"))
+        q = out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+        q.awaitTermination()
+        assert 0 < max(o["numRowsTotal"] for p in q.recentProgress for o in p["stateOperators"]) <= 512
+    got = spark.read.schema(out.schema).parquet(f"{tmp_path}/out").drop("kind")
+    text = lambda df: sorted(str(tuple(r)) for r in df.collect())
+    assert text(got) == text(want) and got.count() > 500
+
+
+def test_streamed_ids_keep_all_digits_and_may_be_unknown(spark):
+    big = 1 << 60
+    rows = [("a", 0, "event", 0, big), ("a", 1, "event", big + 1, big + 10), ("a", 2, "connect", None, None), ("a", 3, "event", 5, 6), ("a", 4, "event", None, 7), ("a", 5, "event", 7, None), ("a", 6, "event", 1, 2), ("a", 7, None, 1, 3)]
+    df = spark.createDataFrame(rows, "symbol string, seq long, kind string, prev_id long, final_id long")
+    got = sorted((r["seq"], r["expected_prev"], r["got_prev"], r["delta"]) for r in streams.fed(df, "seq", sessions.gaps, slices=2).collect())
+    assert got == [(1, big, big + 1, 1), (7, 2, 1, -1)]
+
+
+def test_rows_of_a_stream_are_made_once(spark):
+    """The ends and every slice each made all rows anew."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    rows = spark.range(60).selectExpr("'a' as endpoint", "id as at_ns", "'connect' as state")
+    assert streams.fed(rows.mapInArrow(count, rows.schema), "at_ns", sessions.outages, slices=3).count() == 0
+    assert made.value == 60

@@ -2,16 +2,20 @@
 
 Each keeps its state in the state store and its clock in timers, so a restart goes on where the checkpoint stands.  ``clock`` is ``EventTime`` (the
 rows' own times, with the caller's watermark) or ``ProcessingTime`` (the clock on the wall, for live feeds).
+Continuity and outages need no timer.  Their keys may be many with few rows each, and one visit of the state takes longer than a key's rows, so keys are
+dealt over ``GROUPS`` groups that share one visit.
 Rows of one micro-batch are put in order inside a key; what an admission limit lets into a batch bounds that.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -20,70 +24,51 @@ OUTAGES = "endpoint string, state string, start_ns long, end_ns long, duration_s
 MISSING = "endpoint string, stream string, cause string"
 REQUESTS = "symbol string, at_ms long, reason string, throttled long"
 
+#: Groups that symbols or endpoints are dealt over: several for each core, and fixed for the life of a checkpoint.
+GROUPS = 512
+
 
 def prepare(spark: SparkSession) -> None:
     """Processors with timers need the RocksDB store."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
 
 
-def in_order(rows: Iterator[pd.DataFrame], *by: str) -> pd.DataFrame:
-    return pd.concat(list(rows)).sort_values(list(by), kind="stable")
+def remembered(state: GroupState) -> dict:
+    """What a group's state says of each of its keys."""
+    return dict(zip(*state.get, strict=True)) if state.exists else {}
 
 
-class Continuity(StatefulProcessor):
-    """Gap records of one symbol: rows whose ``prev_id`` isn't the final id of the row before; a ``connect`` row starts afresh."""
+def in_order(rows: Iterator[pd.DataFrame], *by: str) -> pd.DataFrame:
+    return pd.concat(list(rows)).sort_values(list(by), kind="stable")
 
-    def init(self, handle) -> None:
-        self.last = handle.getValueState("last", "final_id long")
 
-    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
-        found = in_order(rows, "seq")
-        last = self.last.get()[0] if self.last.exists() else None
-        finals, connects = found["final_id"], found["kind"] == "connect"
-        before = finals.shift(1)
-        before.iloc[0] = last
-        after_connect = connects.shift(1, fill_value=False)
-        bad = ~connects & ~after_connect & before.notna() & (found["prev_id"] != before)
-        end = finals.iloc[-1]
-        if connects.iloc[-1]:
-            self.last.clear()
+def continuity(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Gap records of a group of symbols: rows whose ``prev_id`` isn't the final id of the symbol's row before; rows that are not ``checked`` have none to compare."""
+    last, out = remembered(state), []
+    for symbol, seq, got, final, checked, known in in_order(batches, "seq")[["symbol", "seq", "prev_id", "final_id", "checked", "known"]].itertuples(index=False, name=None):
+        expected = last.get(symbol)
+        if checked and expected is not None and got != expected:
+            out.append((symbol, seq, expected, got, got - expected, "missing" if got > expected else "duplicate_or_reorder"))
+        if known:
+            last[symbol] = final
         else:
-            self.last.update((int(end),))
-        out = []
-        for seq, got, expected in zip(found.loc[bad, "seq"], found.loc[bad, "prev_id"], before[bad], strict=True):
-            delta = int(got) - int(expected)
-            out.append((key[0], int(seq), int(expected), int(got), delta, "missing" if delta > 0 else "duplicate_or_reorder"))
-        yield frame(out, ["symbol", "seq", "expected_prev", "got_prev", "delta", "kind"], ["seq", "expected_prev", "got_prev", "delta"])
+            last.pop(symbol, None)
+    state.update((list(last), list(last.values())))
+    yield frame(out, ["symbol", "seq", "expected_prev", "got_prev", "delta", "kind"], ["seq", "expected_prev", "got_prev", "delta"])
 
-    def close(self) -> None:
-        pass
 
-
-class Outages(StatefulProcessor):
-    """An ``open`` row when an endpoint goes down and a ``closed`` one when it is back; a second disconnect changes nothing."""
-
-    def init(self, handle) -> None:
-        self.down = handle.getListState("down", "start_ns long")
-
-    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
-        out = []
-        down = next((r[0] for r in self.down.get()), None) if self.down.exists() else None
-        before = down
-        for at, state in in_order(rows, "at_ns")[["at_ns", "state"]].itertuples(index=False):
-            if state == "disconnect" and down is None:
-                down = int(at)
-                out.append((key[0], "open", down, None, None))
-            elif state == "connect" and down is not None:
-                out.append((key[0], "closed", down, int(at), (int(at) - down) / 1e9))
-                down = None
-        if down is None:
-            self.down.clear()
-        elif down != before:
-            self.down.put([(down,)])
-        yield frame(out, ["endpoint", "state", "start_ns", "end_ns", "duration_s"], ["start_ns", "end_ns"])
-
-    def close(self) -> None:
-        pass
+def ups_and_downs(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """An ``open`` row when an endpoint of the group goes down and a ``closed`` one when it is back; a second disconnect changes nothing."""
+    down, out = remembered(state), []
+    for endpoint, at, what in in_order(batches, "at_ns")[["endpoint", "at_ns", "state"]].itertuples(index=False, name=None):
+        if what == "disconnect" and endpoint not in down:
+            down[endpoint] = at
+            out.append((endpoint, "open", at, None, None))
+        elif what == "connect" and endpoint in down:
+            since = down.pop(endpoint)
+            out.append((endpoint, "closed", since, at, (at - since) / 1e9))
+    state.update((list(down), list(down.values())))
+    yield frame(out, ["endpoint", "state", "start_ns", "end_ns", "duration_s"], ["start_ns", "end_ns"])
 
 
 class Subscriptions(StatefulProcessor):
@@ -187,14 +172,24 @@ def frame(rows: list[tuple], names: list[str], longs: list[str]) -> pd.DataFrame
     return pd.DataFrame(rows, columns=names, dtype=object).astype(dict.fromkeys(longs, "Int64"))
 
 
-def gaps(rows: DataFrame) -> DataFrame:
-    """``GAPS`` of a stream symbol, seq, kind, prev_id, final_id."""
-    return rows.groupBy("symbol").transformWithStateInPandas(Continuity(), GAPS, "Append", "None")
+def dealt(rows: DataFrame, key: str, run: Callable, schema: str, groups: int) -> DataFrame:
+    """``run`` over groups that the keys are dealt to; a group's state is the list of its keys beside that of their values."""
+    group = F.pmod(F.hash(key), F.lit(groups)).alias("_group")
+    return rows.select(group, *rows.columns).groupBy("_group").applyInPandasWithState(run, schema, "keys array<string>, values array<long>", "append", GroupStateTimeout.NoTimeout)
+
+
+def gaps(rows: DataFrame, groups: int = GROUPS) -> DataFrame:
+    """``GAPS`` of a stream symbol, seq, kind, prev_id, final_id; a ``connect`` row starts its symbol afresh, and so does one without a final id."""
+    event = ~F.col("kind").eqNullSafe("connect")
+    # whole numbers would lose digits where nulls turn a column into doubles
+    ids = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("prev_id", "final_id")]
+    marked = rows.select("symbol", "seq", *ids, (event & F.col("prev_id").isNotNull()).alias("checked"), (event & F.col("final_id").isNotNull()).alias("known"))
+    return dealt(marked, "symbol", continuity, GAPS, groups)
 
 
-def outages(marks: DataFrame) -> DataFrame:
+def outages(marks: DataFrame, groups: int = GROUPS) -> DataFrame:
     """``OUTAGES`` of a stream endpoint, at_ns, state (connect, disconnect)."""
-    return marks.groupBy("endpoint").transformWithStateInPandas(Outages(), OUTAGES, "Append", "None")
+    return dealt(marks.select("endpoint", "at_ns", "state"), "endpoint", ups_and_downs, OUTAGES, groups)
 
 
 def missing_streams(rows: DataFrame, deadline_ms: int = 30_000, clock: str = "EventTime") -> DataFrame:
