@@ -2,12 +2,14 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import random
 
 import duckdb
 import numpy as np
 import pytest
 
+import __spark_entry__ as entry
 from tidebook.llm import queries, vector_codes
 
 
@@ -100,3 +102,17 @@ def test_oracle_on_a_fixture(spark, make):
     names = [c[0] for c in cursor.description]
     got = queries.op11_vector_codes(spark, d)
     assert sorted(map(tuple, got.select(names).collect())) == sorted(cursor.fetchall())
+
+
+def test_oracle_on_the_smallest_tables(spark):
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("needs the test tables")
+    assert set(entry.oracle_sql()) >= {"op1_suffix_dedup", "op9_near_dedup", "op11_vector_codes", "op13_collocations"}
+    duck = duckdb.connect()
+    duck.execute(f"create view embeddings as select * from '{sf}/embeddings.parquet'")
+    cursor = duck.execute(queries.vector_oracle_sql()["op11_vector_codes"])
+    names = [c[0] for c in cursor.description]
+    got = queries.op11_vector_codes(spark, sf)
+    assert sorted(names) == sorted(got.columns)
+    assert sorted(map(tuple, got.select(names).collect())) == sorted(cursor.fetchall())

@@ -150,5 +150,10 @@ SELECT o.lang, CAST(rank AS BIGINT) AS rank, phrase, a, l, r, CAST(n AS BIGINT)
 
 
 def oracle_sql() -> dict[str, str]:
-    """What SQL can express; the others need a trained model, a tokenizer, an edit distance or an index, and tests/llm holds brute-force versions."""
-    return {"op1_suffix_dedup": SUFFIX_SQL, "op9_near_dedup": NEAR_SQL, "op11_vector_codes": codes_sql(), "op13_collocations": PHRASES_SQL}
+    """What SQL can express over ``documents``; the others need a trained model, a tokenizer, an edit distance or an index, and tests/llm holds brute-force versions."""
+    return {"op1_suffix_dedup": SUFFIX_SQL, "op9_near_dedup": NEAR_SQL, "op13_collocations": PHRASES_SQL}
+
+
+def vector_oracle_sql() -> dict[str, str]:
+    """The same over ``embeddings``."""
+    return {"op11_vector_codes": codes_sql()}
